@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from driftline.llm.mixing import OP9_SQL, op9_mix_sources
+from driftline.llm.ngram_join import OP5_SQL, op5_ngram_join
+from driftline.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op9_mix_sources": op9_mix_sources,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
+    "op5_ngram_join": OP5_SQL,
     "op9_mix_sources": OP9_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
