@@ -12,6 +12,7 @@ from driftline.llm.language_id import op8_language_id
 from driftline.llm.mixing import OP9_SQL, op9_mix_sources
 from driftline.llm.ngram_join import OP5_SQL, op5_ngram_join
 from driftline.llm.pieces import op4_sentencepiece
+from driftline.llm.quality import op3_quality
 from driftline.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 from driftline.llm.toxicity import op6_toxicity
 from driftline.llm.warc import OP7_SQL, op7_warc
@@ -19,6 +20,7 @@ from driftline.llm.warc import OP7_SQL, op7_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_ngram_join": op5_ngram_join,
     "op6_toxicity": op6_toxicity,
