@@ -41,6 +41,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_by(df: DataFrame, n: int, key: str) -> DataFrame:
+    """``cut`` of ``df`` in ``n`` partitions by ``key``, which later groupings by ``key`` use as they are.
+
+    A checkpoint keeps its partitioning only where the plan is fixed before it runs, so adaptive planning is
+    off for this one exchange, whose number of partitions is given anyway.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(n, key))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the one knob that follows the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut, even_keys, partitions
+from driftline.llm.common import cut_by, even_keys, partitions
 from driftline.llm.words import fold, sequence_hash, shingles, word_hashes
 
 #: Rows of a batch of documents that a map task handles at once, by the bytes of their texts.
@@ -136,4 +136,4 @@ def dealt(docs: DataFrame, fold_case: bool) -> DataFrame:
                 )
 
     packed = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "seg int, blob binary")
-    return cut(packed.repartition(n, "seg"))
+    return cut_by(packed, n, "seg")
