@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -21,3 +21,14 @@ def ship_package(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         context._driftline_shipped = True
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the folder that the session names in spark.checkpoint.dir; a local one in local mode only."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-"))
+    return df.checkpoint()

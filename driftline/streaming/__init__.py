@@ -1,0 +1 @@
+"""Empty on purpose: every input is a complete table or file, and windows are counted in rows, not in event time."""
