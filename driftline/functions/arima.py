@@ -13,7 +13,7 @@ from itertools import product
 import numpy as np
 
 #: Values of each free parameter, before tanh, from which the search may start.
-STARTS = (-1.2, -0.4, 0.4, 1.2)
+STARTS = (-2.0, -0.8, -0.2, 0.2, 0.8, 2.0)
 KEPT_STARTS = 2
 ROUNDS = 80
 STEP = 1e-5
@@ -181,6 +181,19 @@ def _polish(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> np.ndarray:
     return free
 
 
+def search(x: np.ndarray, p: int, k: int, mean: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The best parameters found from the most likely of many starts, and whether the search for them converged."""
+    grid = np.array(list(product(STARTS, repeat=k))) if k <= 2 else np.random.default_rng(k).uniform(-2, 2, (64, k))
+    tried = np.stack([_profile(x, np.tile(g, (len(x), 1)), p, mean)[0] for g in grid], axis=1)
+    best, free, sure = np.full(len(x), np.inf), np.zeros((len(x), k)), np.zeros(len(x), bool)
+    for start in np.argsort(tried, axis=1)[:, :KEPT_STARTS].T:
+        found, value, ok = _minimise(x, grid[start], p, mean)
+        better = value < best - 1e-12
+        best = np.where(better, value, best)
+        free[better], sure[better] = found[better], ok[better]
+    return _polish(x, free, p, mean), sure
+
+
 def fit(windows: np.ndarray, order: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Innovation variance, residuals on the level of the values, and convergence, for each row of ``windows``.
 
@@ -205,15 +218,7 @@ def fit(windows: np.ndarray, order: tuple[int, int, int]) -> tuple[np.ndarray, n
     free, sure = np.zeros((len(x), k)), np.ones(len(x), bool)
     live = np.flatnonzero(~flat)
     if k and len(live):
-        grid = np.array(list(product(STARTS, repeat=k))) if k <= 3 else np.random.default_rng(k).uniform(-1.2, 1.2, (64, k))
-        tried = np.stack([_profile(scaled[live], np.tile(g, (len(live), 1)), p, mean)[0] for g in grid], axis=1)
-        best = np.full(len(live), np.inf)
-        for start in np.argsort(tried, axis=1)[:, :KEPT_STARTS].T:
-            found, value, ok = _minimise(scaled[live], grid[start], p, mean)
-            better = value < best - 1e-12
-            best = np.where(better, value, best)
-            free[live[better]], sure[live[better]] = found[better], ok[better]
-        free[live] = _polish(scaled[live], free[live], p, mean)
+        free[live], sure[live] = search(scaled[live], p, k, mean)
     _, var, errors = _profile(scaled, free, p, mean)
     scale = np.where(flat, 0.0, spread)
     variance[good] = var * scale**2

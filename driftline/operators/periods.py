@@ -47,7 +47,8 @@ def _lag_sums(pdf: pd.DataFrame) -> pd.DataFrame:
     lags = int(pdf["max_period"].iloc[0])
     size = 1 << int(np.ceil(np.log2(len(x) + own + 1)))
     head = np.fft.rfft(x[:own], size)
-    sums = np.fft.irfft(np.conj(head) * np.fft.rfft(x, size), size)[: lags + 1]
+    # what stands after the lags of the rows that are here are the negative ones
+    sums = np.fft.irfft(np.conj(head) * np.fft.rfft(x, size), size)[: min(len(x), lags + 1)]
     out = np.zeros(lags + 1)
     out[: len(sums)] = sums
     return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "lag": np.arange(lags + 1), "s": out})
