@@ -79,7 +79,7 @@ def _needed(n: np.ndarray) -> np.ndarray:
     return -(-NUM * n // DEN)
 
 
-def prefix_entries(s: Segment, answers: list[bytes]) -> tuple[np.ndarray, ...]:
+def prefix_entries(s: Segment, answers: list[bytes], dense_from: int = DENSE) -> tuple[np.ndarray, ...]:
     """(shingle, id, n, place, dense, has_dense) of the entries that are multiplied."""
     entries, row = _rows_of(s)
     q, total = _column_sums(entries)
@@ -100,7 +100,7 @@ def prefix_entries(s: Segment, answers: list[bytes]) -> tuple[np.ndarray, ...]:
     place = np.arange(len(row)) - np.repeat(start, size)
     inside = (place < (n - _needed(n) + 1)[row]) & (df > 1)
     entries, row, df, place = entries[inside], row[inside], df[inside], place[inside]
-    dense = df > DENSE
+    dense = df > dense_from
     has_dense = np.bincount(row, weights=dense, minlength=len(s.ids)) > 0
     return entries, s.ids[row], n[row], place, dense, has_dense[row]
 
@@ -178,7 +178,7 @@ def _exact(segs: DataFrame, pairs: DataFrame) -> DataFrame:
     return segs.groupBy("seg").cogroup(asked.groupBy("seg")).applyInArrow(overlap, "a long, b long")
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
+def ngram_join(docs: DataFrame, dense_from: int = DENSE) -> DataFrame:
     """Returns a row for each row of ``docs``: doc_id, n_shingles, component_id.
 
     After lower-casing A-Z, a document's set are its distinct 5-word shingles, or its whole sequence of words if
@@ -214,7 +214,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     def entries(t: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[tuple[int, bytes]] = []
         if t.num_rows:
-            h, ids, size, place, dense, has_dense = prefix_entries(Segment(t["blob"].to_pylist(), True), answers["blob"].to_pylist())
+            h, ids, size, place, dense, has_dense = prefix_entries(Segment(t["blob"].to_pylist(), True), answers["blob"].to_pylist(), dense_from)
             for is_dense in (False, True):
                 x = np.flatnonzero(dense == is_dense)
                 x = x[np.argsort(h[x], kind="stable")]
