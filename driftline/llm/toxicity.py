@@ -107,6 +107,8 @@ def learn_terms(words: list[np.ndarray], toxic: np.ndarray) -> dict[int, int]:
 
 def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray) -> list[tuple[np.ndarray, float]]:
     """Fits the chain; each link's input has the earlier categories' out-of-fold probabilities."""
+    if not len(x):  # nothing is known, so nothing is toxic
+        return [(np.zeros(x.shape[1] + k), -8.0) for k in range(len(targets))]
     links = []
     for y in targets:
         held_out = np.zeros(len(y))
