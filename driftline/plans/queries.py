@@ -86,7 +86,7 @@ def point_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(periods.acf(fx.seasonal_series(spark, sf_dir), max_period=60, block=256), acf=6)
+    return shown(periods.acf(fx.seasonal_series(spark, sf_dir), block=256).where("lag <= 60"), acf=6)
 
 
 def period_autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
