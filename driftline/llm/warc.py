@@ -3,7 +3,7 @@
 Writing: each page becomes an HTTP response in chunked framing. A message longer than ``SEGMENT`` bytes is split into a
 response record and continuation records, which name their origin and their number; the last one gives the total
 length. A page whose payload an earlier one has becomes a revisit record. Spark's text writer lays records down one
-after the other: its line separator is the two CRLFs that end a WARC record.
+after the other: its line separator is the two CRLFs that end a WARC record. Files are compressed as a whole.
 
 Reading: the archives are read as binary files of bounded size and cut into records by their Content-Length. Segments are
 grouped by the identifier of their origin, ordered by their number, joined, verified against the total length
@@ -12,12 +12,14 @@ and freed of the chunked framing; the payload must have the digest that its reco
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,17 +114,36 @@ def payload_of(message: bytes) -> bytes:
     return dechunked(body) if re.search(rb"(?im)^transfer-encoding:[ \t]*chunked", head) else body
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def classified(pages: DataFrame) -> DataFrame:
-    """Adds to (page_id, url, html) the payload, its digest and the page whose payload it repeats."""
+    """(page_id, url, packed, digest, refers_to): compressed payloads, their digests, and the page whose payload each repeats."""
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                payloads = [(x.as_py() or "").encode() for x in part["html"]]
+                yield pa.RecordBatch.from_arrays(
+                    [part["page_id"], part["url"], pa.array(map(_packed, payloads), pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in payloads])],
+                    names=["page_id", "url", "packed", "digest"],
+                )
+
+    texts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    known = pages.select("page_id", "url", payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload")})
-    firsts = known.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    found = salted_lookup(known, firsts, ["digest"], "page_id")
+    firsts = texts.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    found = salted_lookup(texts.mapInArrow(described, "page_id long, url string, packed binary, digest string"), firsts, ["digest"], "page_id")
     return found.withColumn("refers_to", F.when((F.col("first_id") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("first_id").isNotNull()), F.col("first_id")))
 
 
 def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes ``pages`` (page_id, url, html) as WARC files to the folder ``path``, which all executors reach.
+    """Writes ``pages`` (page_id, url, html) as compressed WARC files to the folder ``path``, which all executors reach.
 
     A null html is an empty payload. Of equal payloads of 100 bytes or more, all pages but those of the smallest page_id
     are revisits. Rows that repeat a page_id stay apart by their X-Row header.
@@ -131,12 +152,13 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, records_per_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                x = {name: batch[name][k].as_py() for name in ("page_id", "row", "url", "payload", "digest", "refers_to")}
-                yield pa.RecordBatch.from_arrays([pa.array(list(page_records(**x, segment=segment)), pa.binary())], names=["value"])
+                x = {name: batch[name][k].as_py() for name in ("page_id", "row", "url", "digest", "refers_to")}
+                records = page_records(payload=_unpacked(batch["packed"][k].as_py()), **x, segment=segment)
+                yield pa.RecordBatch.from_arrays([pa.array(list(records), pa.binary())], names=["value"])
 
-    rows = classified(pages).withColumn("row", F.monotonically_increasing_id()).select("page_id", "row", "url", "payload", "digest", "refers_to")
+    rows = classified(pages).withColumn("row", F.monotonically_increasing_id()).select("page_id", "row", "url", "packed", "digest", "refers_to")
     written = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    written.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    written.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path, compression="gzip")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -154,10 +176,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch["content"]:
                 rows = []
-                for h, block in records_in(data.as_py()):
+                archive = data.as_py()
+                for h, block in records_in(gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive):
                     origin = h.get("warc-segment-origin-id", h["warc-record-id"])
                     total = h.get("warc-segment-total-length")
-                    rows.append((number(origin), int(h.get("x-row", 0)), h["warc-type"], int(h.get("warc-segment-number", 1)), None if total is None else int(total), number(h.get("warc-refers-to", "")), h["warc-payload-digest"].removeprefix("sha256:"), block))
+                    rows.append((number(origin), int(h.get("x-row", 0)), h["warc-type"], int(h.get("warc-segment-number", 1)), None if total is None else int(total), number(h.get("warc-refers-to", "")), h["warc-payload-digest"].removeprefix("sha256:"), _packed(block)))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 names = ["page_id", "row", "kind", "segment", "total", "refers_to", "digest", "block"]
                 for at in range(0, len(rows), 256):
@@ -168,7 +191,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for k in range(batch.num_rows):
                 segments, digest = batch["segments"][k].as_py(), batch["digest"][k].as_py()
                 revisit = segments[0]["kind"] == "revisit"
-                payload = None if revisit else payload_of(reassembled([(x["segment"], x["total"], x["block"]) for x in segments]))
+                payload = None if revisit else payload_of(reassembled([(x["segment"], x["total"], _unpacked(x["block"])) for x in segments]))
                 if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError("a payload hasn't the digest that its record states")
                 yield pa.RecordBatch.from_arrays(
