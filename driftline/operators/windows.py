@@ -30,8 +30,14 @@ def window_members(series: DataFrame, settings: DataFrame, on_short: str = "erro
 
 
 def trailing_windows(series: DataFrame, settings: DataFrame, on_short: str = "error") -> DataFrame:
-    """(series_id, branch, window_no, window_end_pos, window_start, window_end, points): a row for each window."""
+    """(series_id, branch, window_no, window_end_pos, window_start, window_end, points): a row for each window.
+
+    Windows are dealt to a fixed number of partitions: a window's fit costs far more than its bytes tell adaptive planning,
+    which would put many into one task.
+    """
     members = window_members(series, settings, on_short)
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = members.repartition(n, "series_id", "branch", "window_no")
     return members.groupBy("series_id", "branch", "window_no", "window_end_pos").agg(
         F.min("time").alias("window_start"),
         F.max("time").alias("window_end"),
