@@ -30,7 +30,9 @@ from driftline.llm.components import connected_components
 BLOCK_DIMS = 8
 TILE = 2048
 #: Grid coordinates of a block, at most.
-GRID = 4
+GRID = BLOCK_DIMS
+#: Pairs that are verified at once.
+PAIRS = 1 << 15
 #: What rounding may add to a distance between unit vectors.
 SLACK = 1e-9
 CELL = ["label", "dim", "block", "cell"]
@@ -73,7 +75,7 @@ def _placed(threshold: float, grid: int):
                 blobs = np.array([v.tobytes() for v in vectors], dtype=object)
                 for b, (where, budget) in enumerate(blocks_of(int(dim), threshold)):
                     g = min(grid, where.stop - where.start)
-                    radius = math.sqrt(budget) + SLACK
+                    radius = max(math.sqrt(budget) + SLACK, 1 / 500)  # a cell's number must fit a byte
                     x = turned[:, where][:, :g] / (4 * radius)
                     cell = np.floor(x).astype(np.int64)
                     low, high = x - cell <= 0.25, x - cell >= 0.75
@@ -82,7 +84,7 @@ def _placed(threshold: float, grid: int):
                         code = np.zeros(len(at), np.int64)
                         for k, move in enumerate(step):
                             near &= True if move == 0 else low[:, k] if move < 0 else high[:, k]
-                            code = code * 65536 + (cell[:, k] + move + 32768)
+                            code = code * 256 + (cell[:, k] + move + 128)
                         use = np.flatnonzero(near)
                         if len(use):
                             n = len(use)
@@ -126,18 +128,29 @@ def _joined(threshold: float):
         home, other = np.array(t["as_home"].to_pylist(), bool), np.array(t["as_other"].to_pylist(), bool)
         turned = x @ rotation(dim)
         parts = blocks_of(dim, threshold)
-        a, b, ia, ib = turned[home], turned[other], ids[home], ids[other]
+        at_home, at_other = np.flatnonzero(home), np.flatnonzero(other)
+        ia, ib = ids[home], ids[other]
 
-        def within(k: int) -> np.ndarray:
+        def within(k: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             where, budget = parts[k]
-            p, q = a[:, where], b[:, where]
-            return (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (p @ q.T) <= budget
-
-        links = within(block) & (ia[:, None] != ib[None, :])
-        if links.any():
-            links &= x[home] @ x[other].T >= threshold
-            for k in range(block if links.any() else 0):
-                links &= ~within(k)
+            return ((turned[i, where] - turned[j, where]) ** 2).sum(axis=1) <= budget
+
+        # all distances of the block in one product of single precision, with room for its rounding; what passes is tested exactly
+        where, budget = parts[block]
+        p, q = (turned[at][:, where].astype(np.float32) for at in (at_home, at_other))
+        left = np.hstack([-2 * p, (p * p).sum(1, keepdims=True), np.ones((len(p), 1), np.float32)])
+        right = np.hstack([q, np.ones((len(q), 1), np.float32), (q * q).sum(1, keepdims=True)])
+        links = left @ right.T <= np.float32(budget + 1e-5)
+        links &= ia[:, None] != ib[None, :]
+        rows, columns = np.nonzero(links)
+        for k in range(0, len(rows), PAIRS):
+            r, c = rows[k : k + PAIRS], columns[k : k + PAIRS]
+            i, j = at_home[r], at_other[c]
+            ok = within(block, i, j)
+            ok[ok] = (x[i[ok]] * x[j[ok]]).sum(axis=1) >= threshold
+            for earlier in range(block):
+                ok[ok] = ~within(earlier, i[ok], j[ok])
+            links[r, c] = ok
         count = links.sum(axis=1)
         some = np.flatnonzero(count)
         stars = _stars(links, ia, ib) if len(some) else []
