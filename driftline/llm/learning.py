@@ -66,7 +66,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     for _ in range(rounds):
         p = sigmoid(a @ w)
         grad = a.T @ (weight * (p - y)) + penalty * w
-        hess = (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + np.diag(penalty)
+        hess = np.diag(penalty)
+        curve = weight * np.maximum(p * (1 - p), 1e-6)
+        for k in range(0, len(a), 1024):  # no second copy of the whole design
+            hess += (a[k : k + 1024] * curve[k : k + 1024, None]).T @ a[k : k + 1024]
         step = np.linalg.solve(hess, grad)
         step *= min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
         w -= step

@@ -85,24 +85,27 @@ def features(counts: list[tuple[set[int], int, int, int]], n_terms: int) -> np.n
 
 def learn_terms(words: list[np.ndarray], toxic: np.ndarray) -> dict[int, int]:
     """The abusive terms: hashes of words many times as frequent in toxic texts, copies of a text counting once."""
-    def frequencies(rows: np.ndarray) -> tuple[dict[int, int], int]:
-        # near copies mostly share the smallest hash of their words
-        group: dict[int, set[int]] = {}
+    # near copies mostly share the smallest hash of their words
+    group = np.array([int(w.min()) if len(w) else 0 for w in words], np.int64)
+
+    def entries(rows: np.ndarray, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Words of the texts in ``rows`` (``among`` those given), in how many groups each occurs, and the number of groups."""
+        pairs = [np.empty((0, 2), np.int64)]
         for r in rows:
-            if len(words[r]):
-                group.setdefault(int(words[r].min()), set()).update(words[r].tolist())
-        count: dict[int, int] = {}
-        for every in group.values():
-            for w in every:
-                count[w] = count.get(w, 0) + 1
-        return count, len(group)
-
-    bad, n_bad = frequencies(np.flatnonzero(toxic))
-    good, n_good = frequencies(np.flatnonzero(~toxic))
+            kept = words[r] if among is None else words[r][np.isin(words[r], among)]
+            pairs.append(np.stack([kept, np.full(len(kept), group[r])], axis=1))
+        found, count = np.unique(np.unique(np.concatenate(pairs), axis=0)[:, 0], return_counts=True)
+        return found, count, len(np.unique(group[rows]))
+
+    bad, times, n_bad = entries(np.flatnonzero(toxic), None)
     least = max(2, min(4, n_bad // 20))
-    odds = [((c + 0.5) / (n_bad + 1) * (n_good + 1) / (good.get(w, 0) + 0.5), c, w) for w, c in bad.items() if c >= least]
-    chosen = sorted(((c, r, w) for r, c, w in odds if r >= 20), reverse=True)[:TERMS]
-    return {w: k for k, (_, _, w) in enumerate(chosen)}
+    bad, times = bad[times >= least], times[times >= least]
+    good, good_times, n_good = entries(np.flatnonzero(~toxic), bad)
+    other = np.zeros(len(bad))
+    other[np.searchsorted(bad, good)] = good_times
+    odds = (times + 0.5) / (n_bad + 1) * (n_good + 1) / (other + 0.5)
+    order = [k for k in np.lexsort((bad, -odds, -times)) if odds[k] >= 20][:TERMS]
+    return {int(bad[k]): at for at, k in enumerate(order)}
 
 
 def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray) -> list[tuple[np.ndarray, float]]:
@@ -125,15 +128,19 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
 
     def distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [sorted({x for w in set(_WORD.findall(t.as_py().lower())) for x in keys_of(w)}) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "toxic", "keys"])
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                keys = [sorted({x for w in set(_WORD.findall(t.as_py().lower())) for x in keys_of(w)}) for t in part["text"]]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["toxic"], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "toxic", "keys"])
 
     def counted(terms: dict[int, int]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[str, tuple[int, ...]] = {}
             for batch in batches:
-                x = features([term_counts(t.as_py(), terms, known) for t in batch["text"]], len(terms))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    x = features([term_counts(t.as_py(), terms, known) for t in part["text"]], len(terms)).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], part["toxic"], pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "toxic", "x"])
 
         return run
 
@@ -143,10 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # at most ``size`` rows
     got = rows.mapInArrow(distinct_keys, "doc_id long, toxic int, keys array<long>").toArrow().sort_by("doc_id")
     keys = got["keys"].combine_chunks()
-    words = [k.values.to_numpy() for k in keys] if len(keys) else []
-    terms = learn_terms(words, np.array(got["toxic"].to_pylist(), bool))
-    seen = rows.mapInArrow(counted(terms), "doc_id long, toxic int, x array<double>").toArrow().sort_by("doc_id")
-    x = np.array(seen["x"].to_pylist(), float).reshape(seen.num_rows, len(terms) + 3)
+    ends, flat = keys.offsets.to_numpy(), keys.values.to_numpy()
+    terms = learn_terms([flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)], np.array(got["toxic"].to_pylist(), bool))
+    del got, keys, flat
+    seen = rows.mapInArrow(counted(terms), "doc_id long, toxic int, x binary").toArrow().sort_by("doc_id")
+    x = np.frombuffer(b"".join(seen["x"].to_pylist()), np.float32).reshape(seen.num_rows, len(terms) + 3).astype(np.float64)
     different = x[:, len(terms)]
     folds = np.array([fold_of(i, FOLDS) for i in seen["doc_id"].to_pylist()], np.int64)
     targets = [(different >= 1).astype(float), (different >= 2).astype(float), np.array(seen["toxic"].to_pylist(), float)]
