@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,13 @@ from driftline.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 VARIANTS = 4
-#: Words whose segmentations a task remembers, over all variants.
-MEMO = 300_000
+#: Words whose segmentations a task remembers, over all variants: some 200 bytes each.
+MEMO = 1_200_000
 BATCH_BYTES = 1 << 22
 SPACE = "▁"
+#: Words of more characters keep their agenda in a heap.
+SHORT = 24
+_NO_PAIR = (float("inf"), 0, 0, "")
 _M = (1 << 64) - 1
 _WORDS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
@@ -65,38 +69,75 @@ class PieceCodec:
         self.limit = int(rate * 2**53)
         self.seed = seed
         self.variants = variants if rate else 1
-        self.memo: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        # recent words of each variant, and those that were recent before
+        self.memo: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def _fallback(self, symbol: str) -> list[int]:
         return [self.bytes[b] for b in symbol.encode()]
 
+    def _skipped(self, key: int, place: int, piece: int) -> bool:
+        x = (key + place * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F) & _M
+        x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & _M
+        return ((x ^ (x >> 32)) * 0x94D049BB133111EB & _M) >> 11 < self.limit
+
     def segment(self, word: str, variant: int) -> tuple[int, ...]:
         """The piece ids of one word with the spaces before it."""
-        ranks, limit = self.ranks, self.limit
         # a literal marker is a symbol that no piece holds
-        symbols: list[str | None] = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in word]
-        n = len(symbols)
+        symbols = list(word.replace(" ", SPACE)) if SPACE not in word else [SPACE if c == " " else "\0" + c if c == SPACE else c for c in word]
+        key = xxhash.xxh64_intdigest(word.encode(), (self.seed * 1_000_003 + variant) & _M) if self.limit else 0
+        merged = self._merge_short(symbols, key) if len(symbols) <= SHORT else self._merge_long(symbols, key)
+        out: list[int] = []
+        for s in merged:
+            found = self.ranks.get(s)
+            out.extend((found[1],) if found is not None else self._fallback(s.removeprefix("\0") if len(s) > 1 else s))
+        return tuple(out)
+
+    def _merge_short(self, symbols: list[str], key: int) -> list[str]:
+        """The agenda of a short word as a list with a place for each pair of neighbours."""
+        ranks, limit, none = self.ranks.get, self.limit, _NO_PAIR
+        agenda = []
+        for k, piece in enumerate(map(str.__add__, symbols, symbols[1:])):
+            found = ranks(piece)
+            agenda.append(none if found is None else (found[0], k, found[1], piece))
+        starts = list(range(len(symbols)))
+        while agenda:
+            best = min(agenda)
+            if best is none:
+                break
+            k = agenda.index(best)
+            if limit and self._skipped(key, best[1], best[2]):
+                agenda[k] = none
+                continue
+            symbols[k] = piece = best[3]
+            del symbols[k + 1], starts[k + 1], agenda[k]
+            if k < len(agenda):
+                right = piece + symbols[k + 1]
+                found = ranks(right)
+                agenda[k] = none if found is None else (found[0], starts[k], found[1], right)
+            if k:
+                left = symbols[k - 1] + piece
+                found = ranks(left)
+                agenda[k - 1] = none if found is None else (found[0], starts[k - 1], found[1], left)
+        return symbols
+
+    def _merge_long(self, symbols: list[str | None], key: int) -> list[str]:
+        """The agenda of a long word as a heap; entries whose symbols have changed are passed over."""
+        ranks, limit, n = self.ranks, self.limit, len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        key = xxhash.xxh64_intdigest(word.encode(), (self.seed * 1_000_003 + variant) & _M)
         agenda = []
         for k in range(n - 1):
-            found = ranks.get(symbols[k] + symbols[k + 1])
+            piece = symbols[k] + symbols[k + 1]
+            found = ranks.get(piece)
             if found is not None:
-                agenda.append((found[0], k, found[1], symbols[k] + symbols[k + 1]))
+                agenda.append((found[0], k, found[1], piece))
         heapify(agenda)
         while agenda:
             _, k, i, piece = heappop(agenda)
-            left = symbols[k]
-            r = after[k]
-            if left is None or r >= n or left + symbols[r] != piece:
+            left, r = symbols[k], after[k]
+            if left is None or r >= n or left + symbols[r] != piece or (limit and self._skipped(key, k, i)):
                 continue
-            if limit:
-                x = (key + k * 0x9E3779B97F4A7C15 + i * 0xC2B2AE3D27D4EB4F) & _M
-                x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & _M
-                if ((x ^ (x >> 32)) * 0x94D049BB133111EB & _M) >> 11 < limit:
-                    continue
-            symbols[k] = piece
-            symbols[r] = None
+            symbols[k], symbols[r] = piece, None
             r = after[k] = after[r]
             if r < n:
                 before[r] = k
@@ -108,31 +149,36 @@ class PieceCodec:
                 found = ranks.get(symbols[p] + piece)
                 if found is not None:
                     heappush(agenda, (found[0], p, found[1], symbols[p] + piece))
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                found = ranks.get(s)
-                out.extend((found[1],) if found is not None else self._fallback(s.removeprefix("\0") if len(s) > 1 else s))
-        return tuple(out)
+        return [s for s in symbols if s is not None]
 
     def encode(self, text: str, key: int = 0) -> array:
         """The piece ids of a text; ``key`` says with which variant its words begin."""
         out = array("i")
         if not text:
             return out
-        memos, n = self.memo, self.variants
-        for k, word in enumerate(_WORDS.findall(" " + text), key % n):
-            memo = memos[k % n]
-            ids = memo.get(word)
-            if ids is None:
-                if len(memo) >= MEMO // n:
-                    memo.clear()
-                ids = self.segment(word, k % n)
-                if len(word) < 64:
-                    memo[word] = ids
-            out.extend(ids)
+        n = self.variants
+        words = _WORDS.findall(" " + text)
+        recent = cycle([self.memo[(key + k) % n].get for k in range(n)])
+        parts = [get(word) for get, word in zip(recent, words, strict=False)]
+        if None in parts:
+            parts = [self._recalled(words[k], (key + k) % n) if x is None else x for k, x in enumerate(parts)]
+        out.frombytes(b"".join(parts))
         return out
 
+    def _recalled(self, word: str, variant: int) -> bytes:
+        """The segmentation, as bytes of 32-bit numbers, of a word that wasn't among the recent ones."""
+        ids = self.memo[variant].get(word)
+        if ids is not None:
+            return ids
+        ids = self.older[variant].get(word)
+        if ids is None:
+            ids = array("i", self.segment(word, variant)).tobytes()
+        if len(word) < 64:
+            if len(self.memo[variant]) >= MEMO // (2 * self.variants):
+                self.older[variant], self.memo[variant] = self.memo[variant], {}
+            self.memo[variant][word] = ids
+        return ids
+
     def decode(self, ids: array | list[int]) -> str:
         """The text that was encoded."""
         return b"".join(map(self.table.__getitem__, ids)).decode()[1:]
