@@ -31,6 +31,8 @@ RECORDS_PER_FILE = 1_000
 #: Smaller payloads are written in full however often they occur.
 LEAST_REVISIT = 100
 END = "\r\n\r\n"
+#: Bytes of payload that tasks hand on at once.
+BATCH_BYTES = 1 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -151,10 +153,16 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, records_per_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            records, size = [], 0
             for k in range(batch.num_rows):
                 x = {name: batch[name][k].as_py() for name in ("page_id", "row", "url", "digest", "refers_to")}
-                records = page_records(payload=_unpacked(batch["packed"][k].as_py()), **x, segment=segment)
-                yield pa.RecordBatch.from_arrays([pa.array(list(records), pa.binary())], names=["value"])
+                payload = _unpacked(batch["packed"][k].as_py())
+                records.extend(page_records(payload=payload, **x, segment=segment))
+                size += len(payload)
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["value"])
+                    records, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["value"])
 
     rows = classified(pages).withColumn("row", F.monotonically_increasing_id()).select("page_id", "row", "url", "packed", "digest", "refers_to")
     written = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
@@ -187,17 +195,25 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), kinds, strict=True)], names=names)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"page_id": pa.int64(), "row": pa.int64(), "record_type": pa.string(), "payload": pa.binary(), "payload_digest": pa.string(), "refers_to": pa.int64()}
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
         for batch in batches:
+            rows, size = [], 0
             for k in range(batch.num_rows):
                 segments, digest = batch["segments"][k].as_py(), batch["digest"][k].as_py()
                 revisit = segments[0]["kind"] == "revisit"
                 payload = None if revisit else payload_of(reassembled([(x["segment"], x["total"], _unpacked(x["block"])) for x in segments]))
                 if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError("a payload hasn't the digest that its record states")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch["page_id"][k].as_py()], pa.int64()), pa.array([batch["row"][k].as_py()], pa.int64()), pa.array(["revisit" if revisit else "response"]), pa.array([payload], pa.binary()), pa.array([digest]), pa.array([batch["refers_to"][k].as_py()], pa.int64())],
-                    names=["page_id", "row", "record_type", "payload", "payload_digest", "refers_to"],
-                )
+                rows.append((batch["page_id"][k].as_py(), batch["row"][k].as_py(), "revisit" if revisit else "response", payload, digest, batch["refers_to"][k].as_py()))
+                size += len(payload or b"")
+                if size >= BATCH_BYTES:
+                    yield packed(rows)
+                    rows, size = [], 0
+            yield packed(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     records = files.mapInArrow(cut_up, "page_id long, row long, kind string, segment int, total long, refers_to long, digest string, block binary")
