@@ -13,6 +13,7 @@ from driftline.plans import fixtures as fx
 from driftline.plans.corpus import prepared
 from driftline.plans.scoring import Parameters, corpus_metrics, single_series
 from driftline.sources import corpus
+from driftline.session import checkpointed
 from driftline.sources.series import compact
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,7 +196,7 @@ def localisation_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metrics(order: tuple[int, int, int]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        series = fx.seasonal_series(spark, sf_dir)
+        series = checkpointed(fx.seasonal_series(spark, sf_dir))  # read by most steps of the plan
         return shown(corpus_metrics(series, fx.event_labels(series), fx.event_catalog(series), Parameters(order=order, **SHORT)), ucr_prediction_score=4)
 
     query.__doc__ = f"The whole scoring plan with a model of order {order}: a row of metrics for each series."
