@@ -74,3 +74,23 @@ def exact_dedup(docs, best=max):
 def cosine(x, y):
     dot = sum(a * b for a, b in zip(x, y, strict=True))
     return dot / (sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5)
+
+
+def segment(word, pieces, rate_limit, draw):
+    """Pieces of one word with its spaces, by an agenda that is gone through anew for every candidate.
+
+    ``pieces``: score by piece; ``draw(k)``: what the k-th candidate draws. Also returns (candidate, skipped) in order.
+    """
+    s = list(word.replace(" ", "\u2581"))
+    off, log = set(), []
+    while True:
+        open_ = [(-pieces[s[k] + s[k + 1]], k) for k in range(len(s) - 1) if s[k] + s[k + 1] in pieces and (sum(map(len, s[:k])), s[k], s[k + 1]) not in off]
+        if not open_:
+            return s, log
+        k = min(open_)[1]
+        skip = draw(len(log)) < rate_limit
+        log.append((s[k] + s[k + 1], skip))
+        if skip:
+            off.add((sum(map(len, s[:k])), s[k], s[k + 1]))
+        else:
+            s[k : k + 2] = [s[k] + s[k + 1]]

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import gzip
+import random
+import re
 import uuid
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from driftline.llm import mixing, pieces, warc
+from driftline.llm import words as words_module
 from driftline.llm.common import shared_dir, table
 from tests.llm import brute
 
@@ -28,20 +32,72 @@ def test_pieces_are_the_librarys_without_dropout(spark, sf_dir, model):
         assert list(codec.encode(text)) == library.encode(text)
 
 
-def test_pieces_vary_and_come_back(model):
-    text = "the quick brown foxes were reorganising everything " * 20
-    one, two = pieces.PieceCodec(model, 0.2, 1), pieces.PieceCodec(model, 0.2, 2)
-    assert one.encode(text) != two.encode(text)
-    assert one.encode(text) == pieces.PieceCodec(model, 0.2, 1).encode(text)
-    assert len(one.encode(text)) > len(pieces.PieceCodec(model, 0.0).encode(text))
-    words = [tuple(one.segment(" reorganising", k)) for k in range(one.variants)]
-    assert len(set(words)) > 1
-    for t in [*TEXTS, text]:
-        assert one.decode(one.encode(t, 3)) == t and two.decode(two.encode(t)) == t
+def naive(codec, library, text, doc_id):
+    """Piece ids of a text and its candidates, word by word through ``brute.segment``."""
+    pieces_of = {library.id_to_piece(i): library.get_score(i) for i in range(library.vocab_size()) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i))}
+    out, log = [], []
+    words = re.findall(r"\n[^ \n]*| +[^ \n]*|[^ \n]+", " " + text) if text else []
+    for place, word in enumerate(words):
+        draw = codec.draws(doc_id, np.array([place]))
+        values = words_module.mix64(draw[0:1] + np.arange(1, 4 * len(word) + 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
+        found, asked = brute.segment(word, pieces_of, int(codec.limit), lambda k, v=values: int(v[k]))
+        for s in found:
+            out += [library.piece_to_id(s)] if s in pieces_of else [int(codec.bytes[b]) for b in s.replace("▁", " ").encode()]
+        log += asked
+    return out, log
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.4])
+def test_dropout_is_that_of_a_naive_agenda(model, rate):
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    codec = pieces.PieceCodec(model, rate, seed=3)
+    rng = random.Random(1)
+    texts = ["Hello, the WORLD of 1234 things.", "  lead and\n trail  \n\n", "日本語 текст é", "unbelievablyreorganising" * 4, "\n", "", " "]
+    texts += ["".join(rng.choice("ab the\n ng,éo") for _ in range(rng.randrange(120))) for _ in range(30)]
+    for k, text in enumerate(texts):
+        found = codec.encode(text, k)
+        assert found.tolist() == naive(codec, library, text, k)[0], text
+        assert codec.decode(found) == text
+
+
+def test_each_candidate_is_skipped_at_the_rate(model):
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    codec = pieces.PieceCodec(model, 0.1)
+    seen = {}
+    for doc in range(40):
+        text = "the quick foxes were reorganising everything " * 5
+        ids, log = naive(codec, library, text, doc)
+        assert codec.encode(text, doc).tolist() == ids
+        for piece, skip in log:
+            seen.setdefault(piece, []).append(skip)
+    often = [x for x in seen.values() if len(x) > 150]
+    assert len(often) > 15
+    assert all(abs(np.mean(x) - 0.1) < 5 * (0.09 / len(x)) ** 0.5 for x in often)
+
+
+def test_occurrences_draw_for_themselves(model):
+    codec = pieces.PieceCodec(model, 0.2, 1)
+    text = "reorganising " * 400
+    ids = codec.encode(text, 7)
+    ways = {tuple(codec.encode(" reorganising", k).tolist()) for k in range(300)}
+    assert len(ways) > 12 and len(ids) > len(pieces.PieceCodec(model, 0.0).encode(text))
+    assert ids.tolist() != codec.encode(text, 8).tolist() and ids.tolist() == pieces.PieceCodec(model, 0.2, 1).encode(text, 7).tolist()
+    assert ids.tolist() != pieces.PieceCodec(model, 0.2, 2).encode(text, 7).tolist()
+    for t in TEXTS:
+        assert codec.decode(codec.encode(t, 3)) == t
     with pytest.raises(ValueError, match="rate"):
         pieces.PieceCodec(model, 1.0)
 
 
+def test_long_texts_are_encoded_in_parts(spark, model, monkeypatch):
+    text = ("Some words,  two spaces \n and\nbreaks " * 400) + "y" * 3000 + " z" * 2000
+    whole = pieces.PieceCodec(model, 0.1).encode_parts([text], [5], [0])[0]
+    cut = pieces.parts_of(text, 1000)
+    assert len(cut) > 10 and " ".join(cut) == text
+    monkeypatch.setattr(pieces, "parts_of", lambda t, size=0: cut if t == text else [t])
+    assert pieces.PieceCodec(model, 0.1).encode(text, 5).tolist() == whole.tolist()
+
+
 def test_encode_and_decode_tables(spark, model):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(None, "no id"), (99, None), (5, TEXTS[5])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("token_ids", F.lit("clash"))
@@ -111,28 +167,65 @@ def deviations(rows, weights):
     return worst
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.05, "c": 0.05}, {"a": 0.34, "b": 0.33, "c": 0.33}])
-def test_mixing_deviates_by_less_than_a_block(spark, weights):
-    counts = {"a": 2000, "b": 600, "c": 500}
+@pytest.mark.parametrize(
+    ("weights", "shares"),
+    [
+        ({"a": 0.9, "b": 0.05, "c": 0.05}, (0.9, 0.05, 0.05)),
+        ({"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, (1 / 3, 1 / 3, 1 / 3)),
+        ({"a": 0.123456789, "b": 0.5, "c": 0.376543211}, (0.123456789, 0.5, 0.376543211)),
+        ({"a": 7, "c": 3}, (0.7, 0, 0.3)),
+    ],
+)
+def test_mixing_deviates_by_less_than_a_block(spark, weights, shares):
+    """Over more than 10,000 slots of one document each."""
+    counts = {"a": int(12_000 * shares[0]) + 9, "b": int(12_000 * shares[1]) + 9, "c": int(12_000 * shares[2]) + 9}
     rows = [(k * 10 + n, s) for n, s in enumerate(counts) for k in range(counts[s])]
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumns({"slot": F.lit("x"), "rank": F.lit(0)})
-    found = mixing.mix(df, weights=weights, quanta=100, block=4, buckets=8).collect()
-    shares = {r.source: r.a / 100 for r in mixing.source_quanta(spark.createDataFrame(list(counts.items()), "source string, n_docs long"), 100, weights=weights).collect()}
-    assert sum(shares.values()) == 1 and all(abs(shares[s] - w) < 0.03 for s, w in weights.items())
+    found = mixing.mix(df, weights=weights, block=1).collect()
     assert len(found) == len(rows) and len({(r.slot, r.in_block) for r in found}) == len(rows)
-    assert all(r.release <= r.slot < r.deadline for r in found)
-    assert sum(r.on_target for r in found) > 400
-    assert deviations(found, shares) < 1
+    due = dict(zip("abc", shares, strict=True))
+    assert all(r.release <= r.slot < r.deadline for r in found if due[r.source])
+    on = [r for r in found if r.on_target]
+    assert len(on) > 10_000
+    assert deviations(on, {s: w for s, w in due.items() if w}) < 1
+    idle = [r for r in found if not due[r.source]]
+    assert len(idle) == (9 if 0 in shares else 0) and all(r.release is None and r.slot > max(x.slot for x in found if due[x.source]) for r in idle)
 
 
-def test_mixing_of_odd_rows(spark):
+def test_slots_are_those_of_a_plain_simulation(spark, monkeypatch):
+    counts = {f"s{k}": 3 + k * k for k in range(7)}
+    rows = [(k * 10 + n, s) for n, s in enumerate(counts) for k in range(counts[s])]
+    parts = [max(1, round(n**0.5)) for n in counts.values()]
+    whole, had, want, t = sum(parts), [0] * 7, {}, 0
+    while any((f"s{k}", j) not in want for k in range(7) for j in range(-(-counts[f"s{k}"] // 2))):
+        ready = [(-(-(had[k] + 1) * whole // parts[k]), k) for k in range(7) if had[k] * whole // parts[k] <= t]
+        k = min(ready)[1]
+        want[f"s{k}", had[k]] = t
+        had[k] += 1
+        t += 1
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    for chunk in (4, 512):
+        monkeypatch.setattr(mixing.slots, "__defaults__", (chunk,))
+        assert {(r.source, r.block_no - 1): r.slot for r in mixing.mix(df, block=2).collect()} == {k: v for k, v in want.items() if k[1] < -(-counts[k[0]] // 2)}
+
+
+def test_mixing_of_many_sources(spark):
+    rows = spark.range(2400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1200).alias("source"))
+    found = mixing.mix(rows, block=1).collect()
+    assert len({r.slot for r in found}) == 2400 and all(r.release <= r.slot < r.deadline for r in found)
+
+
+def test_mixing_of_odd_rows(spark, monkeypatch):
     schema = "doc_id long, source string"
     rows = [(1, None), (None, "a"), (2, "a"), (2, "a"), (3, None)]
-    found = mixing.mix(spark.createDataFrame(rows, schema), block=1, quanta=10).collect()
-    assert sorted(str(r.doc_id) for r in found) == ["1", "2", "2", "3", "None"] and len({r.slot for r in found}) == 5
+    for limit in (mixing.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
+        found = mixing.mix(spark.createDataFrame(rows, schema), block=1).collect()
+        assert sorted(str(r.doc_id) for r in found) == ["1", "2", "2", "3", "None"] and len({r.slot for r in found}) == 5
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
-    with pytest.raises(ValueError, match="quanta"):
-        mixing.mix(spark.createDataFrame(rows, schema), quanta=1)
+    assert mixing.mix(spark.createDataFrame(rows, schema), weights={"zzz": 1}).count() == 5
+    with pytest.raises(ValueError, match="negative"):
+        mixing.mix(spark.createDataFrame(rows, schema), weights={"a": -1})
 
 
 def test_pipeline(spark, model):
