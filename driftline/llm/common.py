@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def cut_by(df: DataFrame, n: int, key: str) -> DataFrame:
+def cut_by(df: DataFrame, n: int, key: str, then: Callable[[DataFrame], DataFrame] = lambda dealt: dealt) -> DataFrame:
     """``cut`` of ``df`` in ``n`` partitions by ``key``, which later groupings by ``key`` use as they are.
 
+    ``then`` is applied to the dealt rows before they are written; it must keep ``key`` and the partitioning.
+
     A checkpoint keeps its partitioning only where the plan is fixed before it runs, so adaptive planning is
     off for this one exchange, whose number of partitions is given anyway.
     """
@@ -51,7 +54,7 @@ def cut_by(df: DataFrame, n: int, key: str) -> DataFrame:
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(n, key))
+        return cut(then(df.repartition(n, key)))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -90,3 +93,12 @@ def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: str
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     leaves = salted.select(*keys, "_salt").distinct().join(small, keys, "left")
     return salted.join(leaves, [*keys, "_salt"], "left").drop("_salt")
+
+
+#: Rows of a small table that may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def near_lookup(big: DataFrame, small: DataFrame, keys: list[str], n: int, spread: str) -> DataFrame:
+    """Left join of ``big`` with ``small`` of ``n`` rows: broadcast up to a checked size, salted beyond it."""
+    return big.join(F.broadcast(small), keys, "left") if n <= BROADCAST_ROWS else salted_lookup(big, small, keys, spread)
