@@ -16,7 +16,7 @@ def variance_burst(series: DataFrame, bursts: DataFrame, strength: float = 3.0,
     """
     known = series.groupBy("series_id").agg(F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("n")).join(bursts, "series_id")
     start, duration = F.col("start"), F.col("duration")
-    wrong = F.when(start < 0, F.lit("start_index must be nonnegative.")).when(duration <= 0, F.lit("duration must be positive.")).when(start + duration > F.col("n"), F.lit("start_index + duration exceeds the length of the input data."))
+    wrong = F.when(start < 0, F.lit("a burst starts before its series")).when(duration <= 0, F.lit("a burst lasts no row")).when(start + duration > F.col("n"), F.lit("a burst goes on after the end of its series"))
     checked = known.withColumn("start", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(start))
     inside = F.col("pos").between(F.col("start"), F.col("start") + F.col("duration") - 1)
     noisy = F.col("value") + unit_noise(F.lit(seed), F.col("pos")) * strength * F.col("std")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,6 +18,8 @@ MIN_AUTOCORR = 0.3
 MIN_POWER_RATIO = 3.0
 #: Positions that a task correlates at once.
 BLOCK = 32_768
+#: Positions that a series is packed by for its spectrum.
+PACKED = 8_192
 #: Digits to which correlations and powers count; what differs less is a tie.
 DIGITS = 12
 
@@ -88,21 +91,26 @@ def autocorr_periods(series: DataFrame, min_period: int = MIN_PERIOD, max_period
     return series.select("series_id").distinct().join(found, "series_id", "left")
 
 
-def _powers(pdf: pd.DataFrame) -> pd.DataFrame:
-    x = pdf.sort_values("pos")["x"].to_numpy()
+def _powers(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
+    order = np.argsort(blocks["block"].to_numpy())
+    lists = blocks["x"].combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    x = np.concatenate([flat[ends[k] : ends[k + 1]] for k in order])
     power = np.abs(np.fft.rfft(x)) ** 2
     k = np.arange(1, len(x) // 2 + 1)
-    return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "k": k, "period": len(x) / k, "power": power[1 : len(k) + 1]})
+    return pa.table({"series_id": pa.array([key[0].as_py()]).take(pa.array(np.zeros(len(k), np.int8))), "k": k, "period": len(x) / k, "power": power[1 : len(k) + 1]})
 
 
 def periodogram(series: DataFrame, min_period: int = MIN_PERIOD, max_period: int | None = None) -> DataFrame:
     """(series_id, k, period, power) of each usable series: its spectrum without the mean.
 
-    A spectrum needs its whole series in one task: eight bytes a point.
+    A spectrum needs its whole series in one task, which gets it in packed blocks of positions, eight bytes a point.
     """
     known = guards(series, min_period, max_period).where("usable").select("series_id", "mean")
     rows = series.where("value IS NOT NULL").join(known, "series_id").select("series_id", "pos", (F.col("value") - F.col("mean")).alias("x"))
-    return rows.groupBy("series_id").applyInPandas(_powers, "series_id string, k long, period double, power double")
+    packed = rows.groupBy("series_id", F.floor(F.col("pos") / PACKED).alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("p"))
+    packed = packed.select("series_id", "block", F.transform("p", lambda p: p["x"]).alias("x"))
+    return packed.groupBy("series_id").applyInArrow(_powers, "series_id string, k long, period double, power double")
 
 
 def fft_periods(series: DataFrame, min_period: int = MIN_PERIOD, max_period: int | None = None, min_power_ratio: float = MIN_POWER_RATIO) -> DataFrame:
@@ -122,4 +130,4 @@ def periods(series: DataFrame, method: str) -> DataFrame:
         return autocorr_periods(series)
     if method == "fft":
         return fft_periods(series)
-    raise ValueError(f"Unknown period method: {method}")
+    raise ValueError(f"no method of period estimation is called {method!r}: take 'autocorr' or 'fft'")

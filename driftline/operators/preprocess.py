@@ -15,9 +15,9 @@ WINDOW_SIZE, STRIDE = 200, 50
 def window_settings(series: DataFrame, method: str = "autocorr", window_size: int = WINDOW_SIZE, stride: int = STRIDE, mode: str = "seasonal_diff", min_window_size: int = MIN_WINDOW_SIZE) -> DataFrame:
     """A row of settings for each series: its period, and window and stride from it, or the given ones where there is none."""
     if mode not in ("raw", "seasonal_diff"):
-        raise ValueError(f"Unknown preprocessing mode: {mode}")
+        raise ValueError(f"series are scored in mode 'raw' or 'seasonal_diff', not {mode!r}")
     if stride <= 0:
-        raise ValueError("stride must be positive.")
+        raise ValueError("windows must move on by one row or more: the stride is too small")
     if mode == "raw":
         found = series.select("series_id").distinct().withColumn("estimated_period", F.lit(None).cast("int"))
     else:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from driftline.functions.arima import checked_order, fit
 from driftline.functions.scalar import is_finite
 from driftline.operators.windows import trailing_windows
-from driftline.session import ship_package
+from driftline.session import checkpointed, ship_package
 
 #: Windows that are fitted at once.
 BATCH = 512
@@ -68,16 +68,19 @@ def residual_series(fitted: DataFrame, series: DataFrame) -> DataFrame:
     return whole.select("series_id", "branch", "pos", "time").join(means, ["series_id", "branch", "pos"], "left")
 
 
-def overlaps(scored: DataFrame, labels: DataFrame) -> DataFrame:
+def overlaps(scored: DataFrame, labels: DataFrame, block: str = "hour") -> DataFrame:
     """Adds ``actual_anomaly``: whether a labelled time lies between a window's first and last time.
 
-    The last labelled time up to a window's end decides; it is found in one pass over both in the order of time.
+    The last labelled time up to a window's end decides. It is looked for in the end's own block of time, in one pass over
+    both in the order of time, and else it is the last one of the blocks before, so no task sorts a whole series.
     """
     marks = labels.where("is_anomaly = 1").select("series_id", F.col("time").alias("at"), F.lit(0).alias("kind"), F.col("time").alias("mark"))
     ends = scored.select("series_id", F.col("window_end").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("mark"), F.struct(*scored.columns).alias("row"))
-    both = marks.withColumn("row", F.lit(None).cast(ends.schema["row"].dataType)).unionByName(ends)
-    latest = F.last("mark", ignorenulls=True).over(W.partitionBy("series_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
-    seen = both.withColumn("latest", latest).where("kind = 1").select("row.*", "latest")
+    both = marks.withColumn("row", F.lit(None).cast(ends.schema["row"].dataType)).unionByName(ends).withColumn("block", F.date_trunc(block, "at"))
+    before = F.max(F.max("mark")).over(W.partitionBy("series_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    earlier = both.groupBy("series_id", "block").agg(before.alias("earlier"))
+    here = F.last("mark", ignorenulls=True).over(W.partitionBy("series_id", "block").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0))
+    seen = both.withColumn("here", here).where("kind = 1").join(earlier, ["series_id", "block"]).select("row.*", F.coalesce("here", "earlier").alias("latest"))
     return seen.withColumn("actual_anomaly", F.coalesce(F.col("latest") >= F.col("window_start"), F.lit(False)).cast("int")).drop("latest")
 
 
@@ -97,7 +100,11 @@ def flag_best(scored: DataFrame) -> DataFrame:
 
 
 def window_results(scored: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(series_id, branch, window_no, time, window_start, window_end, sigma2, actual_anomaly, predicted_anomaly)."""
+    """(series_id, branch, window_no, time, window_start, window_end, sigma2, actual_anomaly, predicted_anomaly).
+
+    The scores are read several times, so they are materialised first: every window is fitted once.
+    """
+    scored = checkpointed(scored)
     known = labels is not None and "is_anomaly" in labels.columns
     seen = overlaps(scored, labels) if known else scored.withColumn("actual_anomaly", F.lit(0))
     return flag_best(seen).select("series_id", "branch", "window_no", F.col("window_end").alias("time"), "window_start", "window_end", "sigma2", "actual_anomaly", "predicted_anomaly")

@@ -20,7 +20,7 @@ def window_members(series: DataFrame, settings: DataFrame, on_short: str = "erro
     sizes = settings.select("series_id", F.col("window_size").cast("long").alias("w"), F.col("stride").cast("long").alias("s"))
     rows = rows.join(sizes, "series_id")
     c, m, w, s = (F.col(x) for x in ("cpos", "m", "w", "s"))
-    short = F.raise_error(F.concat(F.lit("window_size is larger than the time series: "), F.col("series_id")))
+    short = F.raise_error(F.concat(F.lit("shorter than its window: series "), F.col("series_id")))
     rows = rows.where(m >= w) if on_short == "skip" else rows.withColumn("w", F.when(m < w, short.cast("long")).otherwise(w))
     last = F.floor((m - w) / s)
     low, high = F.greatest(F.lit(0), F.floor((c - w + s) / s)), F.least(F.floor(c / s), last)

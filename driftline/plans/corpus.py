@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions.scalar import dataset_folder, safe_name
 from driftline.operators.evaluate import overall_summary, point_labels
 from driftline.sources.corpus import decode_values, file_metadata, read_category_map, read_raw_files, with_category
+from driftline.sources.naming import write_named
 
 
 def prepared(files: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -18,16 +19,25 @@ def prepared(files: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFr
     return catalog, series.select("series_id", "pos", "time", "value"), point_labels(series, catalog)
 
 
-def prepare_corpus(spark: SparkSession, folder: str, category_csv: str, out: str, limit: int | None = None) -> DataFrame:
-    """Reads raw files, labels them and writes series and labels, partitioned by category and dataset; returns the catalog."""
+def prepare_corpus(spark: SparkSession, folder: str, category_csv: str, out: str, limit: int | None = None, layout: str = "parquet") -> DataFrame:
+    """Reads raw files, labels them and writes series and labels, partitioned by category and dataset; returns the catalog.
+
+    ``layout`` is ``parquet``, or ``csv`` for by_category/<category>/<dataset>/timeseries.csv and labels.csv.
+    """
+    if layout not in ("parquet", "csv"):
+        raise ValueError("layout must be 'parquet' or 'csv'")
     files = read_raw_files(spark, folder)
     if limit is not None:
         files = files.join(files.select("file_name").orderBy("file_name").limit(limit), "file_name", "left_semi")
     catalog, series, labels = prepared(files, read_category_map(spark, category_csv))
     parts = catalog.select("series_id", F.col("folder").alias("category"), F.col("series_id").alias("dataset_name"))
-    for rows, name in ((series, "timeseries"), (labels, "labels")):
-        placed = rows.join(parts, "series_id").repartition("category", "dataset_name").sortWithinPartitions("category", "dataset_name", "pos")
-        placed.write.mode("overwrite").partitionBy("category", "dataset_name").parquet(f"{out}/{name}")
+    for rows, name, columns in ((series, "timeseries", ["time", "value"]), (labels, "labels", ["time", "is_anomaly", "anomaly_type"])):
+        placed = rows.join(parts, "series_id")
+        if layout == "csv":
+            write_named(placed.select("category", "dataset_name", *columns), ["category", "dataset_name"], ["time"], f"{out}/by_category", lambda v, name=name: f"{v['category']}/{v['dataset_name']}/{name}.csv")
+        else:
+            placed = placed.repartition("category", "dataset_name").sortWithinPartitions("category", "dataset_name", "pos")
+            placed.write.mode("overwrite").partitionBy("category", "dataset_name").parquet(f"{out}/{name}")
     return catalog
 
 
@@ -39,13 +49,15 @@ def write_window_results(results: DataFrame, path: str) -> None:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """CSV files of metrics, one folder for each category, a null one included."""
-    metrics.repartition("category").sortWithinPartitions("category", "dataset_name").write.mode("overwrite").partitionBy("category").csv(path, header=True)
+    """A CSV file of metrics for each category, <category>/<category>_evaluation.csv; a null one is called nan."""
+    named = metrics.withColumn("in_category", F.coalesce("category", F.lit("nan")))
+    write_named(named, ["in_category"], ["category", "dataset_name"], path, lambda v: f"{v['in_category']}/{v['in_category']}_evaluation.csv")
 
 
 def write_summary(metrics: DataFrame, path: str) -> None:
-    """One CSV file: the categories' rows, then the overall one."""
-    overall_summary(metrics).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """One CSV file of the name ``path``: the categories' rows, then the overall one."""
+    base, _, name = path.rpartition("/")
+    write_named(overall_summary(metrics), [], [], base or ".", lambda _: name)
 
 
 def output_paths(run: str, folder: str = "results", overall: str | None = None) -> dict[str, str]:

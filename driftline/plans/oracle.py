@@ -145,6 +145,12 @@ def _residual(expression: str) -> str:
 SELECT gap.series_id, gap.pos, CAST(gap.time AS VARCHAR) AS time, round(residual, 6) AS residual FROM gap LEFT JOIN a ON a.series_id = gap.series_id AND a.pos = gap.pos"""
 
 
+_PREPARED = f"""WITH {EV}, f AS (
+  SELECT ev.*, n, format('ucr_{{:03d}}_{{}}', ascii(ev.series_id), ev.series_id) AS dataset_name, pos BETWEEN n // 2 AND n - 1 AS inside FROM ev JOIN sizes ON sizes.series_id = ev.series_id
+)
+SELECT CASE WHEN series_id = 'error' THEN 'kind_a' ELSE 'unknown' END AS category, dataset_name, pos, CAST(time AS VARCHAR) AS time, value, CAST(inside AS BIGINT) AS is_anomaly,
+       CASE WHEN NOT inside THEN 'normal' WHEN series_id = 'error' THEN 'kind a' ELSE 'unknown' END AS anomaly_type FROM f"""
+
 SQL: dict[str, str] = {
     "series_positions": f"WITH {EV} SELECT series_id, pos, CAST(time AS VARCHAR) AS time, value FROM ev",
     "numeric_coercion": f"""WITH {EV}, t AS (
@@ -164,11 +170,11 @@ SQL: dict[str, str] = {
   SELECT ev.*, n, CASE WHEN ev.series_id = 'view' THEN -5 ELSE n // 2 END AS s, CASE WHEN ev.series_id = 'view' THEN 7 ELSE n + 50 END AS e FROM ev JOIN sizes ON sizes.series_id = ev.series_id
 ), f AS (SELECT *, pos BETWEEN greatest(s, 0) AND least(e, n - 1) AS inside FROM b)
 SELECT series_id, pos, CAST(time AS VARCHAR) AS time, CAST(inside AS BIGINT) AS is_anomaly, CASE WHEN inside THEN 'kind ' || series_id ELSE 'normal' END AS anomaly_type FROM f""",
-    "acf": f"WITH {SEASONAL}, {ACF.format('sea')} SELECT series_id, lag, round(r, 6) AS acf FROM acf WHERE lag <= 60",
+    "acf": f"WITH {SEASONAL}, {ACF.format('sea')} SELECT series_id, lag, round(r, 6) AS acf FROM acf",
     "period_autocorr": f"WITH {SEASONAL}, {ACF.format('sea')} SELECT series_id, estimated_period FROM per",
     "period_none": f"WITH {EV}, {ACF.format('ev')} SELECT series_id, estimated_period FROM per",
     "periodogram": f"""WITH {SEASONAL}, {DFT} SELECT series_id, k, round(period, 6) AS period, round(power / total, 8) AS share
-FROM (SELECT *, sum(power) OVER (PARTITION BY series_id) AS total FROM bins) WHERE k <= 40 OR period BETWEEN 20 AND 30""",
+FROM (SELECT *, sum(power) OVER (PARTITION BY series_id) AS total FROM bins)""",
     "period_fft": f"""WITH {SEASONAL}, {DFT}, valid AS (
   SELECT *, least(n // 4, 1000) AS longest FROM bins WHERE period >= 2 AND period <= least(n // 4, 1000)
 ), top AS (
@@ -257,4 +263,22 @@ SELECT series_id AS dataset_idx, CAST(24 AS BIGINT) AS period, estimated_period,
 SELECT name AS series_id, CASE WHEN f.series_id = 'error' THEN 'kind_a' ELSE 'unknown' END AS folder, CASE WHEN f.series_id = 'error' THEN 'kind a' ELSE 'unknown' END AS category,
        any_value(n) AS n_points, CAST(count(*) FILTER (WHERE pos BETWEEN n // 2 AND n - 1) AS BIGINT) AS n_anomaly, round(sum(value), 4) AS total
 FROM f JOIN ev ON ev.series_id = f.series_id GROUP BY name, f.series_id""",
+    "csv_series": f"""WITH {EV}, t AS (
+  SELECT series_id, pos, time, try_cast(CASE WHEN pos % 29 = 0 THEN 'bad' WHEN pos % 31 = 0 THEN 'NaN' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS value FROM ev
+) SELECT series_id, pos, CAST(time AS VARCHAR) AS time, CASE WHEN NOT isnan(value) THEN value END AS value FROM t""",
+    "csv_series_strict": f"WITH {EV} SELECT series_id, pos, CAST(time AS VARCHAR) AS time, value FROM ev",
+    "csv_labels": f"""WITH {EV}, {LABELS} SELECT series_id, pos, CAST(time AS VARCHAR) AS time, CAST(is_anomaly AS BIGINT) AS is_anomaly,
+  CASE WHEN is_anomaly = 1 THEN 'burst' ELSE 'normal' END AS anomaly_type, CAST(is_train AS BIGINT) AS is_train FROM lab""",
+    "raw_corpus_files": f"""WITH {EV} SELECT pos, CAST(time AS VARCHAR) AS time, value, ev.series_id AS dataset_name, n // 4 AS train_end, n // 2 AS anomaly_start, n + 9 AS anomaly_end
+FROM ev JOIN sizes ON sizes.series_id = ev.series_id""",
+    "prepared_corpus_csv": _PREPARED,
+    "prepared_corpus_parquet": _PREPARED,
+    "category_file": f"WITH {CATEGORIES} SELECT file_name AS name, category FROM found WHERE category <> 'unknown'",
+    "period_file": "SELECT CAST(p_partkey AS BIGINT) AS dataset_idx, CAST(p_size AS BIGINT) AS period, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS remarks FROM part",
+    "window_result_files": f"""WITH {RESULTS} SELECT CASE WHEN series_id IN ('view', 'click') THEN 'page' WHEN series_id = 'error' THEN 'fault' ELSE 'other' END AS category, 'ev_' || series_id AS dataset_name,
+  CAST(window_start AS VARCHAR) AS window_start, CAST(window_end AS VARCHAR) AS window_end, round(sigma2, 4) AS sigma2, CAST(actual_anomaly AS BIGINT) AS actual_anomaly, CAST(predicted_anomaly AS BIGINT) AS predicted_anomaly FROM res""",
+    "metric_files": f"""SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS category, coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END, 'nan') AS file_category,
+  'ds_' || o_orderkey AS dataset_name, CAST(o_orderkey % 3 = 0 AS BIGINT) AS ucr_correct FROM orders""",
 }
+SQL["summary_file"] = SQL["overall_summary"]
+SQL["single_series_metric"] = SQL["localisation_metric"]

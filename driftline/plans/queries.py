@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import dataset_folder, numeric, run_name, safe_name
 from driftline.operators import augment, evaluate, periods, preprocess, scoring, windows, zoom
 from driftline.plans import fixtures as fx
-from driftline.plans.corpus import prepared
+from driftline.plans.corpus import prepare_corpus, prepared, write_metrics, write_summary, write_window_results
 from driftline.plans.scoring import Parameters, corpus_metrics, single_series
 from driftline.sources import corpus
-from driftline.session import checkpointed
-from driftline.sources.series import compact
+from driftline.session import checkpointed, shared_folder
+from driftline.sources.naming import write_named
+from driftline.sources.series import compact, read_labels, read_periods, read_series
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHORT = {"window_size": 50, "stride": 12}
@@ -87,7 +89,7 @@ def point_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def acf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(periods.acf(fx.seasonal_series(spark, sf_dir), block=256).where("lag <= 60"), acf=6)
+    return shown(periods.acf(fx.seasonal_series(spark, sf_dir), block=256), acf=6)
 
 
 def period_autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +102,10 @@ def period_none(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of each of the 40 lowest bins and of those around the season in the power of the whole spectrum."""
+    """The share of each bin in the power of the whole spectrum."""
     bins = periods.periodogram(fx.seasonal_series(spark, sf_dir))
     total = bins.groupBy("series_id").agg(F.sum("power").alias("total"))
-    near = (F.col("k") <= 40) | F.col("period").between(20, 30)
-    return bins.where(near).join(total, "series_id").select("series_id", "k", F.round("period", 6).alias("period"), F.round(F.col("power") / F.col("total"), 8).alias("share"))
+    return bins.join(total, "series_id").select("series_id", "k", F.round("period", 6).alias("period"), F.round(F.col("power") / F.col("total"), 8).alias("share"))
 
 
 def period_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +260,125 @@ def corpus_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(catalog.select("series_id", "folder", "category").join(counted, "series_id"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _named(path: str) -> Column:
+    """The series that a file's path names as ``series=<name>``."""
+    return F.regexp_extract(path, r"series=([^/]+)/", 1)
+
+
+def csv_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series written as a CSV file with cells that aren't numbers, and read again."""
+    cell = F.when(F.col("pos") % 29 == 0, F.lit("bad")).when(F.col("pos") % 31 == 0, F.lit("NaN")).otherwise(F.col("value").cast("string"))
+    out = _folder(spark, "series")
+    rows = fx.event_series(spark, sf_dir).select(F.col("series_id").alias("series"), "time", cell.alias("value"))
+    write_named(rows, ["series"], ["time"], out, lambda v: f"series={v['series']}/data.csv")
+    return shown(read_series(spark, out).withColumn("series_id", _named("series_id")))
+
+
+def csv_series_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series written as a CSV file and read again, where any cell that isn't a number would be an error."""
+    out = _folder(spark, "series")
+    rows = fx.event_series(spark, sf_dir).select(F.col("series_id").alias("series"), "time", "value")
+    write_named(rows, ["series"], ["time"], out, lambda v: f"series={v['series']}/data.csv")
+    return shown(read_series(spark, out, coerce=False).withColumn("series_id", _named("series_id")))
+
+
+def csv_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of each series written as a CSV file and read again."""
+    out = _folder(spark, "labels")
+    rows = fx.event_labels(fx.event_series(spark, sf_dir)).select(F.col("series_id").alias("series"), "time", "is_anomaly", "anomaly_type", "is_train")
+    write_named(rows, ["series"], ["time"], out, lambda v: f"series={v['series']}/labels.csv")
+    return shown(read_labels(spark, out).withColumn("series_id", _named("series_id")))
+
+
+def _raw_corpus(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of raw corpus files, one for each series."""
+    rows = fx.event_series(spark, sf_dir)
+    sizes = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    name = F.format_string("%03d_UCR_Anomaly_%s_%d_%d_%d.txt", F.ascii("series_id"), F.col("series_id"), F.expr("n div 4"), F.expr("n div 2"), F.col("n") + 9)
+    named = rows.join(sizes.select("series_id", name.alias("file")), "series_id").select("file", "pos", F.col("value").cast("string").alias("value"))
+    # a line for each number; lines are written in the order of positions
+    parts = named.groupBy("file", F.floor(F.col("pos") / 1000).alias("part")).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v"))
+    lines = parts.select("file", F.col("part").alias("at"), F.array_join(F.transform("v", lambda x: x["value"]), "\n").alias("value"))
+    out = _folder(spark, "raw")
+    write_named(lines.select("file", "at", "value"), ["file"], ["at"], out, lambda v: v["file"], kind="text")
+    return out
+
+
+def raw_corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files, one for each series, read, decoded and described by their names."""
+    files = corpus.read_raw_files(spark, _raw_corpus(spark, sf_dir))
+    known = corpus.file_metadata(files).select("file_name", "dataset_name", "train_end", "anomaly_start", "anomaly_end")
+    return shown(corpus.decode_values(files).withColumnRenamed("series_id", "file_name").join(known, "file_name").drop("file_name"))
+
+
+def _prepared(layout: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw, out = _raw_corpus(spark, sf_dir), _folder(spark, "prepared")
+        kinds = fx.event_series(spark, sf_dir).select("series_id").distinct().where("series_id = 'error'")
+        sizes = fx.event_series(spark, sf_dir).groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).join(kinds, "series_id")
+        name = F.format_string("%03d_UCR_Anomaly_%s_%d_%d_%d.txt", F.ascii("series_id"), F.col("series_id"), F.expr("n div 4"), F.expr("n div 2"), F.col("n") + 9)
+        sizes.select(name.alias("name"), F.lit("kind a").alias("anomaly_type_2")).coalesce(1).write.csv(f"{raw}-categories", sep=";", header=True)
+        prepare_corpus(spark, raw, f"{raw}-categories", out, layout=layout)
+        series, labels = corpus.read_prepared(spark, out)
+        rows = series.select("category", "dataset_name", "pos", "time", "value").join(labels.select("category", "dataset_name", "pos", "is_anomaly", "anomaly_type"), ["category", "dataset_name", "pos"])
+        return shown(rows)
+
+    query.__doc__ = f"A raw corpus prepared, written as {layout} and read again."
+    return query
+
+
+def category_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category map written as a CSV file and read again; of rows of one name the last one counts."""
+    out = _folder(spark, "categories")
+    fx.part_categories(spark, sf_dir).orderBy("line_no", "name").select("name", "anomaly_type_2").coalesce(1).write.csv(out, sep=";", header=True)
+    return corpus.read_category_map(spark, out)
+
+
+def period_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of curated periods written as a CSV file and read again."""
+    out = _folder(spark, "periods")
+    remark = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type"))
+    fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dataset_idx"), F.col("p_size").alias("period"), remark.alias("remarks")).write.csv(out, header=True)
+    return shown(read_periods(spark, out))
+
+
+def window_result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window results written by category and dataset, and read again."""
+    series, labels, scored = _scored(spark, sf_dir)
+    out = _folder(spark, "windows")
+    found = scoring.window_results(scored, labels).join(fx.event_catalog(series), "series_id")
+    write_window_results(found, out)
+    read = spark.read.csv(out, header=True, schema="time string, window_start timestamp_ntz, window_end timestamp_ntz, sigma2 double, actual_anomaly long, predicted_anomaly long, category string, dataset_name string")
+    return shown(read.select("category", "dataset_name", "window_start", "window_end", "sigma2", "actual_anomaly", "predicted_anomaly"), sigma2=4)
+
+
+def metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics written as a file for each category, and read again with the category that a file's name says."""
+    out = _folder(spark, "metrics")
+    write_metrics(fx.order_metrics(spark, sf_dir), out)
+    read = spark.read.csv(f"{out}/*/*_evaluation.csv", header=True, schema="category string, dataset_name string, ucr_correct long")
+    return read.select("dataset_name", "ucr_correct", "category", F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_evaluation\.csv$", 1)).alias("file_category"))
+
+
+def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary written as one file of a given name, and read again."""
+    out = f"{_folder(spark, 'summary')}/overall_evaluation.csv"
+    write_summary(fx.order_metrics(spark, sf_dir), out)
+    return shown(spark.read.csv(out, header=True, schema="category string, n_datasets long, n_correct long, ucr_accuracy double"), ucr_accuracy=8)
+
+
+def single_series_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric of series scored without a corpus, raw, by a model of order (0, 1, 0)."""
+    series = fx.event_series(spark, sf_dir)
+    found = single_series(series, fx.event_labels(series), Parameters(order=(0, 1, 0), mode="raw", **SHORT))[1]
+    return shown(found, ucr_prediction_score=4)
+
+
 QUERIES: dict[str, Query] = {
     "series_positions": series_positions,
     "numeric_coercion": numeric_coercion,
@@ -304,4 +424,16 @@ QUERIES: dict[str, Query] = {
     "run_name": run_names,
     "period_accuracy": period_accuracy,
     "corpus_prepare": corpus_prepare,
+    "csv_series": csv_series,
+    "csv_series_strict": csv_series_strict,
+    "csv_labels": csv_labels,
+    "raw_corpus_files": raw_corpus_files,
+    "prepared_corpus_csv": _prepared("csv"),
+    "prepared_corpus_parquet": _prepared("parquet"),
+    "category_file": category_file,
+    "period_file": period_file,
+    "window_result_files": window_result_files,
+    "metric_files": metric_files,
+    "summary_file": summary_file,
+    "single_series_metric": single_series_metric,
 }

@@ -39,20 +39,24 @@ def scored_windows(series: DataFrame, labels: DataFrame | None, how: Parameters)
     return settings, window_results(scores(fitted), labels)
 
 
+def labelled_bounds(labels: DataFrame) -> DataFrame:
+    """The labelled interval of each series; labels without a labelled row are an error."""
+    none = F.raise_error(F.concat(F.lit("no labelled row in the labels of "), F.col("series_id"))).cast("long")
+    return anomaly_bounds(labels).withColumn("anomaly_start", F.when(F.col("n_anomaly") == 0, none).otherwise(F.col("anomaly_start")))
+
+
 def corpus_metrics(series: DataFrame, labels: DataFrame, catalog: DataFrame, how: Parameters = Parameters()) -> DataFrame:
     """A row of metrics, 22 columns, for each series of ``catalog`` (series_id, category, dataset_name).
 
     Series without labels are left out; labels without a labelled row are an error.
     """
     if "is_anomaly" not in labels.columns:
-        raise ValueError("Labels are missing 'is_anomaly'")
+        raise ValueError("the labels have no column is_anomaly")
     kept = series.join(labels.select("series_id").distinct(), "series_id", "left_semi")
     settings, results = scored_windows(kept, labels, how)
     # what counts is the differenced branch where there is one
     final = results.join(settings.select("series_id", F.when(F.col("seasonal_adjustment"), F.lit("transformed")).otherwise(F.lit("raw")).alias("branch")), ["series_id", "branch"], "left_semi")
-    bounds = anomaly_bounds(labels)
-    none = F.raise_error(F.concat(F.lit("Labels do not contain anomaly points: "), F.col("series_id"))).cast("long")
-    bounds = bounds.withColumn("anomaly_start", F.when(F.col("n_anomaly") == 0, none).otherwise(F.col("anomaly_start")))
+    bounds = labelled_bounds(labels)
     counts = kept.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_points"), F.min("time").alias("reference"))
     best = final.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max(F.when(F.col("predicted_anomaly") == 1, F.struct("window_start", "window_end", "sigma2"))).alias("best"))
     flagged = best.where("best IS NOT NULL").select("series_id", "best.*", F.lit(1).alias("predicted_anomaly"))
@@ -71,9 +75,9 @@ def corpus_metrics(series: DataFrame, labels: DataFrame, catalog: DataFrame, how
 
 
 def single_series(series: DataFrame, labels: DataFrame | None, how: Parameters = Parameters(order=(1, 0, 1))) -> tuple[DataFrame, DataFrame | None]:
-    """Window results of one or more series, and the metric where there are labels."""
+    """Window results of one or more series, and the metric where there are labels; those without a labelled row are an error."""
     settings, results = scored_windows(series, labels, how)
     if labels is None or "is_anomaly" not in labels.columns:
         return results, None
     final = results.join(settings.select("series_id", F.when(F.col("seasonal_adjustment"), F.lit("transformed")).otherwise(F.lit("raw")).alias("branch")), ["series_id", "branch"], "left_semi")
-    return results, localisation(final, anomaly_bounds(labels).where("n_anomaly > 0"), series)
+    return results, localisation(final, labelled_bounds(labels), series)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftline.functions.scalar import axis_time, decoded_file_name, file_field
+from driftline.sources.naming import exists, has_files
+from driftline.sources.series import read_labels, read_series
 
 
 def read_raw_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,7 +16,7 @@ def read_raw_files(spark: SparkSession, folder: str) -> DataFrame:
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*UCR_Anomaly*.txt").text(folder, wholetext=True)
     files = found.select(decoded_file_name(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("content"))
     if files.select("file_name").isEmpty():
-        raise FileNotFoundError(f"No raw series files found under {folder}")
+        raise FileNotFoundError(f"{folder} holds no raw corpus file")
     return files
 
 
@@ -38,7 +40,7 @@ def checked_columns(columns: list[str]) -> None:
     """An error that lists the columns which a category map lacks."""
     missing = {"name", "anomaly_type_2"} - set(columns)
     if missing:
-        raise ValueError(f"Category CSV is missing columns: {sorted(missing)}")
+        raise ValueError(f"the category map lacks {', '.join(sorted(missing))}")
 
 
 def last_of_name(categories: DataFrame) -> DataFrame:
@@ -71,10 +73,25 @@ def first_datasets(catalog: DataFrame, n: int, path: str = "file_name") -> DataF
 
 
 def read_prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Series and labels of a prepared corpus, each with category and dataset_name from its partition."""
-    series = spark.read.parquet(f"{folder}/timeseries")
-    labels = spark.read.parquet(f"{folder}/labels")
+    """Series and labels of a prepared corpus, each with category and dataset_name; series without labels are left out.
+
+    Both layouts of ``plans.corpus.prepare_corpus`` are read: Parquet, and by_category/<category>/<dataset>/timeseries.csv with labels.csv. In
+    the latter ``series_id`` is <category>/<dataset>, since two categories may have datasets of one name.
+    """
+    if exists(spark, f"{folder}/by_category"):
+        if not (has_files(spark, f"{folder}/by_category/*/*/timeseries.csv") and has_files(spark, f"{folder}/by_category/*/*/labels.csv")):
+            raise FileNotFoundError(f"{folder} holds no prepared dataset with labels")
+        series, labels = (_placed(rows) for rows in (read_series(spark, f"{folder}/by_category/*/*/timeseries.csv"), read_labels(spark, f"{folder}/by_category/*/*/labels.csv")))
+    else:
+        series, labels = spark.read.parquet(f"{folder}/timeseries"), spark.read.parquet(f"{folder}/labels")
     kept = labelled_only(series, labels)
     if kept.select("series_id").isEmpty():
-        raise FileNotFoundError(f"No prepared datasets found under {folder}")
+        raise FileNotFoundError(f"{folder} holds no prepared dataset with labels")
     return kept, labels
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Category and dataset from the last folders of a file's path, which is the series' identifier so far."""
+    parts = F.split("series_id", "/")
+    category, dataset = (F.url_decode(F.replace(F.element_at(parts, k), F.lit("+"), F.lit("%2B"))) for k in (-3, -2))
+    return rows.withColumns({"category": category, "dataset_name": dataset}).withColumn("series_id", F.concat("category", F.lit("/"), "dataset_name"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftline.functions.scalar import numeric
+from driftline.sources.naming import exists
 
 
 def with_positions(rows: DataFrame, order: list[str], block: str = "hour") -> DataFrame:
@@ -45,7 +46,7 @@ def read_series(spark: SparkSession, path: str, coerce: bool = True) -> DataFram
     """
     found = spark.read.option("recursiveFileLookup", True).csv(path, header=True)
     if len(found.columns) != 2:
-        raise ValueError("Input data must contain exactly one value column.")
+        raise ValueError("a series file has a time and one further column")
     time, value = found.columns
     text = F.col(f"`{value}`")
     rows = found.select(F.col("_metadata.file_path").alias("series_id"), F.col(f"`{time}`").cast("timestamp_ntz").alias("time"), (numeric(text) if coerce else text.cast("double")).alias("value"))
@@ -53,15 +54,12 @@ def read_series(spark: SparkSession, path: str, coerce: bool = True) -> DataFram
 
 
 def read_labels(spark: SparkSession, path: str | None) -> DataFrame | None:
-    """Labels from CSV files; None if there is no path or nothing at it."""
+    """Labels from CSV files, with whatever columns they have after the time; None if there is no path or nothing at it."""
     if path is None:
         return None
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
+    if "*" not in path and not exists(spark, path):
         return None
     found = spark.read.option("recursiveFileLookup", True).csv(path, header=True)
-    if "is_anomaly" not in found.columns:
-        raise ValueError("Labels file is missing 'is_anomaly'")
     time, *rest = found.columns
     kinds = {"is_anomaly": "int", "is_train": "int"}
     columns = [F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) for c in rest]

@@ -20,7 +20,7 @@ def test_series_files(spark, tmp_path):
         series.read_series(spark, str(tmp_path), coerce=False).collect()
     (tmp_path / "two").mkdir()
     (tmp_path / "two" / "b.csv").write_text("when,x,y\n2026-01-01,1,2\n")
-    with pytest.raises(ValueError, match="exactly one value column"):
+    with pytest.raises(ValueError, match="one further column"):
         series.read_series(spark, str(tmp_path / "two"))
 
 
@@ -30,8 +30,12 @@ def test_optional_labels(spark, tmp_path):
     (tmp_path / "l.csv").write_text("time,is_anomaly,anomaly_type,is_train\n2026-01-01,1,x,0\n")
     assert series.read_labels(spark, str(tmp_path / "l.csv")).first().is_anomaly == 1
     (tmp_path / "m.csv").write_text("time,other\n2026-01-01,1\n")
-    with pytest.raises(ValueError, match="is_anomaly"):
-        series.read_labels(spark, str(tmp_path / "m.csv"))
+    plain = series.read_labels(spark, str(tmp_path / "m.csv"))
+    assert plain.columns == ["series_id", "time", "other", "pos"]
+    start = dt.datetime(2026, 1, 1)
+    rows = spark.createDataFrame([("a", k, start + dt.timedelta(seconds=k), float(k * k % 17)) for k in range(80)], "series_id string, pos long, time timestamp_ntz, value double")
+    results, metric = single_series(rows, plain, Parameters(order=(0, 1, 0), window_size=50, stride=12))
+    assert metric is None and {r.actual_anomaly for r in results.collect()} == {0}
 
 
 def test_periods_file_with_a_byte_order_mark(spark, tmp_path):
@@ -62,9 +66,10 @@ def test_prepare_and_score(spark, raw):
     found = metrics.collect()
     assert [r.ucr_correct for r in found] == [1, 1, 1] and all(r.n_points == 300 for r in found)
     plans.write_metrics(metrics, str(raw / "metrics"))
-    assert spark.read.csv(str(raw / "metrics"), header=True).count() == 3
-    plans.write_summary(metrics, str(raw / "summary"))
-    assert spark.read.csv(str(raw / "summary"), header=True).where("category = 'overall'").first().n_datasets == "3"
+    assert sorted(str(p.relative_to(raw / "metrics")) for p in (raw / "metrics").rglob("*.csv")) == ["local_peak/local_peak_evaluation.csv", "unknown/unknown_evaluation.csv"]
+    assert spark.read.csv(str(raw / "metrics" / "*" / "*.csv"), header=True).count() == 3
+    plans.write_summary(metrics, str(raw / "summary.csv"))
+    assert (raw / "summary.csv").read_text().splitlines()[-1] == "overall,3,3,1.0"
     results, metric = single_series(rows.where("series_id = 'ucr_001_one'").select("series_id", "pos", "time", "value"), labels, Parameters(order=(0, 1, 0), window_size=50, stride=12))
     assert metric.where("series_id = 'ucr_001_one'").first().ucr_correct == 1
     plans.write_window_results(results.withColumns({"category": F.lit("c"), "dataset_name": F.col("series_id")}), str(raw / "windows"))
@@ -79,7 +84,7 @@ def test_limit_and_missing_input(spark, raw):
     with pytest.raises(FileNotFoundError):
         corpus.read_raw_files(spark, str(raw / "empty"))
     (raw / "bad.csv").write_text("name;kind\nx;y\n")
-    with pytest.raises(ValueError, match=r"missing columns: \['anomaly_type_2'\]"):
+    with pytest.raises(ValueError, match="lacks anomaly_type_2"):
         corpus.read_category_map(spark, str(raw / "bad.csv"))
 
 
@@ -88,8 +93,27 @@ def test_labels_without_anomalies_are_an_error(spark):
     rows = spark.createDataFrame([("a", k, start + dt.timedelta(seconds=k), float(k * k % 17)) for k in range(80)], "series_id string, pos long, time timestamp_ntz, value double")
     labels = rows.select("series_id", "pos", "time", F.lit(0).alias("is_anomaly"), F.lit("normal").alias("anomaly_type"))
     catalog = spark.createDataFrame([("a", "c", "d")], "series_id string, category string, dataset_name string")
-    with pytest.raises(Exception, match="do not contain anomaly points: a"):
+    with pytest.raises(Exception, match="no labelled row in the labels of a"):
         corpus_metrics(rows, labels, catalog, Parameters(order=(0, 1, 0), window_size=50, stride=12)).collect()
+    with pytest.raises(Exception, match="no labelled row in the labels of a"):
+        single_series(rows, labels, Parameters(order=(0, 1, 0), window_size=50, stride=12))[1].collect()
+
+
+def test_prepared_corpus_as_csv(spark, raw):
+    catalog = plans.prepare_corpus(spark, str(raw / "raw"), str(raw / "types.csv"), str(raw / "csv"), layout="csv")
+    names = sorted(str(p.relative_to(raw / "csv")) for p in (raw / "csv").rglob("*.csv"))
+    assert names[:2] == ["by_category/local_peak/ucr_001_one/labels.csv", "by_category/local_peak/ucr_001_one/timeseries.csv"] and len(names) == 6
+    text = (raw / "csv" / names[1]).read_text().splitlines()
+    assert text[0] == "time,value" and len(text) == 301
+    plans.prepare_corpus(spark, str(raw / "raw"), str(raw / "types.csv"), str(raw / "parquet"))
+    one, two = corpus.read_prepared(spark, str(raw / "csv")), corpus.read_prepared(spark, str(raw / "parquet"))
+    for a, b, value in zip(one, two, ("value", "is_anomaly"), strict=True):
+        assert sorted((r.dataset_name, r.pos, r.time, r[value]) for r in a.collect()) == sorted((r.dataset_name, r.pos, r.time, r[value]) for r in b.collect())
+    (raw / "csv" / "by_category" / "unknown" / "ucr_003_three" / "labels.csv").unlink()
+    assert corpus.read_prepared(spark, str(raw / "csv"))[0].select("dataset_name").distinct().count() == 2 and catalog.count() == 3
+    (raw / "none" / "by_category").mkdir(parents=True)
+    with pytest.raises(FileNotFoundError, match="no prepared dataset"):
+        corpus.read_prepared(spark, str(raw / "none"))
 
 
 def test_output_paths():
