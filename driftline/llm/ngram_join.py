@@ -15,7 +15,8 @@ Rows of the matrix are distinct texts (classes), columns 5-word shingles. Its bl
    Rows of a dense column (over ``DENSE`` entries) would pair up quadratically: they are first multiplied
    with its first row only. When components are known, what is left of a dense column are pairs across
    components, and these are all multiplied.
-4. The pairs that remain get their exact overlap from the whole rows, in the segment of the larger identifier.
+4. The pairs that remain get their exact overlap from the whole texts, in the segment of the larger identifier: shingles of
+   equal hashes are compared word by word, so a link never rests on hashes. Set sizes count distinct 64-bit hashes within a document.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut, even_keys, partitions, salted_lookup, table
+from driftline.llm.common import cut, even_keys, salted_lookup, table
 from driftline.llm.components import connected_components
-from driftline.llm.segments import Segment, dealt, describe, pack_texts, unpack_texts
-from driftline.llm.words import find, fold, pack, shingles, unpack, word_hashes
+from driftline.llm.segments import Segment, dealt, describe, pack_texts, segments_for, unpack_texts
+from driftline.llm.words import all_shingles, find, pack, shingles, spans, unpack, word_hashes
 
 N = 5
 #: Two rows link when NUM * union <= DEN * intersection, that is at a similarity of 0.75.
@@ -131,6 +132,39 @@ def multiply(h: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, d
                 yield ids[x0], ids[y0], seg[x0], seg[y0], n[x0], n[y0], count, np.maximum.reduceat(reach, at_new), dense[x0] & dense[y0]
 
 
+class Shown:
+    """A text whose links are verified: its words joined by one space, where each begins and ends, and its shingles."""
+
+    def __init__(self, text: bytes) -> None:
+        self.text = b" ".join(text.split())
+        self.starts, self.ends = spans(np.frombuffer(self.text, np.uint8)) if self.text else (np.empty(0, np.int64), np.empty(0, np.int64))
+        words, _ = word_hashes([self.text])
+        self.width = min(N, len(words))
+        self.hashes, self.places = np.unique(all_shingles(words, N), return_index=True)
+
+    def grams(self) -> set[tuple[bytes, ...]]:
+        words = self.text.split()
+        return {tuple(words[k : k + self.width]) for k in range(len(words) - self.width + 1)}
+
+    def links(self, other: Shown) -> bool:
+        """Whether two texts share enough shingles. Those of equal hashes are compared word by word, in runs of both texts."""
+        at = find(other.hashes, self.hashes)
+        mine, theirs = self.places[at >= 0], other.places[at[at >= 0]]
+        if (NUM + DEN) * len(mine) < NUM * (len(self.hashes) + len(other.hashes)):
+            return False
+        order = np.argsort(mine)
+        mine, theirs = mine[order], theirs[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(mine) != 1) | (np.diff(theirs) != 1)]))
+        last = np.append(first[1:], len(mine)) - 1
+        runs = zip(
+            self.starts[mine[first]].tolist(), self.ends[mine[last] + self.width - 1].tolist(), other.starts[theirs[first]].tolist(), other.ends[theirs[last] + other.width - 1].tolist(), strict=True
+        )
+        if self.width == other.width and all(self.text[a:b] == other.text[c:d] for a, b, c, d in runs):
+            return True
+        x, y = self.grams(), other.grams()
+        return (NUM + DEN) * len(x & y) >= NUM * (len(x) + len(y))
+
+
 def _exact(segs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b) of the ``pairs`` (a, b, seg_a, seg_b) that link, by the shingles of their whole texts."""
 
@@ -139,34 +173,30 @@ def _exact(segs: DataFrame, pairs: DataFrame) -> DataFrame:
         for i, dst in zip(wanted["id"].to_pylist(), wanted["dst"].to_pylist(), strict=True):
             to.setdefault(dst, set()).add(i)
         needed = set().union(*to.values()) if to else set()
-        texts: dict[int, list[bytes]] = {}
+        texts: dict[int, list[tuple[tuple[int, int], bytes]]] = {}
         for blob in t["blob"].to_pylist() if needed else []:
-            for i, text in zip(*unpack_texts(blob), strict=True):
-                if i in needed:
-                    texts.setdefault(i, []).append(text)
-        sent = {dst: [(i, text) for i in sorted(ids) for text in texts.get(i, [])] for dst, ids in to.items()}
-        return _tell(seg=(list(sent), pa.int32()), blob=([pack_texts([i for i, _ in x], [text for _, text in x]) for x in sent.values()], pa.binary()))
+            for i, key, text in zip(*unpack_texts(blob), strict=True):
+                if i in needed and (key, text) not in texts.setdefault(i, []):
+                    texts[i].append((key, text))
+        sent = {dst: [(i, *x) for i in sorted(ids) for x in texts.get(i, [])] for dst, ids in to.items()}
+        return _tell(seg=(list(sent), pa.int32()), blob=([pack_texts(*map(list, zip(*x, strict=True))) if x else pack_texts([], [], []) for x in sent.values()], pa.binary()))
 
-    def sets(blobs: list[bytes], ids: set[int], into: dict[int, list[np.ndarray]]) -> None:
+    def sets(blobs: list[bytes], ids: set[int], into: dict[int, dict[tuple[int, int], Shown]]) -> None:
         for blob in blobs:
-            here = [(i, fold(text)) for i, text in zip(*unpack_texts(blob), strict=True) if i in ids]
-            words, first = word_hashes([text for _, text in here])
-            for k, (i, _) in enumerate(here):
-                into.setdefault(i, []).append(shingles(words[first[k] : first[k + 1]], N))
+            for i, key, text in zip(*unpack_texts(blob), strict=True):
+                if i in ids and key not in into.setdefault(i, {}):
+                    into[i][key] = Shown(text)
 
     def overlap(t: pa.Table, asked: pa.Table) -> pa.Table:
         todo = [(a, b) for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True) if a is not None]
-        left: dict[int, list[np.ndarray]] = {}
-        right: dict[int, list[np.ndarray]] = {}
+        left: dict[int, dict[tuple[int, int], Shown]] = {}
+        right: dict[int, dict[tuple[int, int], Shown]] = {}
         sets([x for x in asked["blob"].to_pylist() if x is not None], {a for a, _ in todo}, left)
         sets(t["blob"].to_pylist() if todo else [], {b for _, b in todo}, right)
         linked = []
         for a, b in todo:
-            for x in left.get(a, []):
-                for y in right.get(b, []):
-                    both = int(np.count_nonzero(find(y, x) >= 0))
-                    if (NUM + DEN) * both >= NUM * (len(x) + len(y)):
-                        linked.append((a, b))
+            if any(x.links(y) for x in left.get(a, {}).values() for y in right.get(b, {}).values()):
+                linked.append((a, b))
         return _tell(a=([a for a, _ in linked], pa.int64()), b=([b for _, b in linked], pa.int64()))
 
     wanted = pairs.select(F.col("seg_a").alias("seg"), F.col("a").alias("id"), F.col("seg_b").alias("dst")).distinct()
@@ -185,15 +215,16 @@ def ngram_join(docs: DataFrame, dense_from: int = DENSE) -> DataFrame:
     that is shorter; a null or empty text, or one of white space only, has none and links with nothing. Two
     documents link when 100 * intersection >= 75 * union; ``component_id`` is the smallest identifier reachable
     by links. A row with a null identifier gets its number of shingles and a null component, and links nothing. Rows that
-    repeat an identifier share its links. An empty table gives an empty result; other columns are ignored.
+    repeat an identifier share its links. Texts and words may be of any length. An empty table gives an empty result; other columns
+    are ignored.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = segments_for(docs)
     keys = even_keys(spark, n)
-    segs = dealt(docs, fold_case=True)
+    segs = dealt(docs, True, n)
 
     def column_sums(t: pa.Table) -> pa.Table:
-        q, size = _column_sums(_rows_of(Segment(t["blob"].to_pylist(), True))[0])
+        q, size = _column_sums(_rows_of(Segment(t["blob"].to_pylist()))[0])
         cuts = list(_slices(q, COLUMN_BITS, n))
         return _tell(bucket=([keys[b] for b, _ in cuts], pa.int32()), seg=([t["seg"][0].as_py()] * len(cuts), pa.int32()), blob=([pack(q[x], size[x]) for _, x in cuts], pa.binary()))
 
@@ -214,7 +245,7 @@ def ngram_join(docs: DataFrame, dense_from: int = DENSE) -> DataFrame:
     def entries(t: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[tuple[int, bytes]] = []
         if t.num_rows:
-            h, ids, size, place, dense, has_dense = prefix_entries(Segment(t["blob"].to_pylist(), True), answers["blob"].to_pylist(), dense_from)
+            h, ids, size, place, dense, has_dense = prefix_entries(Segment(t["blob"].to_pylist()), answers["blob"].to_pylist(), dense_from)
             for is_dense in (False, True):
                 x = np.flatnonzero(dense == is_dense)
                 x = x[np.argsort(h[x], kind="stable")]

@@ -59,6 +59,42 @@ def test_words_over_chunks(monkeypatch):
     assert (whole == parts).all() and first.tolist() == [0, 5000, 5001, 10001]
 
 
+def thue_morse(n, a, b):
+    return [b if k.bit_count() % 2 else a for k in range(n)]
+
+
+@pytest.mark.parametrize("way", [0, 1])
+def test_hashes_of_regular_texts_differ(way):
+    words_ = [b"a" * k for k in range(1, 200)] + [b"a" * k + b"\x05" for k in range(1, 200)] + [b"\x00" * k for k in range(1, 20)]
+    words_ += ["".join(thue_morse(n, *pair)).encode() for n in (8, 16, 64, 1024, 2048) for pair in ("ab", "ba")]
+    hashes, _ = words.word_hashes(words_, way)
+    assert len(np.unique(hashes)) == len(set(words_))
+    for n in (5, 7, 13):
+        grams = [b" ".join(b"a" if k >> j & 1 else b"b" for j in range(n)) for k in range(1 << n)]
+        own, first = words.word_hashes(grams, way)
+        assert len(np.unique(words.ngram_hashes(own, n)[first[:-1]])) == 1 << n
+
+
+REGULAR = [
+    [(1, "".join(thue_morse(2048, "a", "b"))), (2, "".join(thue_morse(2048, "b", "a")))],
+    [(1, " ".join(thue_morse(2048, "a", "b"))), (2, " ".join(thue_morse(2048, "b", "a"))), (3, " ".join(thue_morse(2048, "a", "c")))],
+    [(1, " ".join(["".join(thue_morse(2048, "a", "b"))] * 13)), (2, " ".join(["".join(thue_morse(2048, "b", "a"))] * 13)), (3, " ".join(["z" * 300_000] * 14)), (4, " ".join(["z" * 300_000] * 13))],
+    [(1, "x " * 40_000), (2, "x " * 39_999 + "y"), (5, "only" * 100_000), (6, "only" * 100_000)],
+]
+
+
+@pytest.mark.parametrize("rows", REGULAR)
+def test_regular_and_very_long_texts(spark, rows):
+    assert sorted(map(tuple, ngram_join.ngram_join(frame(spark, rows)).collect())) == brute.ngram_join(rows)
+    assert sorted(map(tuple, substring_dedup.substring_dedup(frame(spark, rows)).collect())) == brute.substring_dedup(rows)
+
+
+def test_links_are_verified_by_words(monkeypatch):
+    a, b = ngram_join.Shown(b" ".join(b"p%d" % k for k in range(40))), ngram_join.Shown(b" ".join(b"q%d" % k for k in range(40)))
+    b.hashes, b.places = a.hashes, a.places  # hashes that meet by chance
+    assert not a.links(b) and a.links(ngram_join.Shown(a.text))
+
+
 def test_packed_columns_come_back():
     a = np.array([3, 3, 2**63 + 5, 2**64 - 1], np.uint64)
     b = np.array([-1, 0, 7, 2**62])
@@ -77,6 +113,32 @@ def test_exact_dedup(spark, keep):
     assert left.columns == frame(spark, rows).columns
 
 
+@pytest.mark.parametrize(("depth", "bits"), [(4, 1), (5, 2), (7, 3)])
+def test_rounds_of_the_tree(spark, depth, bits):
+    rows = corpus(2)
+    found = exact_dedup.cut(exact_dedup.digests(frame(spark, rows, 9)))
+    runs = exact_dedup.merged_runs(found, "largest", bits, depth).collect()
+    assert len({r.text_sha256 for r in runs}) == len(runs) == len({x[4] for x in brute.exact_dedup(rows)})
+    assert all(r.run == (r.digest & (2**64 - 1)) >> (64 - depth) for r in runs)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(frame(spark, rows, 9), "largest", bits, depth).collect())) == brute.exact_dedup(rows)
+
+
+def test_runs_are_merged_in_sorted_order_without_python(spark):
+    found = exact_dedup.exact_dedup(frame(spark, corpus(2)), "largest", 3, 7)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("SortAggregate") >= 4 and "Arrow" not in plan and "Python" not in plan
+
+
+def test_survivors_keep_any_column(spark):
+    rows = [(7, "c", "x"), (7, "c", "y"), (8, "d", "z"), (9, None, "n"), (10, "", "m"), (None, "long " * 50_000, "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string").withColumns({"_sha": F.lit(1), "whole": F.lit("w"), "of_id": F.lit(2.5), "leaf": F.col("_id")})
+    left = exact_dedup.survivors(df, "largest")
+    assert left.columns == df.columns
+    assert sorted((str(r.doc_id), r._sha, r.whole, r.of_id, r.leaf == r._id) for r in left.collect()) == sorted((i, 1, "w", 2.5, True) for i in ("7", "8", "10", "None"))
+
+
 def test_exact_dedup_of_odd_rows(spark):
     found = exact_dedup.exact_dedup(frame(spark, [(None, "a"), (5, "A"), (None, "b"), (7, "c"), (7, "c"), (8, "c")])).collect()
     by = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in found)
@@ -173,20 +235,22 @@ def vectors(seed=0, dim=24):
     return rows
 
 
-@pytest.mark.parametrize("tile", [2048, 5])
-def test_embedding_dedup(spark, tile):
-    rows = vectors()
+@pytest.mark.parametrize(("tile", "aim"), [(32_768, 4096), (5, 4096), (32_768, 2), (4, 2)])
+def test_embedding_dedup(spark, tile, aim, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SQUARE", 7)
+    rows = vectors() + [(2000 + k, [1.0, 2.0, 3.0], 7) for k in range(40)] + [(3000, [1.0, 2.0, 3.1], 7), (3000, [1.0, 2.0, 3.0], 7)]
+    rows = sorted(rows, key=repr)
     usable = [(i, v, lab) for i, v, lab in rows if lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    links = [(a[0], b[0]) for k, a in enumerate(usable) for b in usable[:k] if a[2] == b[2] and len(a[1]) == len(b[1]) and brute.cosine(a[1], b[1]) >= 0.98]
+    links = [(a[0], b[0]) for k, a in enumerate(usable) for b in usable[:k] if a[0] != b[0] and a[2] == b[2] and len(a[1]) == len(b[1]) and brute.cosine(a[1], b[1]) >= 0.98]
     count = {i: 0 for i, _, _ in rows}
     for a, b in links:
         count[a] += 1
         count[b] += 1
     least = brute.components(count, links)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"cell": F.lit(1), "home": F.lit("x")})
-    found = embedding_dedup.embedding_dedup(df, tile=tile)
+    found = embedding_dedup.embedding_dedup(df, tile=tile, aim=aim)
     assert len(links) > 50
-    assert sorted(map(tuple, found.collect())) == sorted((i, n, least[i], least[i] == i) for i, n in count.items())
+    assert sorted(map(tuple, found.collect())) == sorted((i, count[i], least[i], least[i] == i) for i, _, _ in rows)
 
 
 def test_embedding_dedup_of_odd_rows(spark):
