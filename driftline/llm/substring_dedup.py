@@ -3,8 +3,9 @@
 A repeat of at least 13 words contains, wherever it starts, a whole block of 7 words of any cutting of the
 earlier document into consecutive blocks. So only non-overlapping blocks are indexed, one word position in
 seven, and every rolling 7-word window of every document probes them. Hits are anchors: 13-word windows that
-contain one are compared exactly with those around the anchors of the other documents, and runs of windows
-that agree are the maximal exact repeats. Each word of a repeat goes unless its document is the first that has it.
+contain one are compared with those around the anchors of the other documents, and runs of windows
+that agree are the maximal repeats. Each word of a repeat goes unless its document is the first that has it. Windows are
+compared by two independent 64-bit hashes of their words (``words.ngram_hashes``; 128 bits together), anchors by 40 bits of one.
 
 Execution: documents are dealt once into segments (``segments.dealt``). Each segment sends the distinct hashes of
 its windows, with a flag for those that start a block, to the bucket of their hash, a compressed blob for each
@@ -24,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut, even_keys, partitions, table
-from driftline.llm.segments import Segment, dealt, describe
-from driftline.llm.words import find, inside_text, ngram_hashes, pack, unpack
+from driftline.llm.common import cut, even_keys, table
+from driftline.llm.segments import Segment, dealt, describe, segments_for
+from driftline.llm.words import among, inside_text, ngram_hashes, pack, unpack, word_hashes
 
 WINDOW = 13
 #: The longest block that every window of 13 words contains whole, however the blocks lie.
 BLOCK = (WINDOW + 1) // 2
-#: Bits of the hash that selects anchors; a chance hit is thrown out by the exact comparison.
+#: Bits of the hash that selects anchors; a chance hit is thrown out when its windows are compared.
 ANCHOR_BITS = 40
 _EMPTY = np.empty(0, np.uint64)
 
@@ -48,49 +49,55 @@ def _anchors(s: Segment) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     q = ngram_hashes(s.words, BLOCK) >> np.uint64(64 - ANCHOR_BITS)
     ok = inside_text(s.first, BLOCK, len(q))
     doc = s.doc_of_word()[: len(q)]
-    return q, ok, doc, (np.arange(len(q)) - s.first[doc]) % BLOCK == 0
+    return q, ok, doc, (np.arange(len(q), dtype=np.int32) - s.first.astype(np.int32)[doc]) % BLOCK == 0
 
 
 def _summary(s: Segment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct hashes of a segment, whether each is indexed, and whether two of its texts have it."""
     q, ok, doc, indexed = _anchors(s)
-    room = 63 - ANCHOR_BITS
-    if len(s.ids) >> room:
-        raise ValueError("too many documents in a segment: raise spark.sql.shuffle.partitions")
-    key = np.sort((q[ok] << np.uint64(room + 1)) | (doc[ok].astype(np.uint64) << np.uint64(1)) | indexed[ok].astype(np.uint64))
-    if not len(key):
+    q, doc, indexed = q[ok], doc[ok], indexed[ok]
+    if not len(q):
         return _EMPTY, np.empty(0, bool), np.empty(0, bool)
-    h = key >> np.uint64(room + 1)
+    order = np.argsort(q)
+    h, doc = q[order], doc[order]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    end = np.concatenate([start[1:], [len(h)]]) - 1
-    flag = np.maximum.reduceat(key & np.uint64(1), start) > 0
-    return h[start], flag, (key[start] >> np.uint64(1)) != (key[end] >> np.uint64(1))
+    flag = np.logical_or.reduceat(indexed[order], start)
+    return h[start], flag, np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
 
 
 def _rows(**columns: tuple[list, pa.DataType]) -> pa.Table:
     return pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()})
 
 
-def _found(s: Segment, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The exact windows around anchors: their first words and hashes."""
+def _found(s: Segment, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows around anchors: their first words and two independent hashes. Answers are places in the summary."""
     q, ok, _, _ = _anchors(s)
     h, flag, several = _summary(s)
-    own = h[flag & several]
-    hits = np.unique(np.concatenate([own, *(unpack(b)[0] for b in answers)]))
-    hit = ok & (find(hits, q) >= 0)
+    hit_of = flag & several
+    for blob in answers:
+        hit_of[unpack(blob)[0].astype(np.int64)] = True
+    hit = ok & among(h[hit_of], q)
+    del q, ok, h, flag, several
     size = max(0, len(s.words) - WINDOW + 1)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    near = total[np.arange(size) + WINDOW - BLOCK + 1] > total[:size]
+    total = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+    near = total[WINDOW - BLOCK + 1 : WINDOW - BLOCK + 1 + size] > total[:size]
     at = np.flatnonzero(near & inside_text(s.first, WINDOW, size))
-    return at, ngram_hashes(s.words, WINDOW)[at]
+    own = ngram_hashes(s.words, WINDOW)[at]
+    return at, own, ngram_hashes(word_hashes(s.texts, 1)[0], WINDOW)[at]
 
 
-def _firsts(s: Segment, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct windows and the smallest identifier of this segment that has each."""
-    order = np.argsort(h, kind="stable")  # texts are in the order of their identifiers
-    sorted_h = h[order]
-    start = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])) if len(h) else np.empty(0, np.int64)
-    return sorted_h[start], s.ids[s.doc_of_word()[at[order[start]]]] if len(h) else np.empty(0, np.int64)
+def _runs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Where runs of equal pairs begin."""
+    return np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(h) else np.empty(0, np.int64)
+
+
+def _firsts(s: Segment, at: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows (both hashes), the smallest identifier of this segment that has each, and each window's place among them."""
+    order = np.lexsort((g, h))  # stable, and texts are in the order of their identifiers
+    start = _runs(h[order], g[order])
+    of = np.empty(len(h), np.int64)
+    of[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
+    return h[order[start]], g[order[start]], s.ids[s.doc_of_word()[at[order[start]]]] if len(h) else np.empty(0, np.int64), of
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -105,64 +112,74 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     result; other columns are ignored. Texts may be of any length.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = segments_for(docs)
     keys = even_keys(spark, n)
-    segs = dealt(docs, fold_case=False)
+    segs = dealt(docs, False, n)
+
+    def asked_of(t: pa.Table, cuts: list[tuple[int, int, int]], *columns: np.ndarray) -> pa.Table:
+        """A segment's sorted columns, a blob for each bucket; ``base`` is the place of the blob's first row in them."""
+        size = len(cuts)
+        seg = [t["seg"][0].as_py()] * size
+        return _rows(bucket=([keys[b] for b, _, _ in cuts], pa.int32()), seg=(seg, pa.int32()), base=([a for _, a, _ in cuts], pa.int64()), blob=([pack(*(c[a:z] for c in columns)) for _, a, z in cuts], pa.binary()))
+
+    def gathered(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The columns of a bucket's blobs, one after the other, and the blob and the place in its segment of each row."""
+        parts = [unpack(b) for b in t["blob"].to_pylist()]
+        sizes = [len(p[0]) for p in parts]
+        who = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+        place = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.array(t["base"].to_pylist(), np.int64), sizes)
+        return [np.concatenate(c) for c in zip(*parts, strict=True)], who, place
+
+    def answered(t: pa.Table, wanted: np.ndarray, who: np.ndarray, place: np.ndarray, *columns: np.ndarray) -> pa.Table:
+        """Tells each segment the places of its rows that are wanted, with columns."""
+        at = np.flatnonzero(wanted)
+        at = at[np.lexsort((place[at], who[at]))]
+        ends = np.searchsorted(who[at], np.arange(t.num_rows + 1))
+        back = [(t["seg"][k].as_py(), pack(place[at[a:z]], *(c[at[a:z]] for c in columns))) for k, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+        return _rows(seg=([k for k, _ in back], pa.int32()), blob=([x for _, x in back], pa.binary()))
 
     def probes(t: pa.Table) -> pa.Table:
-        s = Segment(t["blob"].to_pylist(), False)
-        h, flag, _ = _summary(s)
-        cuts = _by_bucket(h, ANCHOR_BITS, n)
-        return _rows(bucket=([keys[b] for b, _, _ in cuts], pa.int32()), seg=([t["seg"][0].as_py()] * len(cuts), pa.int32()), blob=([pack(h[a:z], flag[a:z]) for _, a, z in cuts], pa.binary()))
+        h, flag, _ = _summary(Segment(t["blob"].to_pylist()))
+        return asked_of(t, _by_bucket(h, ANCHOR_BITS, n), h, flag)
 
     def anchored(t: pa.Table) -> pa.Table:
-        parts = [unpack(b) for b in t["blob"].to_pylist()]
-        h = np.concatenate([p[0] for p in parts])
-        flag = np.concatenate([p[1] for p in parts])
-        who = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
+        (h, flag), who, place = gathered(t)
         order = np.argsort(h, kind="stable")
-        h, flag, who = h[order], flag[order], who[order]
+        h, flag, who, place = h[order], flag[order], who[order], place[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.concatenate([start, [len(h)]]))
+        size = np.diff(np.append(start, len(h)))
         shared = np.repeat((size > 1) & (np.maximum.reduceat(flag, start) > 0), size)
-        back = [(k, h[shared & (who == k)]) for k in range(len(parts))]
-        back = [(t["seg"][k].as_py(), pack(x)) for k, x in back if len(x)]
-        return _rows(seg=([k for k, _ in back], pa.int32()), blob=([x for _, x in back], pa.binary()))
+        return answered(t, shared, who, place)
 
     def windows(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return _rows(bucket=([], pa.int32()), seg=([], pa.int32()), blob=([], pa.binary()))
-        s = Segment(t["blob"].to_pylist(), False)
-        h, ids = _firsts(s, *_found(s, answers["blob"].to_pylist()))
-        cuts = _by_bucket(h, 64, n)
-        return _rows(bucket=([keys[b] for b, _, _ in cuts], pa.int32()), seg=([t["seg"][0].as_py()] * len(cuts), pa.int32()), blob=([pack(h[a:z], ids[a:z]) for _, a, z in cuts], pa.binary()))
+            return _rows(bucket=([], pa.int32()), seg=([], pa.int32()), base=([], pa.int64()), blob=([], pa.binary()))
+        s = Segment(t["blob"].to_pylist())
+        h, g, ids, _ = _firsts(s, *_found(s, answers["blob"].to_pylist()))
+        return asked_of(t, _by_bucket(h, 64, n), h, g, ids)
 
     def first_owners(t: pa.Table) -> pa.Table:
-        parts = [unpack(b) for b in t["blob"].to_pylist()]
-        h = np.concatenate([p[0] for p in parts])
-        ids = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        who = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
-        order = np.argsort(h, kind="stable")
-        h, ids, who = h[order], ids[order], who[order]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        least = np.repeat(np.minimum.reduceat(ids, start), np.diff(np.concatenate([start, [len(h)]])))
-        back = [(k, (least < ids) & (who == k)) for k in range(len(parts))]
-        back = [(t["seg"][k].as_py(), pack(h[x], least[x])) for k, x in back if x.any()]
-        return _rows(seg=([k for k, _ in back], pa.int32()), blob=([x for _, x in back], pa.binary()))
+        (h, g, ids), who, place = gathered(t)
+        ids = ids.astype(np.int64)
+        order = np.lexsort((g, h))
+        h, g, ids, who, place = h[order], g[order], ids[order], who[order], place[order]
+        start = _runs(h, g)
+        least = np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(h))))
+        return answered(t, least < ids, who, place, least)
 
     def removal(t: pa.Table, anchors: pa.Table, owners: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if t.num_rows:
-            s = Segment(t["blob"].to_pylist(), False)
-            at, h = _found(s, anchors["blob"].to_pylist())
+            s = Segment(t["blob"].to_pylist())
+            at, h, g = _found(s, anchors["blob"].to_pylist())
             doc = s.doc_of_word()
-            least = np.full(len(h), np.iinfo(np.int64).max)
-            told = [_firsts(s, at, h), *(unpack(b) for b in owners["blob"].to_pylist())]
-            for known, ids in told:
-                place = find(known, h)
-                least[place >= 0] = np.minimum(least[place >= 0], ids.astype(np.int64)[place[place >= 0]])
+            _, _, own, of = _firsts(s, at, h, g)
+            for blob in owners["blob"].to_pylist():
+                place, ids = unpack(blob)
+                own[place.astype(np.int64)] = np.minimum(own[place.astype(np.int64)], ids.astype(np.int64))
+            least = own[of]
             gone = at[s.ids[doc[at]] > least]
-            edge = np.zeros(len(s.words) + 1, np.int64)
+            edge = np.zeros(len(s.words) + 1, np.int32)
             np.add.at(edge, gone, 1)
             np.add.at(edge, gone + WINDOW, -1)
             keep = np.cumsum(edge[:-1]) == 0
@@ -176,7 +193,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         kinds = {"doc_id": pa.int64(), "fp1": pa.int64(), "fp2": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
         return pa.table({name: pa.array([x[k] for x in out], kind) for k, (name, kind) in enumerate(kinds.items())})
 
-    tell, ask = "seg int, blob binary", "bucket int, seg int, blob binary"
+    tell, ask = "seg int, blob binary", "bucket int, seg int, base long, blob binary"
     anchors = cut(segs.groupBy("seg").applyInArrow(probes, ask).groupBy("bucket").applyInArrow(anchored, tell))
     asked = segs.groupBy("seg").cogroup(anchors.groupBy("seg")).applyInArrow(windows, ask)
     owners = cut(asked.groupBy("bucket").applyInArrow(first_owners, tell))
