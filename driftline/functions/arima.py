@@ -64,29 +64,46 @@ def innovations(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.n
     shock = np.zeros((lanes, r))
     shock[:, 0] = 1
     shock[:, 1 : 1 + theta.shape[1]] = theta
-    noise = shock[:, :, None] * shock[:, None, :]
-    cov = _stationary(auto, shock)
-    state = np.zeros((lanes, columns, r))
-    errors, variances = np.empty_like(x), np.empty((lanes, n))
+    # lanes come last, so that every step runs over them in a row
+    cov = np.ascontiguousarray(_stationary(auto, shock).transpose(1, 2, 0))
+    auto, shock = np.ascontiguousarray(auto.T), np.ascontiguousarray(shock.T)
+    noise = shock[:, None] * shock[None]
+    times = np.ascontiguousarray(x.transpose(2, 1, 0))
+    state = np.zeros((r, columns, lanes))
+    errors, variances = np.empty_like(times), np.empty((n, lanes))
     steady = False
     for t in range(n):
         if not steady:
-            f = cov[:, 0, 0]
-            moved = auto[:, :, None] * cov[:, None, 0, :]
-            moved[:, :-1] += cov[:, 1:]
-            gain = moved[:, :, 0] / f[:, None]
-            after = moved[:, :, :1] * auto[:, None, :]
-            after[:, :, :-1] += moved[:, :, 1:]
-            after += noise - gain[:, :, None] * gain[:, None, :] * f[:, None, None]
-            steady = bool(np.abs(after - cov).max() < 1e-13)
+            f = cov[0, 0]
+            moved = auto[:, None] * cov[0]
+            moved[:-1] += cov[1:]
+            gain = moved[:, 0] / f
+            after = moved[:, :1] * auto[None]
+            after[:, :-1] += moved[:, 1:]
+            after += noise - gain[:, None] * (gain * f)
+            steady = t % 4 == 3 and bool(np.abs(after - cov).max() < 1e-13)
             cov = after
-        variances[:, t] = f
-        v = x[:, :, t] - state[:, :, 0]
-        errors[:, :, t] = v
-        moved = state[:, :, :1] * auto[:, None, :]
-        moved[:, :, :-1] += state[:, :, 1:]
-        state = moved + gain[:, None, :] * v[:, :, None]
-    return errors, variances
+        variances[t] = f
+        v = np.subtract(times[t], state[0], out=errors[t])
+        moved = state[0] * auto[:, None]
+        moved[:-1] += state[1:]
+        moved += gain[:, None] * v
+        state = moved
+    return errors.transpose(2, 1, 0), variances.T
+
+
+def _values_at(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> np.ndarray:
+    """-2 log-likelihood of all windows at the same parameters: one lane, whose columns are the windows."""
+    phi, theta = coefficients(free[None, :p]), -coefficients(free[None, p:])
+    n = x.shape[1]
+    errors, f = innovations(np.vstack([x, np.ones((1, n))] if mean else [x])[None], phi, theta)
+    v = errors[0]
+    if mean:
+        one = v[-1]
+        v = v[:-1] - ((v[:-1] * (one / f[0])).sum(1) / (one * one / f[0]).sum())[:, None] * one
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = n * np.log((v * v / f[0]).sum(1) / n) + np.log(f[0]).sum()
+    return np.where(np.isnan(value), np.inf, value)
 
 
 def _profile(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,15 +183,16 @@ def _minimise(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> tuple[np.n
 
 
 def _polish(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> np.ndarray:
-    """Two Newton steps from where the search ended; they are left out where the curvature isn't that of a minimum."""
+    """Two Newton steps from where the search ended, by one Hessian; they are left out where it isn't that of a minimum."""
     lanes, k = free.shape
+    sides = [[_gradient(x, free + sign * 10 * STEP * np.eye(k)[j], p, mean)[1] for sign in (1, -1)] for j in range(k)]
+    hess = np.stack([(up - down) / (20 * STEP) for up, down in sides], axis=2)
+    hess = (hess + hess.transpose(0, 2, 1)) / 2
+    curved = np.isfinite(hess).all((1, 2))
+    curved[curved] = np.linalg.eigvalsh(hess[curved])[:, 0] > 1e-3
     for _ in range(2):
         grad = _gradient(x, free, p, mean)[1]
-        sides = [[_gradient(x, free + sign * 10 * STEP * np.eye(k)[j], p, mean)[1] for sign in (1, -1)] for j in range(k)]
-        hess = np.stack([(up - down) / (20 * STEP) for up, down in sides], axis=2)
-        hess = (hess + hess.transpose(0, 2, 1)) / 2
-        ok = np.isfinite(hess).all((1, 2)) & np.isfinite(grad).all(1)
-        ok[ok] = np.linalg.eigvalsh(hess[ok])[:, 0] > 1e-3
+        ok = curved & np.isfinite(grad).all(1)
         step = np.zeros_like(free)
         step[ok] = np.linalg.solve(hess[ok], grad[ok][:, :, None])[:, :, 0]
         free = np.where((np.abs(step).max(1) < 0.05)[:, None], free - step, free)
@@ -184,7 +202,7 @@ def _polish(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> np.ndarray:
 def search(x: np.ndarray, p: int, k: int, mean: bool) -> tuple[np.ndarray, np.ndarray]:
     """The best parameters found from the most likely of many starts, and whether the search for them converged."""
     grid = np.array(list(product(STARTS, repeat=k))) if k <= 2 else np.random.default_rng(k).uniform(-2, 2, (64, k))
-    tried = np.stack([_profile(x, np.tile(g, (len(x), 1)), p, mean)[0] for g in grid], axis=1)
+    tried = np.stack([_values_at(x, g, p, mean) for g in grid], axis=1)
     best, free, sure = np.full(len(x), np.inf), np.zeros((len(x), k)), np.zeros(len(x), bool)
     for start in np.argsort(tried, axis=1)[:, :KEPT_STARTS].T:
         found, value, ok = _minimise(x, grid[start], p, mean)

@@ -16,7 +16,7 @@ from driftline.operators.windows import trailing_windows
 from driftline.session import checkpointed, ship_package
 
 #: Windows that are fitted at once.
-BATCH = 512
+BATCH = 1024
 FITTED = "series_id string, branch string, window_no bigint, window_start timestamp_ntz, window_end timestamp_ntz, positions array<bigint>, sigma2 double, residuals array<double>, converged boolean"
 
 

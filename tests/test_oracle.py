@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from driftline.operators import scoring
 from driftline.plans import oracle, queries
 from tests.compare import assert_same
 
@@ -22,6 +23,20 @@ def test_every_sql_has_a_query():
     assert set(oracle.SQL) <= set(queries.QUERIES)
 
 
+@pytest.mark.parametrize("name", ["window_results", "pipeline_metrics_010"])
+def test_windows_are_fitted_once(spark, sf_dir, name, monkeypatch):
+    plans, real = [], scoring.checkpointed
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(scoring, "checkpointed", noted)
+    found = queries.QUERIES[name](spark, sf_dir)
+    assert [p.count("MapInArrow") for p in plans] == [1]
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     import __spark_entry__
 
