@@ -36,6 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return used
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator wrote for itself."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -83,13 +89,15 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return list(_even_keys(spark, n))
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: str, salts: int = 64) -> DataFrame:
+def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: str, salts: int | None = None) -> DataFrame:
     """Left join of ``big`` with ``small`` (unique and non-null ``keys``) that survives a hot key.
 
     The rows of ``big`` are first reduced to distinct (keys, salt), the salt being a hash of
     ``spread``. Only these, ``salts`` rows for a key at most, meet ``small``; the rows themselves
-    are joined on (keys, salt), so a key that holds a third of all rows is dealt over ``salts`` tasks.
+    are joined on (keys, salt), so a key that holds a third of all rows is dealt over ``salts`` tasks: by default
+    as many as there are shuffle partitions, 64 at least. ``big`` is read twice.
     """
+    salts = max(64, partitions(big.sparkSession)) if salts is None else salts
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     leaves = salted.select(*keys, "_salt").distinct().join(small, keys, "left")
     return salted.join(leaves, [*keys, "_salt"], "left").drop("_salt")
