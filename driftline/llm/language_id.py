@@ -7,7 +7,7 @@ of its languages votes (one versus one); the language with most votes wins, then
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from driftline.llm.common import table
-from driftline.llm.learning import bounded_sample, fit_svm, sigmoid
+from driftline.llm.common import cut, table
+from driftline.llm.learning import fit_svm, sample_key, sigmoid
 
 #: Columns of the hashed trigram shares.
 DIMS = 4096
-#: Documents that the machines are fitted on, at most.
+#: Documents that the machines are fitted on, at most: as many of each language, or all that it has.
 SAMPLE = 4_000
 UNKNOWN = "und"
 #: Families of common languages. Any other language is a family of its own.
@@ -94,26 +95,24 @@ class Identifier:
         return langs.tolist(), np.clip(score, 0, 1)
 
 
-def fit(x: np.ndarray, langs: list[str]) -> Identifier:
-    """Fits the machines; classes weigh the same whatever their sizes."""
-    y = np.array(langs, object)
+def machine(x: np.ndarray, y: np.ndarray, among: list[str], first: list[str]) -> tuple[np.ndarray, float]:
+    """The machine that tells rows of the ``first`` languages from those of the others ``among`` which it is; both sides weigh the same."""
+    rows = np.flatnonzero(np.isin(y, among))
+    own = np.isin(y[rows], first)
+    weight = np.where(own, 0.5 / max(1, own.sum()), 0.5 / max(1, (~own).sum())) * len(rows)
+    return fit_svm(x[rows].astype(np.float64), np.where(own, 1.0, -1.0), weight)
+
+
+def fit(langs: list[str], solved: Callable[[list[tuple[list[str], list[str]]]], list[tuple[np.ndarray, float]]]) -> Identifier:
+    """Fits the machines; ``solved`` gives those of tasks (among, first), in their order."""
     names: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         names.setdefault(family_of(lang), []).append(lang)
     families = sorted(names.items())
-
-    def machine(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, float]:
-        weight = np.where(first, 0.5 / max(1, first.sum()), 0.5 / max(1, (~first).sum())) * len(rows)
-        return fit_svm(x[rows].astype(np.float64), np.where(first, 1.0, -1.0), weight)
-
-    every = np.arange(len(y))
-    of_family = [machine(every, np.isin(y, members)) for _, members in families] if len(families) > 1 else [(np.zeros(x.shape[1]), 0.0)] * len(families)
-    of_pair = {}
-    for _, members in families:
-        for a, b in combinations(members, 2):
-            rows = np.flatnonzero((y == a) | (y == b))
-            of_pair[a, b] = machine(rows, y[rows] == a)
-    return Identifier(families, of_family, of_pair)
+    pairs = [pair for _, members in families for pair in combinations(members, 2)]
+    whole = [(sorted(set(langs)), members) for _, members in families] if len(families) > 1 else []
+    found = solved(whole + [(list(pair), [pair[0]]) for pair in pairs])
+    return Identifier(families, found[: len(whole)], dict(zip(pairs, found[len(whole) :], strict=True)))
 
 
 def held_out():
@@ -121,10 +120,28 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+def chosen_rows(known: DataFrame, size: int) -> DataFrame:
+    """Of each language the first ``size`` / number of languages identifiers in the order of their hashes, ``size`` at most in all."""
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("quota", F.greatest(F.lit(1), F.floor(F.lit(size) / F.count(F.lit(1)).over(W.partitionBy()))))
+    counts = cut(counts.withColumn("at", F.row_number().over(W.orderBy("lang"))).where(F.col("at") <= size).drop("at"))
+    keyed = known.select("doc_id", "lang", sample_key().alias("k"))
+    # what is sure to be needed, and some more, before anything is put in order
+    share = F.conv(F.substring("k", 1, 8), 16, 10).cast("double") / 2**32
+    likely = keyed.join(F.broadcast(counts), "lang").where(share * F.col("n") <= 2 * F.col("quota") + 200).select("lang", "doc_id", "k", "quota").distinct()
+    return likely.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("k", "doc_id"))).where("at <= quota").select("lang", "doc_id")
+
+
 def train(docs: DataFrame, size: int = SAMPLE) -> Identifier:
-    """Learns from text and lang of at most ``size`` documents that aren't held out and have both."""
+    """Learns from text and lang of at most ``size`` documents that aren't held out and have both, as many of each language.
+
+    The trigram shares of this sample, 16 kB a document, are broadcast, and each machine is fitted by a task of its own.
+    """
+    spark = docs.sparkSession
     known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out())
-    rows = bounded_sample(known, size).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text"))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = known.join(F.broadcast(chosen_rows(known, size)), ["lang", "doc_id"])  # at most ``size`` rows
+    rows = rows.dropDuplicates(["lang", "doc_id"]).select("doc_id", "lang", "text")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +149,27 @@ def train(docs: DataFrame, size: int = SAMPLE) -> Identifier:
                 part = batch.slice(at, 64)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["lang"], pa.array([v.tobytes() for v in trigram_shares(part["text"].to_pylist())], pa.binary())], names=["doc_id", "lang", "x"])
 
-    got = rows.mapInArrow(described, "doc_id long, lang string, x binary").toArrow().sort_by("doc_id")
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, DIMS)
-    return fit(x, got["lang"].to_pylist())
+    got = rows.mapInArrow(described, "doc_id long, lang string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    langs, blobs = got["lang"].to_pylist(), got["x"].to_pylist()
+    del got
+    held = spark.sparkContext.broadcast((np.array(langs, object), blobs))
+
+    def solved(tasks: list[tuple[list[str], list[str]]]) -> list[tuple[np.ndarray, float]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch["id"].to_pylist():
+                    y, own = held.value
+                    w, b = machine(np.frombuffer(b"".join(own), np.float32).reshape(-1, DIMS), y, *tasks[k])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([float(b)], pa.float64())], names=["k", "w", "b"])
+
+        if not tasks:
+            return []
+        out = spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(run, "k long, w binary, b double").collect()
+        return [(np.frombuffer(r.w), r.b) for r in sorted(out, key=lambda r: r.k)]
+
+    found = fit(langs, solved)
+    held.destroy()
+    return found
 
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:

@@ -60,7 +60,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     weight = np.ones(len(y)) if weight is None else weight
     scaled = Scaled(x)
     a = scaled.design(x)
-    penalty = np.full(a.shape[1], l2)
+    penalty = np.full(a.shape[1], float(l2))
     penalty[-1] = 1e-6
     w = np.zeros(a.shape[1])
     for _ in range(rounds):
