@@ -1,9 +1,10 @@
 """Document quality by co-training two views.
 
-One classifier sees the text's content, the other only the page's metadata (source, language, stated length). Both start from
-the same labelled sample. In each round, each view labels the documents of an unlabelled pool that it is most confident
-about, and these join the training rows of the other view. At the end both views are calibrated on labelled rows that
-no round has seen, and a logistic combination of their calibrated log-odds, fitted on the same rows, scores all documents.
+One classifier sees the text's content (its words, hashed, and counts of form), the other only the page's metadata (source,
+language, stated length). Both start from the same labelled sample. In each round, each view labels the documents of an
+unlabelled pool that it is most confident about, and these join the training rows of the other view. Of the labelled rows
+that no round has seen, one half calibrates the views, and a logistic combination of their calibrated log-odds is fitted
+on the other half; it scores all documents.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ from pyspark.sql import functions as F
 from driftline.llm.common import table
 from driftline.llm.learning import bounded_sample, fit_logistic, fit_platt, fold_of, sigmoid
 
-#: Labelled and unlabelled documents that the models are fitted on, at most each.
+#: Labelled and unlabelled documents that the models are fitted on, at most each: parameters of ``train``.
 SAMPLE = 6_000
 POOL = 6_000
 ROUNDS = 4
+#: The penalty of the views' weights, whose features are many for a small sample.
+VIEW_L2 = 20.0
+#: Columns of the hashed words.
+WORDS = 128
 #: Pseudo-labels of each class that a view gives the other in a round, at most, and how sure it must be.
 GIVEN = 300
 SURE = 0.95
@@ -41,7 +46,7 @@ def text_features(text: str | None) -> list[float]:
     words = text.split()
     n, w = len(text), len(words)
     if not w:
-        return [0.0] * 18
+        return [0.0] * (18 + WORDS)
     counts = Counter(words)
     stripped = [x.strip(".,;:!?\"'()") for x in words]
     lines = text.split("\n")
@@ -68,9 +73,18 @@ def text_features(text: str | None) -> list[float]:
         len(lines) / w,
         1 - len(set(lines)) / len(lines),
         sum(len(x) <= 3 for x in stripped) / w,
+        *_word_shares(counts, w),
     ]
 
 
+def _word_shares(counts: Counter, total: int) -> list[float]:
+    """Square roots of the shares of hashed words in lower case."""
+    out = [0.0] * WORDS
+    for word, n in counts.items():
+        out[zlib.crc32(word.lower().encode("utf-8", "replace")) % WORDS] += n
+    return [(x / total) ** 0.5 for x in out]
+
+
 def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
     """One-hot hashed source and language, one-hot length class, and the log of the stated length."""
     out = [0.0] * (SOURCES + LANGS + LENGTHS + 1)
@@ -101,8 +115,8 @@ class Views:
         return sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(np.stack(odds, axis=1) @ w + b)
 
 
-def co_train(x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Views:
-    """Fits the views on the rows that aren't ``held`` and the pool, and calibrates them on those that are."""
+def co_train(x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, given_most: int = GIVEN) -> Views:
+    """Fits the views on the rows that aren't ``held`` and the pool, calibrates them on every other held row and combines them on the rest."""
     seen = ~held if (~held).any() and held.any() else np.ones(len(y), bool)
     extra: list[dict[int, float]] = [{}, {}]  # pool rows and pseudo-labels that each view was given
     models: list[tuple[np.ndarray, float]] = []
@@ -110,7 +124,7 @@ def co_train(x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, held: np.nda
         models = []
         for x, pool, given in ((x_text, pool_text, extra[0]), (x_meta, pool_meta, extra[1])):
             rows = np.vstack([x[seen], pool[list(given)]]) if given else x[seen]
-            models.append(fit_logistic(rows, np.concatenate([y[seen], list(given.values())])))
+            models.append(fit_logistic(rows, np.concatenate([y[seen], list(given.values())]), l2=VIEW_L2))
         if k == ROUNDS or not len(pool_text):
             break
         for view, (pool, other) in enumerate(((pool_text, 1), (pool_meta, 0))):
@@ -118,15 +132,17 @@ def co_train(x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, held: np.nda
             p = sigmoid(pool @ w + b)
             order = np.argsort(p, kind="stable")
             fresh = [int(r) for r in order if int(r) not in extra[other]]
-            for r in [r for r in fresh if p[r] <= 1 - SURE][:GIVEN]:
+            for r in [r for r in fresh if p[r] <= 1 - SURE][:given_most]:
                 extra[other][r] = 0.0
-            for r in [r for r in reversed(fresh) if p[r] >= SURE][:GIVEN]:
+            for r in [r for r in reversed(fresh) if p[r] >= SURE][:given_most]:
                 extra[other][r] = 1.0
     judge = held if held.any() and (~held).any() else np.ones(len(y), bool)
     margins = [x[judge] @ w + b for x, (w, b) in zip((x_text, x_meta), models, strict=True)]
-    scales = tuple(fit_platt(m, y[judge]) for m in margins)
+    truth, even = y[judge], np.arange(int(judge.sum())) % 2 == 0
+    parts = (even, ~even) if len(np.unique(truth[even])) > 1 and len(np.unique(truth[~even])) > 1 else (even | True, even | True)
+    scales = tuple(fit_platt(m[parts[0]], truth[parts[0]]) for m in margins)
     odds = np.stack([s * m + o for m, (s, o) in zip(margins, scales, strict=True)], axis=1)
-    joint = fit_logistic(odds, y[judge], l2=1e-2) if len(np.unique(y[judge])) > 1 else (np.array([1.0, 0.0]), 0.0)
+    joint = fit_logistic(odds[parts[1]], truth[parts[1]], l2=1e-2) if len(np.unique(truth)) > 1 else (np.array([1.0, 0.0]), 0.0)
     return Views(models[0], models[1], scales, joint)
 
 
@@ -141,12 +157,15 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array(text, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.float64()))], names=["doc_id", "quality", "t", "m"])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Views:
-    """Co-trains on at most ``SAMPLE`` labelled and ``POOL`` unlabelled documents; without labels every score is 0.5."""
+def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, pool_size: int = POOL, given: int = GIVEN) -> Views:
+    """Co-trains on at most ``size`` labelled and ``pool_size`` unlabelled documents; without labels every score is 0.5.
+
+    ``given`` bounds the pseudo-labels of each class that a view gives the other in a round.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    pool = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left_anti"), POOL)
-    chosen = bounded_sample(known, SAMPLE).unionByName(pool.withColumn("quality", F.lit(None).cast("int")))
-    rows = _rows(docs).join(F.broadcast(chosen), "doc_id")  # at most SAMPLE + POOL rows
+    pool = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left_anti"), pool_size)
+    chosen = bounded_sample(known, size).unionByName(pool.withColumn("quality", F.lit(None).cast("int")))
+    rows = _rows(docs).join(F.broadcast(chosen), "doc_id")  # at most size + pool_size rows
     got = rows.mapInArrow(_described, "doc_id long, quality int, t array<double>, m array<double>").toArrow().sort_by("doc_id")
     n_text, n_meta = len(text_features(None)), len(meta_features(None, None, None))
     x_text = np.array(got["t"].to_pylist(), float).reshape(-1, n_text)
@@ -156,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Views:
     has = ~np.isnan(quality)
     if not has.any():
         return Views((np.zeros(n_text), 0.0), (np.zeros(n_meta), 0.0), ((1.0, 0.0), (1.0, 0.0)), (np.zeros(2), 0.0))
-    return co_train(x_text[has], x_meta[has], quality[has], held[has], x_text[~has], x_meta[~has])
+    return co_train(x_text[has], x_meta[has], quality[has], held[has], x_text[~has], x_meta[~has], given)
 
 
 def score(docs: DataFrame, views: Views) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -33,7 +39,7 @@ def test_toxicity(spark):
     docs = table(spark, SF, "documents")
     train, test = split(spark)
     chain = toxicity.train(docs, train)
-    assert len(chain.links) == 3 and [len(w) - len(chain.links[0][0]) for w, _ in chain.links] == [0, 1, 2]
+    assert chain.categories == ("junk", "toxic") and [len(x.weights) - len(x.terms) for x in chain.links] == [3, 4]
     found = toxicity.score(docs, chain).join(test.withColumnRenamed("toxic", "truth"), "doc_id").toPandas()
     assert (found.toxic == (found.truth == 1)).mean() > 0.95
     assert found[found.truth == 0].toxic.mean() < 0.01
@@ -44,6 +50,88 @@ def test_toxicity(spark):
     assert toxicity.without_toxic(odd(spark), chain).count() == len(ODD)
 
 
+def brute_terms(rows, y, size):
+    """Terms of a category by plain sets: ``rows`` has the key sets and smallest word of each text."""
+    bad, good = ({}, {}), set()
+    groups = [set(), set()]
+    for (keys, group), label in zip(rows, y, strict=True):
+        groups[int(label)].add(group)
+        for k in keys:
+            bad[int(label)].setdefault(k, set()).add(group)
+    n_good, n_bad = map(len, groups)
+    found = []
+    for k, where in bad[1].items():
+        odds = (len(where) + 0.5) / (n_bad + 1) * (n_good + 1) / (len(bad[0].get(k, good)) + 0.5)
+        if len(where) >= max(2, min(4, n_bad // 20)) and odds >= toxicity.ODDS:
+            found.append((-len(where), -odds, k))
+    return [k for _, _, k in sorted(found)][:size]
+
+
+def brute_inputs(counts, terms, earlier):
+    row = [0.0] * len(terms) + [0, 0]
+    for w, n in counts.items():
+        hits = [terms.index(k) for k in toxicity.keys_of(w) if k in terms]
+        for k in hits:
+            row[k] = 1.0
+        if hits:
+            row[-2] += 1
+            row[-1] += n
+    return [*row[:-1], np.log1p(row[-1]), 100 * row[-1] / max(1, sum(counts.values())), *earlier]
+
+
+def test_chain_is_that_of_plain_loops(spark):
+    """Terms, out-of-fold probabilities and final links, category after category, by loops over rows."""
+    docs = table(spark, SF, "documents").where("doc_id % 3 = 0")
+    labels = table(spark, SF, "labels").withColumn("junk", 1 - F.col("quality"))
+    chain = toxicity.train(docs, labels, ("junk", "toxic"), size=150, terms=20)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: (float(r.junk), float(r.toxic)) for r in learning.bounded_sample(labels, 150).collect() if r.doc_id in texts}
+    ids = sorted(known)
+    counts = [Counter(re.findall(r"\w+", texts[i].lower())) for i in ids]
+    rows = [({k for w in c for k in toxicity.keys_of(w)}, min((toxicity.word_key(w) for w in c), default=2**32)) for c in counts]
+    folds = [learning.fold_of(i, toxicity.FOLDS) for i in ids]
+    earlier = [[] for _ in ids]
+    assert len(ids) > 40 and sum(known[i][1] for i in ids) >= 4
+
+    def fitted(category, inside):
+        y = np.array([known[i][category] for i in ids])
+        terms = brute_terms([rows[k] for k in inside], y[inside], 20)
+        x = np.array([brute_inputs(c, terms, e) for c, e in zip(counts, earlier, strict=True)])
+        w, b = learning.fit_logistic(x[inside], y[inside])
+        return terms, w, b, x
+
+    for category in range(2):
+        terms, w, b, _ = fitted(category, list(range(len(ids))))
+        link = chain.links[category]
+        assert list(link.terms) == terms and np.allclose(link.weights, w, atol=1e-6) and abs(link.intercept - b) < 1e-6
+        out = [0.0] * len(ids)
+        for f in range(toxicity.FOLDS):
+            _, w, b, x = fitted(category, [k for k in range(len(ids)) if folds[k] != f])
+            for k in range(len(ids)):
+                if folds[k] == f:
+                    out[k] = float(learning.sigmoid(x[k] @ w + b))
+        earlier = [[*e, p] for e, p in zip(earlier, out, strict=True)]
+    p = chain.probabilities([texts[i] for i in ids], {})
+    for k, c in enumerate(counts):
+        so_far = []
+        for link in chain.links:
+            so_far.append(float(learning.sigmoid(np.array(brute_inputs(c, list(link.terms), so_far)) @ link.weights + link.intercept)))
+        assert np.allclose(p[k], so_far)
+
+
+def test_out_of_fold_models_know_nothing_of_their_fold():
+    """A word that marks the category in one fold only is no term of the model that judges this fold."""
+    n = 400
+    fold, y = np.arange(n) % 5, (np.arange(n) // 5 % 2).astype(float)
+    marks = np.where((y == 1) & (fold == 0), 7, np.where((y == 1), 8, 9)).astype(np.uint32)
+    keys = np.stack([np.concatenate([marks, 1000 + np.arange(n, dtype=np.uint32)]), *([np.zeros(2 * n, np.uint32)] * 2)], axis=1)
+    sample = toxicity.Sample(fold, y[:, None], np.full(n, 2), np.tile(np.arange(n), 2), keys, np.ones(2 * n))
+    sample.groups = lambda: np.arange(n)
+    assert 7 in toxicity.fit_link(sample, 0, np.zeros((n, 0)), fold != 5, 50)[0].terms
+    held_out, _ = toxicity.fit_link(sample, 0, np.zeros((n, 0)), fold != 0, 50)
+    assert 7 not in held_out.terms and 8 in held_out.terms
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = none(spark)
     chain = toxicity.train(docs, labels)
@@ -80,6 +168,35 @@ def test_views_teach_each_other():
     assert ((p[2] >= 0.5) == y[~few]).mean() > 0.97
 
 
+def test_co_training_is_that_of_plain_loops(monkeypatch):
+    """Pseudo-labels, calibration and combination by loops over rows."""
+    monkeypatch.setattr(quality, "VIEW_L2", 1.0)
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 300).astype(float)
+    text, meta = y[:, None] * 2 + rng.standard_normal((300, 3)), y[:, None] * 2 + rng.standard_normal((300, 2))
+    own, held = np.arange(300) < 80, (np.arange(300) % 4 == 0)[:80]
+    views = quality.co_train(text[own], meta[own], y[own], held, text[~own], meta[~own], 7)
+    x, pool = {"t": text[own], "m": meta[own]}, {"t": text[~own], "m": meta[~own]}
+    given = {"t": {}, "m": {}}
+    for k in range(quality.ROUNDS + 1):
+        models = {}
+        for v in "tm":
+            rows = [x[v][i] for i in range(80) if not held[i]] + [pool[v][i] for i in given[v]]
+            models[v] = learning.fit_logistic(np.array(rows), np.array([y[i] for i in range(80) if not held[i]] + list(given[v].values())), l2=quality.VIEW_L2)
+        if k < quality.ROUNDS:
+            for v, other in (("t", "m"), ("m", "t")):
+                p = [float(learning.sigmoid(r @ models[v][0] + models[v][1])) for r in pool[v]]
+                fresh = sorted((i for i in range(220) if i not in given[other]), key=lambda i: (p[i], i))
+                low, high = [i for i in fresh if p[i] <= 1 - quality.SURE][:7], [i for i in reversed(fresh) if p[i] >= quality.SURE][:7]
+                given[other].update({i: 0.0 for i in low} | {i: 1.0 for i in high})
+    judge = [i for i in range(80) if held[i]]
+    scales = {v: learning.fit_platt(np.array([x[v][i] @ models[v][0] + models[v][1] for i in judge[::2]]), y[judge[::2]]) for v in "tm"}
+    odds = lambda v, r: scales[v][0] * (r @ models[v][0] + models[v][1]) + scales[v][1]
+    w, b = learning.fit_logistic(np.array([[odds("t", x["t"][i]), odds("m", x["m"][i])] for i in judge[1::2]]), y[judge[1::2]], l2=1e-2)
+    want = [float(learning.sigmoid(odds("t", s) * w[0] + odds("m", r) * w[1] + b)) for s, r in zip(pool["t"], pool["m"], strict=True)]
+    assert len(given["t"]) > 20 and np.allclose(views.scores(pool["t"], pool["m"])[2], want)
+
+
 def test_language_id(spark):
     docs = table(spark, SF, "documents")
     found = language_id.identify(docs, language_id.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
@@ -104,10 +221,60 @@ def test_language_id_of_odd_rows(spark):
 
 def test_one_language_only():
     x = language_id.trigram_shares(["abc def", "ghi jkl"])
-    langs, scores = language_id.fit(x, ["en", "en"]).predict(x)
+    langs, scores = language_id.fit(["en", "en"], lambda tasks: []).predict(x)
     assert langs == ["en", "en"] and (scores <= 1).all()
 
 
+def test_language_id_is_that_of_plain_loops(spark):
+    """Shares, machines and votes by loops over texts, on every row of the table."""
+    docs = table(spark, SF, "documents")
+    known = {r.doc_id: r for r in docs.collect()}
+    identifier = language_id.train(docs, 120)
+    chosen = sorted(r.doc_id for r in language_id.chosen_rows(docs.where(~language_id.held_out()), 120).collect())
+    in_order = sorted((i for i in known if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    langs = sorted({r.lang for r in known.values()})
+    assert chosen == sorted(i for lang in langs for i in [i for i in in_order if known[i].lang == lang][: 120 // len(langs)])
+
+    def shares(text):
+        raw = b" " + " ".join(text.lower().split()).encode() + b" "
+        out = np.zeros(language_id.DIMS)
+        for k in range(len(raw) - 2):
+            code = raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]
+            out[(code * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        return np.sqrt(out / max(1, len(raw) - 2)).astype(np.float32)
+
+    x, y = np.stack([shares(known[i].text) for i in chosen]), np.array([known[i].lang for i in chosen], object)
+
+    def fitted(among, first):
+        rows = [k for k in range(len(y)) if y[k] in among]
+        sign = np.array([1.0 if y[k] in first else -1.0 for k in rows])
+        share = {s: 0.5 / (sign == s).sum() * len(rows) for s in (1.0, -1.0)}
+        return learning.fit_svm(x[rows].astype(float), sign, np.array([share[s] for s in sign]))
+
+    families = {}
+    for lang in langs:
+        families.setdefault(language_id.family_of(lang), []).append(lang)
+    of_family = {f: fitted(langs, m) for f, m in families.items()}
+    of_pair = {(a, b): fitted([a, b], [a]) for m in families.values() for a, b in itertools.combinations(m, 2)}
+    found = {r.doc_id: r for r in language_id.identify(docs, identifier).collect()}
+    same = 0
+    for i, r in known.items():
+        v = shares(r.text or "").astype(float)
+        family = max(sorted(families), key=lambda f: v @ of_family[f][0] + of_family[f][1])
+        votes = dict.fromkeys(families[family], 0)
+        for a, b in itertools.combinations(families[family], 2):
+            w, c = of_pair[a, b]
+            votes[a if v @ w + c >= 0 else b] += 1
+        same += found[i].lang_pred == (max(votes, key=votes.get) if any(map(str.isalpha, r.text or "")) else "und")
+    assert same >= len(known) - 2  # margins next to nothing may fall to either side
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(k, "word of a common tongue %d" % k, "en") for k in range(400)] + [(1000 + k, "zzq xxv qqz vvx zzx", "qx") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [n for _, m in language_id.train(docs, 50).families for n in m] == ["en", "qx"]
+
+
 def test_logistic_and_svm_separate():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 5))
