@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut, salted_lookup, shared_dir, table
+from driftline.llm.common import cut, remove, salted_lookup, shared_dir, table
 
 SEGMENT = 16_384
 CHUNK = 4_096
@@ -63,14 +63,19 @@ def record(kind: str, block: bytes, headers: list[tuple[str, object]]) -> bytes:
     return "\r\n".join(lines).encode() + END.encode() + block
 
 
-def page_records(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
+def record_id(page_id: int | None, row: int) -> str:
+    """The identifier of a page's record; rows that share a page_id, or have none, are told apart by their number."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{row}>"
+
+
+def page_records(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_row: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response and its continuations."""
-    name = f"<urn:page:{'null' if page_id is None else page_id}>"
+    name = record_id(page_id, row)
     shown = re.sub(r"[\r\n]", "", url or "")
     common = [("WARC-Target-URI", shown), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Row", row), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record("revisit", b"", [("WARC-Record-ID", name), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", profile), *common])
+        yield record("revisit", b"", [("WARC-Record-ID", name), ("WARC-Refers-To", record_id(refers_to, refers_row)), ("WARC-Profile", profile), *common])
         return
     message = _HTTP + chunked(payload)
     parts = [message[k : k + segment] for k in range(0, len(message), segment)]
@@ -125,7 +130,10 @@ def _unpacked(data: bytes) -> bytes:
 
 
 def classified(pages: DataFrame) -> DataFrame:
-    """(page_id, url, packed, digest, refers_to): compressed payloads, their digests, and the page whose payload each repeats."""
+    """(page_id, row, url, packed, digest, refers_to, refers_row): compressed payloads, their digests, and the row whose payload each repeats.
+
+    Pages are read once: what is joined afterwards is the checkpointed table of compressed payloads.
+    """
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,29 +141,31 @@ def classified(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 payloads = [(x.as_py() or "").encode() for x in part["html"]]
                 yield pa.RecordBatch.from_arrays(
-                    [part["page_id"], part["url"], pa.array(map(_packed, payloads), pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in payloads])],
-                    names=["page_id", "url", "packed", "digest"],
+                    [part["page_id"], part["url"], pa.array(map(_packed, payloads), pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in payloads]), pa.array(map(len, payloads), pa.int64())],
+                    names=["page_id", "url", "packed", "digest", "size"],
                 )
 
     texts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    firsts = texts.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    found = salted_lookup(texts.mapInArrow(described, "page_id long, url string, packed binary, digest string"), firsts, ["digest"], "page_id")
-    return found.withColumn("refers_to", F.when((F.col("first_id") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("first_id").isNotNull()), F.col("first_id")))
+    known = cut(texts.mapInArrow(described, "page_id long, url string, packed binary, digest string, size long").withColumn("row", F.monotonically_increasing_id()))
+    firsts = known.where(F.col("page_id").isNotNull() & (F.col("size") >= LEAST_REVISIT)).groupBy("digest").agg(F.min(F.struct("page_id", "row")).alias("first"))
+    found = salted_lookup(known, firsts, ["digest"], "row")
+    again = (F.col("first.page_id") != F.col("page_id")) | (F.col("page_id").isNull() & F.col("first").isNotNull())
+    return found.withColumns({"refers_to": F.when(again, F.col("first.page_id")), "refers_row": F.when(again, F.col("first.row"))}).drop("first", "size")
 
 
 def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Writes ``pages`` (page_id, url, html) as compressed WARC files to the folder ``path``, which all executors reach.
 
     A null html is an empty payload. Of equal payloads of 100 bytes or more, all pages but those of the smallest page_id
-    are revisits. Rows that repeat a page_id stay apart by their X-Row header.
+    are revisits. Rows that repeat a page_id, or have none, have record identifiers of their own. A payload may be of any length that fits a
+    task: it is written in segments.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             records, size = [], 0
             for k in range(batch.num_rows):
-                x = {name: batch[name][k].as_py() for name in ("page_id", "row", "url", "digest", "refers_to")}
+                x = {name: batch[name][k].as_py() for name in ("page_id", "row", "url", "digest", "refers_to", "refers_row")}
                 payload = _unpacked(batch["packed"][k].as_py())
                 records.extend(page_records(payload=payload, **x, segment=segment))
                 size += len(payload)
@@ -164,7 +174,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, records_per_
                     records, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["value"])
 
-    rows = classified(pages).withColumn("row", F.monotonically_increasing_id()).select("page_id", "row", "url", "packed", "digest", "refers_to")
+    rows = classified(pages).select("page_id", "row", "url", "packed", "digest", "refers_to", "refers_row")
     written = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     written.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path, compression="gzip")
 
@@ -177,7 +187,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def number(name: str) -> int | None:
-        found = re.match(r"<urn:page:(\d+|-\d+)", name)
+        found = re.match(r"<urn:page:(-?\d+):", name)
         return int(found[1]) if found else None
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +248,11 @@ def warc_roundtrip(pages: DataFrame, path: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` written as WARC archives to the shared folder and read back."""
-    return warc_roundtrip(table(spark, sf_dir, "pages"), f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
+    """``pages`` written as WARC archives to the shared folder and read back; the archives are deleted then."""
+    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    found = warc_roundtrip(table(spark, sf_dir, "pages"), path)  # rests on a checkpoint of what was read
+    remove(spark, path)
+    return found
 
 
 OP7_SQL = """

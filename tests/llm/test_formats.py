@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from driftline.llm import mixing, pieces, warc
+from driftline.llm import common, mixing, pieces, warc
 from driftline.llm import words as words_module
 from driftline.llm.common import shared_dir, table
 from tests.llm import brute
@@ -129,7 +129,7 @@ def test_segments_in_any_order():
 
 
 def test_record_cut_short():
-    whole = b"".join(r + b"\r\n\r\n" for r in warc.page_records(7, 0, "u\r\nX: y", b"z" * 40_000, "d", None))
+    whole = b"".join(r + b"\r\n\r\n" for r in warc.page_records(7, 0, "u\r\nX: y", b"z" * 40_000, "d", None, None))
     kinds = [(h["warc-type"], h.get("warc-segment-number")) for h, _ in warc.records_in(whole)]
     assert kinds == [("response", "1"), ("continuation", "2"), ("continuation", "3")]
     with pytest.raises(ValueError, match="cut short"):
@@ -152,7 +152,11 @@ def test_warc_roundtrip(spark):
         want.append((str(i), len((h or "").encode()), brute.sha(h or ""), "response" if refers is None else "revisit", refers))
     assert found == sorted(want)
     files = spark.read.format("binaryFile").load(path).select("content").collect()
-    assert all(gzip.decompress(f.content).startswith(b"WARC/1.1\r\n") for f in files)
+    archives = [gzip.decompress(f.content) for f in files]
+    assert all(a.startswith(b"WARC/1.1\r\n") for a in archives)
+    headers = [h for a in archives for h, _ in warc.records_in(a)]
+    named = [h["warc-record-id"] for h in headers]
+    assert len(named) == len(set(named)) and all(h["warc-refers-to"] in named for h in headers if h["warc-type"] == "revisit")
     assert warc.warc_roundtrip(df.limit(0), f"{path}-empty").count() == 0
 
 
@@ -218,8 +222,8 @@ def test_mixing_of_many_sources(spark):
 def test_mixing_of_odd_rows(spark, monkeypatch):
     schema = "doc_id long, source string"
     rows = [(1, None), (None, "a"), (2, "a"), (2, "a"), (3, None)]
-    for limit in (mixing.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
+    for limit in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
         found = mixing.mix(spark.createDataFrame(rows, schema), block=1).collect()
         assert sorted(str(r.doc_id) for r in found) == ["1", "2", "2", "3", "None"] and len({r.slot for r in found}) == 5
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
@@ -247,6 +251,46 @@ def test_pipeline(spark, model):
     assert all(r.lossless and codec.decode(r.token_ids) == texts[i] for i, r in final.items())
 
 
+ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long, _place string, _doc_id int, _id double, whole string, place string, row string, of_id string"
+
+
+def odd_docs(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    texts = [(1, base), (2, base + " end"), (2, "an unrelated text of its own that is here with an identifier used twice"), (3, "quite another one that stands alone in this table"), (None, None), (None, ""), (4, None), (5, "long " * 60_000), (5, "long " * 60_000), (6, base.upper())]
+    return spark.createDataFrame([(i, t, None, None if i == 3 else "s", None, "p", 1, 0.5, "w", "q", "r", str(k)) for k, (i, t) in enumerate(texts)], ODD_DOCS)
+
+
+@pytest.mark.parametrize(
+    ("name", "stay"),
+    [
+        ("toxicity", range(10)),
+        ("exact_dedup", [9, 1, 2, 3, {4, 5, 6}, {7, 8}]),
+        ("ngram_jaccard_join", [{0}, 2, 3, 4, 5, 6, {7, 8}]),
+        ("mixing", range(10)),
+    ],
+)
+def test_stages_take_odd_rows_and_any_column(spark, sf_dir, name, stay):
+    import corpus_pipeline
+
+    docs = odd_docs(spark)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    found = stage(spark, docs, sf_dir)
+    assert found.columns == docs.columns and found.schema.simpleString() == docs.schema.simpleString()
+    left = sorted(int(r.of_id) for r in found.collect())
+    groups = [{x} if isinstance(x, int) else x for x in stay]
+    assert len(left) == len(groups) and all(len(g & set(left)) == 1 for g in groups)
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_last_stage_takes_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["sentencepiece"]
+    found = stage(spark, odd_docs(spark), sf_dir)
+    assert found.count() == 10 and found.where("lossless").count() == 10
+    assert stage(spark, odd_docs(spark).limit(0), sf_dir).count() == 0
+
+
 def test_pipeline_writes_in_the_order_of_the_mixture(spark, sf_dir, tmp_path):
     import corpus_pipeline
 
