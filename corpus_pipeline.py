@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, mixing, ngram_join, pieces, toxicity
-from driftline.llm.common import cut, salted_lookup, shared_dir, table
+from driftline.llm.common import cut, remove, salted_lookup, shared_dir, table
 from driftline.session import ship_package
 
 
@@ -89,12 +89,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result but the last is written to the shared folder and read again."""
+    """Applies the stages to ``documents``; each result but the last is written to the shared folder and read again.
+
+    A stage's table is deleted when the next one's is written, so the folder holds two at most; the last table stays for the result.
+    """
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
+            path = f"{base}/{k}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before is not None:
+                remove(spark, before)
+            before = path
     return docs
