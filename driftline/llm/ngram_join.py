@@ -13,8 +13,8 @@ Rows of the matrix are distinct texts (classes), columns 5-word shingles. Its bl
    go whose sizes differ by more than a quarter, whose place in the order leaves too few further columns, or whose
    count, with all that the rest of the rows could add, stays below the overlap that their sizes demand.
    Rows of a dense column (over ``DENSE`` entries) would pair up quadratically: they are first multiplied
-   with its first row only. When components are known, what is left of a dense column are pairs across
-   components, and these are all multiplied.
+   with its first row only, then, where a column has rows of several components, with ``HEADS`` rows of the largest.
+   What is left of a dense column are pairs across components, and these are all multiplied.
 4. The pairs that remain get their exact overlap from the whole texts, in the segment of the larger identifier: shingles of
    equal hashes are compared word by word, so a link never rests on hashes. Set sizes count distinct 64-bit hashes within a document.
 """
@@ -40,6 +40,8 @@ NUM, DEN = 3, 4
 DENSE = 64
 #: Bits of the hash by which column sums are kept; a chance meeting only makes a column look fuller.
 COLUMN_BITS = 40
+#: Rows of a component that stand for it before all its rows are met.
+HEADS = 16
 #: Row pairs that a bucket multiplies at once.
 PAIRS = 1 << 20
 
@@ -298,9 +300,28 @@ def ngram_join(docs: DataFrame, dense_from: int = DENSE) -> DataFrame:
     def labelled(labels: DataFrame) -> DataFrame:
         return dense.join(labels, dense["id"] == labels["node"], "left").select(dense["*"], F.coalesce("component", "id").alias("comp"))
 
-    mixed = labelled(labels).groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size"))
-    main = mixed.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("h", F.col("top.comp").alias("main"))
-    main = cut(main)
+    def mixed_columns(labels: DataFrame) -> DataFrame:
+        """(h, main): the dense columns of several components, and the one that has most rows in each."""
+        mixed = labelled(labels).groupBy("h", "comp").agg(F.count(F.lit(1)).alias("size"))
+        tops = mixed.groupBy("h").agg(F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+        return cut(tops.where("comps > 1").select("h", F.col("top.comp").alias("main")))
+
+    main = mixed_columns(labels)
+    if not main.isEmpty():
+        # rows outside a column's main component meet a few rows of it first, which joins most of them to it
+        row = F.struct("id", "seg", "n")
+        drawn = labelled(labels).groupBy("comp", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("k")).agg(F.min(row).alias("head"))
+        heads = drawn.groupBy(F.col("comp").alias("main")).agg(F.collect_list("head").alias("heads"))
+        outside = salted_lookup(labelled(labels), main, ["h"], "id").where("comp != main").select("id", "seg", "n", "main").distinct()
+        met = salted_lookup(cut(outside), heads, ["main"], "id").select("id", "seg", "n", F.explode("heads").alias("y")).where(fits("n", "y.n"))
+        swap = F.col("id") > F.col("y.id")
+        met = met.select(
+            F.least("id", "y.id").alias("a"), F.greatest("id", "y.id").alias("b"),
+            F.when(swap, F.col("y.seg")).otherwise(F.col("seg")).alias("seg_a"), F.when(swap, F.col("seg")).otherwise(F.col("y.seg")).alias("seg_b"),
+        ).distinct()
+        links = cut(links.unionByName(_exact(segs, met)))
+        labels = connected_components(links)
+        main = mixed_columns(labels)
     if not main.isEmpty():
         here = salted_lookup(labelled(labels), main, ["h"], "id").where("main IS NOT NULL")
         here = cut(here.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")))
