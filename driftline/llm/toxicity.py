@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import table
 from driftline.llm.learning import bounded_sample, fit_logistic, fold_of, sigmoid
-from driftline.llm.words import find
+from driftline.llm.words import among, find
 
 #: Labelled documents that the models are fitted on, at most.
 SAMPLE = 12_000
@@ -143,12 +143,13 @@ def learn_terms(sample: Sample, y: np.ndarray, rows: np.ndarray, size: int) -> d
     """The terms of a category by the given rows: keys many times as frequent in its texts, copies of a text counting once."""
     group = sample.groups().astype(np.uint64)
 
-    def entries(wanted: np.ndarray, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Keys of the rows that are wanted (``among`` those given), in how many groups each occurs, and the number of groups."""
+    def entries(wanted: np.ndarray, wanted_keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Keys of the rows that are wanted (of those given), in how many groups each occurs, and the number of groups."""
         inside = wanted[sample.row]
-        keys, of = sample.keys[inside].ravel(), np.repeat(group[sample.row[inside]], 3)
-        kept = keys > 0 if among is None else find(among, keys) >= 0
-        pairs = np.unique(keys[kept].astype(np.uint64) << np.uint64(32) | of[kept])
+        keys = sample.keys[inside].ravel()
+        kept = keys > 0 if wanted_keys is None else among(wanted_keys, keys)
+        of = group[np.repeat(sample.row[inside], 3)[kept]]
+        pairs = np.unique(keys[kept].astype(np.uint64) << np.uint64(32) | of)
         found, count = np.unique(pairs >> np.uint64(32), return_counts=True)
         return found.astype(np.uint32), count, len(np.unique(group[wanted]))
 
@@ -236,7 +237,7 @@ def sampled(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], siz
     flat = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32).reshape(-1, 4) if n and ends[-1] > ends[0] else np.empty((0, 4), np.uint32)
     fold = np.array([fold_of(i, FOLDS) for i in got["doc_id"].to_pylist()], np.int64)
     y = np.array([[np.nan if v is None else v for v in r] for r in got["labels"].to_pylist()], float).reshape(n, len(categories))
-    return Sample(fold, y, got["size"].to_numpy().astype(np.int64), np.repeat(np.arange(n), np.diff(ends) // 16), flat[:, :3].copy(), flat[:, 3].astype(np.float64))
+    return Sample(fold, y, got["size"].to_numpy().astype(np.int64), np.repeat(np.arange(n, dtype=np.int32), np.diff(ends) // 16), flat[:, :3].copy(), flat[:, 3].copy())
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] | None = None, size: int = SAMPLE, terms: int = TERMS) -> Chain:
