@@ -43,7 +43,10 @@ class Scaled:
         self.scale = np.where(deviation > 1e-9, 1 / np.maximum(deviation, 1e-9), 0.0)
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([(x - self.mean) * self.scale, np.ones((len(x), 1))])
+        out = np.ones((len(x), x.shape[1] + 1))
+        np.subtract(x, self.mean, out=out[:, :-1])
+        out[:, :-1] *= self.scale
+        return out
 
     def raw(self, w: np.ndarray) -> tuple[np.ndarray, float]:
         v = w[:-1] * self.scale

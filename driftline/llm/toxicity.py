@@ -12,7 +12,7 @@ The given table labels whether a text is of low quality and whether it is toxic,
 takes any number of labelled categories in their order.
 
 Execution: the labelled sample, bounded by a parameter, is packed in tasks into hashed words (some 3 kB a document) and broadcast;
-each fold of each category is fitted by a task of its own. The driver holds the packed sample and the fitted links, nothing else.
+the folds of each category are fitted by tasks, two in each. The driver holds the packed sample and the fitted links, nothing else.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import table
 from driftline.llm.learning import bounded_sample, fit_logistic, fold_of, sigmoid
-from driftline.llm.words import among, find
+from driftline.llm.words import STEP, among, find
 
 #: Labelled documents that the models are fitted on, at most.
 SAMPLE = 12_000
@@ -145,11 +145,14 @@ def learn_terms(sample: Sample, y: np.ndarray, rows: np.ndarray, size: int) -> d
 
     def entries(wanted: np.ndarray, wanted_keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
         """Keys of the rows that are wanted (of those given), in how many groups each occurs, and the number of groups."""
-        inside = wanted[sample.row]
-        keys = sample.keys[inside].ravel()
-        kept = keys > 0 if wanted_keys is None else among(wanted_keys, keys)
-        of = group[np.repeat(sample.row[inside], 3)[kept]]
-        pairs = np.unique(keys[kept].astype(np.uint64) << np.uint64(32) | of)
+        parts = [np.empty(0, np.uint64)]
+        for at in range(0, len(sample.row), STEP):  # no second copy of the sample
+            rows_ = sample.row[at : at + STEP]
+            inside = wanted[rows_]
+            keys = sample.keys[at : at + STEP][inside].ravel()
+            kept = keys > 0 if wanted_keys is None else among(wanted_keys, keys)
+            parts.append(np.unique(keys[kept].astype(np.uint64) << np.uint64(32) | group[np.repeat(rows_[inside], 3)[kept]]))
+        pairs = np.unique(np.concatenate(parts))
         found, count = np.unique(pairs >> np.uint64(32), return_counts=True)
         return found.astype(np.uint32), count, len(np.unique(group[wanted]))
 
@@ -197,7 +200,7 @@ def fit_chain(spark: SparkSession, sample: Sample, categories: tuple[str, ...],
                         names=["k", "p", "terms", "weights", "intercept"],
                     )
 
-        out = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fitted, "k long, p binary, terms array<long>, weights binary, intercept double").collect()
+        out = spark.range(0, FOLDS + 1, 1, (FOLDS + 2) // 2).mapInArrow(fitted, "k long, p binary, terms array<long>, weights binary, intercept double").collect()
         held_out = np.zeros(len(sample.fold))
         for r in out:
             if r.k < FOLDS:
