@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from driftline.operators import scoring
@@ -42,3 +48,14 @@ def test_entry(spark):
 
     assert len(__spark_entry__.entry(spark).columns) == 22
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_corpus_operators(tmp_path, also):
+    root = Path(__file__).resolve().parent.parent
+    gone = shutil.ignore_patterns(".git", "llm", "__pycache__", *also)
+    shutil.copytree(root, tmp_path / "copy", ignore=gone)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()), sep='\\n'); assert set(e.oracle_sql()) <= set(e.queries())"
+    env = os.environ | {"PYTHONPATH": str(tmp_path / "copy")}
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", env=env, capture_output=True, text=True, check=True)
+    assert set(done.stdout.split()) >= set(queries.QUERIES) and "pipeline" not in done.stdout.split()
