@@ -12,6 +12,7 @@ from driftline.llm.language_id import op8_language_id
 from driftline.llm.mixing import OP9_SQL, op9_mix_sources
 from driftline.llm.ngram_join import OP5_SQL, op5_ngram_join
 from driftline.llm.pieces import op4_sentencepiece
+from driftline.llm.pii import OP13_SQL, op13_pii
 from driftline.llm.quality import op3_quality
 from driftline.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 from driftline.llm.toxicity import op6_toxicity
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_pii": op13_pii,
 }
 
 SQL: dict[str, str] = {
@@ -37,4 +39,5 @@ SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op13_pii": OP13_SQL,
 }
