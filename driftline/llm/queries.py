@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from driftline.llm.embedding_dedup import OP1_SQL, op1_embedding_dedup
 from driftline.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from driftline.llm.language_id import op8_language_id
+from driftline.llm.merkle import OP11_SQL, op11_merkle_manifest
 from driftline.llm.mixing import OP9_SQL, op9_mix_sources
 from driftline.llm.ngram_join import OP5_SQL, op5_ngram_join
 from driftline.llm.pieces import op4_sentencepiece
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_pii": op13_pii,
 }
 
@@ -39,5 +41,6 @@ SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op13_pii": OP13_SQL,
 }
