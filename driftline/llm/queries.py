@@ -14,6 +14,7 @@ from driftline.llm.mixing import OP9_SQL, op9_mix_sources
 from driftline.llm.ngram_join import OP5_SQL, op5_ngram_join
 from driftline.llm.pieces import op4_sentencepiece
 from driftline.llm.pii import OP13_SQL, op13_pii
+from driftline.llm.pq_codes import OP12_SQL, op12_vector_codes
 from driftline.llm.quality import op3_quality
 from driftline.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 from driftline.llm.toxicity import op6_toxicity
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_vector_codes": op12_vector_codes,
     "op13_pii": op13_pii,
 }
 
@@ -42,5 +44,6 @@ SQL: dict[str, str] = {
     "op9_mix_sources": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
     "op13_pii": OP13_SQL,
 }
