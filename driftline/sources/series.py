@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftline.functions.scalar import numeric
+from driftline.sources.headers import checked, read_files, unread
 from driftline.sources.naming import exists
 
 
@@ -39,32 +40,93 @@ def compact(series: DataFrame, block: int = 65_536) -> DataFrame:
     return keyed.withColumn("_here", here).join(offsets, [*keys, "_block"]).withColumn("cpos", F.col("_here") + F.col("_before")).drop("_block", "_here", "_before")
 
 
-def read_series(spark: SparkSession, path: str, coerce: bool = True) -> DataFrame:
-    """Series from CSV files with a header, time first and one value column; ``series_id`` is the file's path.
+def _time(cell: Column) -> Column:
+    return cell.try_cast("timestamp_ntz")
 
-    With ``coerce``, a cell that isn't a number is missing; without, it is an error.
+
+def series_file_status(spark: SparkSession, path: str, coerce: bool = True) -> DataFrame:
+    """(series_id, reason): why a file below ``path`` can't be read as a series, null where it can.
+
+    ``value_columns``: it hasn't a time and one further column. ``time``: a time can't be read. ``number``: a cell isn't a number, where that counts.
     """
-    found = spark.read.option("recursiveFileLookup", True).csv(path, header=True)
-    if len(found.columns) != 2:
-        raise ValueError("a series file has a time and one further column")
-    time, value = found.columns
-    text = F.col(f"`{value}`")
-    rows = found.select(F.col("_metadata.file_path").alias("series_id"), F.col(f"`{time}`").cast("timestamp_ntz").alias("time"), (numeric(text) if coerce else text.cast("double")).alias("value"))
-    return with_positions(rows, ["time"]).select("series_id", "pos", "time", "value")
+    files = read_files(spark, path, width=2, by_name=False)
+    time, value = (F.col("cells")[k] for k in (0, 1))
+    bad_time = _time(time).isNull()
+    bad_number = F.lit(False) if coerce else unread(value.try_cast("double"), value)
+    rows = files.rows.groupBy("file_path").agg(F.bool_or(bad_time).alias("bad_time"), F.bool_or(bad_number).alias("bad_number"))
+    reason = F.when(F.size("names") != 2, F.lit("value_columns")).when(F.col("bad_time"), F.lit("time")).when(F.col("bad_number"), F.lit("number"))
+    return files.headers.join(rows, "file_path", "left").select(F.col("file_path").alias("series_id"), reason.alias("reason"))
+
+
+def checked_mode(on_error: str) -> str:
+    if on_error not in ("error", "skip"):
+        raise ValueError("on_error must be 'error' or 'skip'")
+    return on_error
 
 
-def read_labels(spark: SparkSession, path: str | None) -> DataFrame | None:
-    """Labels from CSV files, with whatever columns they have after the time; None if there is no path or nothing at it."""
+def read_series(spark: SparkSession, path: str, coerce: bool = True, on_error: str = "error") -> DataFrame:
+    """(series_id, pos, time, value) from CSV files with a header, a first column of times and one further column.
+
+    ``series_id`` is a file's path. Every file is read by its own header. With ``coerce`` cells that aren't numbers become null, else they are an
+    error. A file with another number of columns, or a time that can't be read, is an error that names it; with ``on_error="skip"`` such files are
+    left out, and ``series_file_status`` tells why.
+    """
+    skip = checked_mode(on_error) == "skip"
+    files = read_files(spark, path, width=2 if skip else None, by_name=False)
+    if not skip:
+        other = files.headers.where(F.size("names") != 2).orderBy("file_path").first()
+        if other is not None:
+            raise ValueError(f"{other.file_path}: a series file has a time and one further column, not {', '.join(other.names)}")
+    rows, (time, value) = files.rows, (F.col("cells")[k] for k in (0, 1))
+    if skip:
+        good = series_file_status(spark, path, coerce).where("reason IS NULL").select(F.col("series_id").alias("file_path"))
+        rows = rows.join(good, "file_path", "left_semi")
+    at = checked(_time(time), F.coalesce(time, F.lit("no time")), "a time", "timestamp_ntz")
+    number = numeric(value) if coerce else checked(value.try_cast("double"), value, "a number", "double")
+    return with_positions(rows.select(F.col("file_path").alias("series_id"), at.alias("time"), number.alias("value")), ["time"]).select("series_id", "pos", "time", "value")
+
+
+#: Kinds of the label columns that have one.
+LABEL_KINDS = {"is_anomaly": "int", "is_train": "int"}
+
+
+def label_file_status(spark: SparkSession, path: str) -> DataFrame:
+    """(series_id, reason): why a file below ``path`` can't be read as labels: ``no_is_anomaly``, ``time`` or ``number``; null where it can."""
+    files = read_files(spark, path)
+    time = F.col("cells")[0]
+    cells = [files.cell(k) for k in LABEL_KINDS]
+    bad = F.lit(False)
+    for cell in cells:
+        bad = bad | F.coalesce(unread(cell.try_cast("double"), cell), F.lit(False))
+    rows = files.rows.groupBy("file_path").agg(F.bool_or(_time(time).isNull()).alias("bad_time"), F.bool_or(bad).alias("bad_number"))
+    lacks = ~F.array_contains(F.slice("names", 2, 1 << 20), "is_anomaly")
+    reason = F.when(lacks, F.lit("no_is_anomaly")).when(F.col("bad_time"), F.lit("time")).when(F.col("bad_number"), F.lit("number"))
+    return files.headers.join(rows, "file_path", "left").select(F.col("file_path").alias("series_id"), reason.alias("reason"))
+
+
+def read_labels(spark: SparkSession, path: str | None, on_error: str = "error") -> DataFrame | None:
+    """Labels from CSV files, with whatever columns they have after the time; None if there is no path or nothing at it.
+
+    Each file's columns are found by the names in its own header, in whatever order; a column that a file lacks is null in its rows. A cell that can't be
+    read is an error that names the file; with ``on_error="skip"`` files with such a cell, or without is_anomaly, are left out.
+    """
+    skip = checked_mode(on_error) == "skip"
     if path is None:
         return None
     if "*" not in path and not exists(spark, path):
         return None
-    found = spark.read.option("recursiveFileLookup", True).csv(path, header=True)
-    time, *rest = found.columns
-    kinds = {"is_anomaly": "int", "is_train": "int"}
-    columns = [F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) for c in rest]
-    rows = found.select(F.col("_metadata.file_path").alias("series_id"), F.col(f"`{time}`").cast("timestamp_ntz").alias("time"), *columns)
-    return with_positions(rows, ["time"])
+    files = read_files(spark, path)
+    rows, time = files.rows, F.col("cells")[0]
+    if skip:
+        good = label_file_status(spark, path).where("reason IS NULL").select(F.col("series_id").alias("file_path"))
+        rows = rows.join(good, "file_path", "left_semi")
+
+    def column(name: str) -> Column:
+        cell = files.cell(name)
+        return checked(cell.try_cast("double"), cell, f"a number ({name})", "double").cast(LABEL_KINDS[name]) if name in LABEL_KINDS else cell
+
+    at = checked(_time(time), F.coalesce(time, F.lit("no time")), "a time", "timestamp_ntz")
+    return with_positions(rows.select(F.col("file_path").alias("series_id"), at.alias("time"), *(column(k).alias(k) for k in files.columns())), ["time"])
 
 
 def read_periods(spark: SparkSession, path: str) -> DataFrame:
