@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import dataset_folder, safe_name
@@ -34,7 +34,7 @@ def prepare_corpus(spark: SparkSession, folder: str, category_csv: str, out: str
     for rows, name, columns in ((series, "timeseries", ["time", "value"]), (labels, "labels", ["time", "is_anomaly", "anomaly_type"])):
         placed = rows.join(parts, "series_id")
         if layout == "csv":
-            write_named(placed.select("category", "dataset_name", *columns), ["category", "dataset_name"], ["time"], f"{out}/by_category", lambda v, name=name: f"{v['category']}/{v['dataset_name']}/{name}.csv")
+            write_named(placed.select("category", "dataset_name", *columns), ["category", "dataset_name"], ["time"], f"{out}/by_category", lambda v, name=name: f"{v['category']}/{v['dataset_name']}/{name}.csv", label=name)
         else:
             placed = placed.repartition("category", "dataset_name").sortWithinPartitions("category", "dataset_name", "pos")
             placed.write.mode("overwrite").partitionBy("category", "dataset_name").parquet(f"{out}/{name}")
@@ -57,7 +57,50 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 def write_summary(metrics: DataFrame, path: str) -> None:
     """One CSV file of the name ``path``: the categories' rows, then the overall one."""
     base, _, name = path.rpartition("/")
-    write_named(overall_summary(metrics), [], [], base or ".", lambda _: name)
+    write_named(overall_summary(metrics), [], [], base or ".", lambda _: name, label=name)
+
+
+def write_status(status: DataFrame, path: str) -> None:
+    """One CSV file of the name ``path``: each dataset, whether it was scored, and why not."""
+    base, _, name = path.rpartition("/")
+    write_named(status.select("category", "dataset_name", "status", "reason").orderBy("category", "dataset_name"), [], [], base or ".", lambda _: name, label=name)
+
+
+def write_run(metrics: DataFrame, path: str, run: str) -> None:
+    """Adds the metrics of a run to a table of runs, a partition for each ``run_name``; an earlier run of that name is replaced, others stay."""
+    named = metrics.withColumn("run_name", F.lit(run))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_name").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics of all runs of a table, with ``run_name``."""
+    found = spark.read.parquet(path)
+    return found.withColumn("run_name", F.col("run_name").cast("string"))
+
+
+def compare_runs(runs: DataFrame, first: str, second: str) -> DataFrame:
+    """(category, n_both, n_first_only, n_second_only, both_right, first_right, second_right, neither_right, accuracy_change) of two runs.
+
+    Datasets are matched by category and name; the first three columns count those that both runs have, or one. The others are about those that both have;
+    a run's own hits exclude those of both. A null category is one.
+    """
+    sides = [F.max(F.when(F.col("run_name") == name, F.col("ucr_correct"))).alias(side) for name, side in ((first, "a"), (second, "b"))]
+    pairs = runs.where(F.col("run_name").isin(first, second)).groupBy("category", "dataset_name").agg(*sides)
+
+    def counted(a: int, b: int) -> Column:
+        return F.count(F.when((F.col("a") == a) & (F.col("b") == b), 1))
+
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return pairs.groupBy("category").agg(
+        F.count(F.when(both, 1)).alias("n_both"),
+        F.count(F.when(F.col("b").isNull(), 1)).alias("n_first_only"),
+        F.count(F.when(F.col("a").isNull(), 1)).alias("n_second_only"),
+        counted(1, 1).alias("both_right"),
+        counted(1, 0).alias("first_right"),
+        counted(0, 1).alias("second_right"),
+        counted(0, 0).alias("neither_right"),
+        F.avg(F.when(both, F.col("b") - F.col("a"))).alias("accuracy_change"),
+    )
 
 
 def output_paths(run: str, folder: str = "results", overall: str | None = None) -> dict[str, str]:
@@ -67,4 +110,4 @@ def output_paths(run: str, folder: str = "results", overall: str | None = None)
         last = f"{base}/overall_evaluation.csv"
     else:
         last = overall if overall.lower().endswith(".csv") else f"{overall}/{run}/overall_evaluation.csv"
-    return {"run": base, "windows": f"{base}/windows", "metrics": f"{base}/metrics", "overall": last}
+    return {"run": base, "windows": f"{base}/windows", "metrics": f"{base}/metrics", "overall": last, "status": f"{base}/status.csv", "runs": f"{folder}/runs"}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import axis_time
+from driftline.session import checkpointed
+from driftline.sources.naming import write_named
 from driftline.sources.series import with_positions
 
 PERIOD = 24
@@ -75,3 +77,27 @@ def order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row of hits for each order, a null category among them."""
     category = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
     return table(spark, sf_dir, "orders").select(category.alias("category"), F.concat(F.lit("ds_"), "o_orderkey").alias("dataset_name"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("ucr_correct"))
+
+
+#: Faults of the datasets of ``faulty_corpus``, by their number; the first has none.
+FAULTS = ("none", "value_columns", "time", "no_labels", "no_is_anomaly", "no_labelled_row", "short", "labels_number")
+
+
+def faulty_corpus(spark: SparkSession, sf_dir: str, out: str) -> None:
+    """A prepared corpus of CSV files: each event series once for each fault, in a category of the fault's name."""
+    series = event_series(spark, sf_dir)
+    labels = event_labels(series)
+    rows = series.join(labels.select("series_id", "pos", "is_anomaly"), ["series_id", "pos"])
+    fault = F.explode(F.array(*map(F.lit, FAULTS)))
+    rows = checkpointed(rows.select(fault.alias("category"), F.col("series_id").alias("dataset_name"), "pos", "time", "value", "is_anomaly"))
+    keys, base, kind = ["category", "dataset_name"], f"{out}/by_category", F.col("category")
+
+    def written(some: DataFrame, name: str) -> None:
+        write_named(some, keys, ["time"], base, lambda v: f"{v['category']}/{v['dataset_name']}/{name}.csv", label=name)
+
+    when = F.when((kind == "time") & (F.col("pos") == 7), F.lit("yesterday")).otherwise(F.col("time").cast("string"))
+    written(rows.where((kind != "value_columns") & ((kind != "short") | (F.col("pos") < 40))).select(*keys, when.alias("time"), "value"), "timeseries")
+    written(rows.where(kind == "value_columns").select(*keys, "time", (-F.col("value")).alias("other"), "value"), "timeseries")
+    flag = F.when(kind == "labels_number", F.lit("yes")).when(kind == "no_labelled_row", F.lit("0")).otherwise(F.col("is_anomaly").cast("string"))
+    written(rows.where(~kind.isin("no_labels", "no_is_anomaly")).select(*keys, "time", flag.alias("is_anomaly")), "labels")
+    written(rows.where(kind == "no_is_anomaly").select(*keys, "time", F.lit("burst").alias("anomaly_type")), "labels")

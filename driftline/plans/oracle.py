@@ -282,3 +282,20 @@ FROM ev JOIN sizes ON sizes.series_id = ev.series_id""",
 }
 SQL["summary_file"] = SQL["overall_summary"]
 SQL["single_series_metric"] = SQL["localisation_metric"]
+SQL["csv_labels_by_header"] = f"""WITH {EV}, {LABELS} SELECT series_id, pos, CAST(time AS VARCHAR) AS time, CAST(is_anomaly AS BIGINT) AS is_anomaly,
+  CASE WHEN series_id <> 'error' THEN CASE WHEN is_anomaly = 1 THEN 'burst' ELSE 'normal' END END AS anomaly_type, CASE WHEN series_id <> 'error' THEN CAST(is_train AS BIGINT) END AS is_train FROM lab"""
+SQL["corpus_skip"] = f"""WITH {RESULTS}, best_window AS (
+  SELECT *, 0 AS n_points, count(*) OVER (PARTITION BY series_id) AS n_windows FROM res QUALIFY predicted_anomaly = 1
+), {METRIC}, faults AS (
+  SELECT fault AS category, series_id AS dataset_name FROM sizes, unnest(['none', 'value_columns', 'time', 'no_labels', 'no_is_anomaly', 'no_labelled_row', 'short', 'labels_number']) AS u(fault)
+)
+SELECT category, dataset_name, CASE WHEN category = 'none' THEN 'scored' ELSE 'skipped' END AS status, CASE WHEN category <> 'none' THEN category END AS reason, n_windows,
+       index AS ucr_prediction_index, round(sigma2, 4) AS ucr_prediction_score, CAST(index BETWEEN anomaly_start - 100 AND anomaly_end + 100 AS BIGINT) AS ucr_correct
+FROM faults LEFT JOIN found ON category = 'none' AND series_id = dataset_name"""
+SQL["sink_manifest"] = """WITH m AS (SELECT coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END, 'nan') AS c FROM orders)
+SELECT c || '/' || c || '_evaluation.csv' AS name, count(*) AS n_rows, count(*) AS n_read FROM m GROUP BY c"""
+SQL["run_table"] = """WITH r AS (
+  SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS category, CAST(o_orderkey % 3 = 0 AS INT) AS a, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 2 = 0 AS INT) END AS b FROM orders
+)
+SELECT category, count(b) AS n_both, count(*) - count(b) AS n_first_only, CAST(0 AS BIGINT) AS n_second_only, count(*) FILTER (a = 1 AND b = 1) AS both_right, count(*) FILTER (a = 1 AND b = 0) AS first_right,
+       count(*) FILTER (a = 0 AND b = 1) AS second_right, count(*) FILTER (a = 0 AND b = 0) AS neither_right, round(avg(b - a), 8) AS accuracy_change FROM r GROUP BY category"""

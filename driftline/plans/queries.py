@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from driftline.functions.scalar import dataset_folder, numeric, run_name, safe_name
 from driftline.operators import augment, evaluate, periods, preprocess, scoring, windows, zoom
 from driftline.plans import fixtures as fx
-from driftline.plans.corpus import prepare_corpus, prepared, write_metrics, write_summary, write_window_results
-from driftline.plans.scoring import Parameters, corpus_metrics, single_series
+from driftline.plans.corpus import compare_runs, prepare_corpus, prepared, read_runs, write_metrics, write_run, write_summary, write_window_results
+from driftline.plans.scoring import Parameters, corpus_metrics, scored_corpus, single_series
 from driftline.sources import corpus
 from driftline.session import checkpointed, shared_folder
-from driftline.sources.naming import write_named
+from driftline.sources.naming import read_manifest, write_named
 from driftline.sources.series import compact, read_labels, read_periods, read_series
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +295,53 @@ def csv_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(read_labels(spark, out).withColumn("series_id", _named("series_id")))
 
 
+def csv_labels_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written as CSV files whose columns are in another order, and fewer, in some files; read by each file's own header."""
+    out = _folder(spark, "labels")
+    rows = checkpointed(fx.event_labels(fx.event_series(spark, sf_dir)).withColumnRenamed("series_id", "series"))
+    for part, columns in (("series IN ('view', 'click')", ["is_train", "anomaly_type", "is_anomaly"]), ("series = 'error'", ["is_anomaly"]), ("series NOT IN ('view', 'click', 'error')", ["is_anomaly", "anomaly_type", "is_train"])):
+        write_named(rows.where(part).select("series", "time", *columns), ["series"], ["time"], out, lambda v: f"series={v['series']}/labels.csv")
+    return shown(read_labels(spark, out).select(_named("series_id").alias("series_id"), "pos", "time", "is_anomaly", "anomaly_type", "is_train"))
+
+
+def corpus_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prepared corpus of CSV files, most of which have a fault of some kind, scored with what is wrong left out: the status of each, with the metric of those scored."""
+    out = _folder(spark, "faulty")
+    fx.faulty_corpus(spark, sf_dir, out)
+    found = corpus.prepared_status(spark, out)
+    series, labels = corpus.read_prepared(spark, out, on_error="skip")
+    metrics, status = scored_corpus(series, labels, found, Parameters(order=(0, 1, 0), mode="raw", on_error="skip", **SHORT), found)
+    of_metric = metrics.select("category", "dataset_name", "n_windows", "ucr_prediction_index", "ucr_prediction_score", "ucr_correct")
+    return shown(status.join(of_metric, ["category", "dataset_name"], "left").drop("series_id"), ucr_prediction_score=4)
+
+
+def sink_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of metrics written as a file for each category, and the rows that are read again, though the session asks for files of 100 rows."""
+    out = _folder(spark, "metrics")
+    limit = "spark.sql.files.maxRecordsPerFile"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100")
+    try:
+        write_metrics(fx.order_metrics(spark, sf_dir), out)
+    finally:
+        spark.conf.set(limit, before)
+    read = spark.read.csv(f"{out}/*/*_evaluation.csv", header=True).groupBy(F.url_decode(F.col("_metadata.file_name")).alias("file")).agg(F.count(F.lit(1)).alias("n_read"))
+    manifest = read_manifest(spark, out).withColumn("file", F.substring_index("name", "/", -1))
+    return manifest.join(read, "file", "left").select("name", "n_rows", "n_read")
+
+
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs in one table, of which the second replaces an earlier one of its name, and the comparison of the first two."""
+    out = _folder(spark, "runs")
+    metrics = fx.order_metrics(spark, sf_dir)
+    key = F.substring("dataset_name", 4, 20).cast("long")
+    write_run(metrics, out, "first")
+    write_run(metrics.withColumn("ucr_correct", F.lit(1)), out, "second")
+    write_run(metrics.limit(0), out, "empty")
+    write_run(metrics.where(key % 5 != 0).withColumn("ucr_correct", (key % 2 == 0).cast("int")), out, "second")
+    return shown(compare_runs(read_runs(spark, out), "first", "second"), accuracy_change=8)
+
+
 def _raw_corpus(spark: SparkSession, sf_dir: str) -> str:
     """A folder of raw corpus files, one for each series."""
     rows = fx.event_series(spark, sf_dir)
@@ -427,6 +474,10 @@ QUERIES: dict[str, Query] = {
     "csv_series": csv_series,
     "csv_series_strict": csv_series_strict,
     "csv_labels": csv_labels,
+    "csv_labels_by_header": csv_labels_by_header,
+    "corpus_skip": corpus_skip,
+    "sink_manifest": sink_manifest,
+    "run_table": run_table,
     "raw_corpus_files": raw_corpus_files,
     "prepared_corpus_csv": _prepared("csv"),
     "prepared_corpus_parquet": _prepared("parquet"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +14,15 @@ from driftline.operators.preprocess import STRIDE, WINDOW_SIZE, branches, window
 from driftline.operators.scoring import score_series, scores, window_results
 from driftline.schemas import METRICS
 from driftline.session import checkpointed
+from driftline.sources.series import checked_mode
 
 
 @dataclass(frozen=True)
 class Parameters:
-    """How series are scored. ``branches`` is ("final",), or ("both",) to score raw series next to differenced ones."""
+    """How series are scored. ``branches`` is ("final",), or ("both",) to score raw series next to differenced ones.
+
+    A series of a corpus that can't be scored is an error, or left out with ``on_error="skip"``; ``scored_corpus`` tells why.
+    """
 
     order: tuple[int, int, int] = (1, 1, 1)
     mode: str = "seasonal_diff"
@@ -27,6 +31,7 @@ class Parameters:
     stride: int = STRIDE
     branches: tuple[str, ...] = ("final",)
     on_short: str = "error"
+    on_error: str = "error"
     base: str | None = None
     folder: str = "results"
 
@@ -45,11 +50,50 @@ def labelled_bounds(labels: DataFrame) -> DataFrame:
     return anomaly_bounds(labels).withColumn("anomaly_start", F.when(F.col("n_anomaly") == 0, none).otherwise(F.col("anomaly_start")))
 
 
+def corpus_status(series: DataFrame, labels: DataFrame, catalog: DataFrame, how: Parameters, found: DataFrame | None = None) -> DataFrame:
+    """(series_id, category, dataset_name, reason) of each series of ``catalog``: why it can't be scored, null where it can.
+
+    In this order: what ``found`` (series_id, reason) says, as from ``prepared_status``; ``no_series`` and ``no_labels`` where there are no rows;
+    ``no_is_anomaly`` and ``no_labelled_row`` of the labels; ``short`` where a branch has fewer values than its window.
+    """
+    flag = F.col("is_anomaly") if "is_anomaly" in labels.columns else F.lit(None).cast("int")
+    marked = labels.groupBy("series_id").agg(F.count(flag).alias("n_flags"), F.sum(flag).alias("n_anomaly"))
+    settings = window_settings(series, how.method, how.window_size, how.stride, how.mode)
+    sizes = branches(series, settings, how.branches).groupBy("series_id", "branch").agg(F.count("value").alias("n")).groupBy("series_id").agg(F.min("n").alias("n_values"))
+    sizes = sizes.join(settings.select("series_id", "window_size"), "series_id")
+    rows = catalog.select("series_id", "category", "dataset_name").join(sizes, "series_id", "left").join(marked, "series_id", "left")
+    told = F.lit(None).cast("string")
+    if found is not None:
+        rows, told = rows.join(found.select("series_id", F.col("reason").alias("told")), "series_id", "left"), F.col("told")
+    seen = (
+        F.when(F.col("n_values").isNull(), F.lit("no_series"))
+        .when(F.col("n_flags").isNull(), F.lit("no_labels"))
+        .when(F.col("n_flags") == 0, F.lit("no_is_anomaly"))
+        .when(F.col("n_anomaly") == 0, F.lit("no_labelled_row"))
+        .when(F.col("n_values") < F.col("window_size"), F.lit("short"))
+    )
+    return rows.select("series_id", "category", "dataset_name", F.coalesce(told, seen).alias("reason"))
+
+
+def scored_corpus(series: DataFrame, labels: DataFrame, catalog: DataFrame, how: Parameters = Parameters(), found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The metrics of all series that can be scored, and the status of each: ``scored``, or ``skipped`` with the reason (see ``corpus_status``)."""
+    checks = checkpointed(corpus_status(series, labels, catalog, how, found))
+    good = checks.where("reason IS NULL").select("series_id")
+    kept = [rows.join(good, "series_id", "left_semi") for rows in (series, labels, catalog)]
+    flagged = kept[1] if "is_anomaly" in labels.columns else kept[1].withColumn("is_anomaly", F.lit(None).cast("int"))
+    metrics = corpus_metrics(kept[0], flagged, kept[2], replace(how, on_error="error"))
+    status = F.when(F.col("reason").isNull(), F.lit("scored")).otherwise(F.lit("skipped"))
+    return metrics, checks.select("series_id", "category", "dataset_name", status.alias("status"), "reason")
+
+
 def corpus_metrics(series: DataFrame, labels: DataFrame, catalog: DataFrame, how: Parameters = Parameters()) -> DataFrame:
     """A row of metrics, 22 columns, for each series of ``catalog`` (series_id, category, dataset_name).
 
-    Series without labels are left out; labels without a labelled row are an error.
+    Series without labels are left out; labels without a labelled row are an error, and so is a series that is shorter than its window. With
+    ``on_error="skip"`` all these are left out (see ``scored_corpus``).
     """
+    if checked_mode(how.on_error) == "skip":
+        return scored_corpus(series, labels, catalog, how)[0]
     if "is_anomaly" not in labels.columns:
         raise ValueError("the labels have no column is_anomaly")
     kept = series.join(labels.select("series_id").distinct(), "series_id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from driftline.functions.scalar import axis_time, decoded_file_name, file_field
 from driftline.sources.naming import exists, has_files
-from driftline.sources.series import read_labels, read_series
+from driftline.sources.series import label_file_status, read_labels, read_series, series_file_status
 
 
 def read_raw_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,16 +72,17 @@ def first_datasets(catalog: DataFrame, n: int, path: str = "file_name") -> DataF
     return catalog.orderBy(path).limit(n)
 
 
-def read_prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_prepared(spark: SparkSession, folder: str, on_error: str = "error") -> tuple[DataFrame, DataFrame]:
     """Series and labels of a prepared corpus, each with category and dataset_name; series without labels are left out.
 
     Both layouts of ``plans.corpus.prepare_corpus`` are read: Parquet, and by_category/<category>/<dataset>/timeseries.csv with labels.csv. In
-    the latter ``series_id`` is <category>/<dataset>, since two categories may have datasets of one name.
+    the latter ``series_id`` is <category>/<dataset>, since two categories may have datasets of one name. Each file is read by its own header; one that
+    can't be read is an error, or left out with ``on_error="skip"`` (see ``prepared_status``).
     """
     if exists(spark, f"{folder}/by_category"):
-        if not (has_files(spark, f"{folder}/by_category/*/*/timeseries.csv") and has_files(spark, f"{folder}/by_category/*/*/labels.csv")):
+        if not (has_files(spark, _SERIES.format(folder)) and has_files(spark, _LABELS.format(folder))):
             raise FileNotFoundError(f"{folder} holds no prepared dataset with labels")
-        series, labels = (_placed(rows) for rows in (read_series(spark, f"{folder}/by_category/*/*/timeseries.csv"), read_labels(spark, f"{folder}/by_category/*/*/labels.csv")))
+        series, labels = _placed(read_series(spark, _SERIES.format(folder), on_error=on_error)), _placed(read_labels(spark, _LABELS.format(folder), on_error))
     else:
         series, labels = spark.read.parquet(f"{folder}/timeseries"), spark.read.parquet(f"{folder}/labels")
     kept = labelled_only(series, labels)
@@ -90,6 +91,26 @@ def read_prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return kept, labels
 
 
+_SERIES, _LABELS = "{}/by_category/*/*/timeseries.csv", "{}/by_category/*/*/labels.csv"
+
+
+def prepared_status(spark: SparkSession, folder: str) -> DataFrame:
+    """(series_id, category, dataset_name, reason) of each dataset of a prepared corpus: why its files can't be read, null where they can.
+
+    The reasons of ``series_file_status`` and, for the labels, ``label_file_status``; ``no_series`` and ``no_labels`` where a file is missing.
+    """
+    if exists(spark, f"{folder}/by_category"):
+        series, labels = series_file_status(spark, _SERIES.format(folder)), label_file_status(spark, _LABELS.format(folder))
+        label_reason = F.when(F.col("reason") == "no_is_anomaly", F.col("reason")).otherwise(F.concat(F.lit("labels_"), "reason"))
+        series, labels = _placed(series), _placed(labels.withColumn("reason", label_reason))
+    else:
+        names = ["series_id", "category", "dataset_name"]
+        series, labels = (spark.read.parquet(f"{folder}/{n}").select(*names).distinct().withColumn("reason", F.lit(None).cast("string")) for n in ("timeseries", "labels"))
+    both = series.withColumn("has_series", F.lit(True)).join(labels.withColumn("has_labels", F.lit(True)).withColumnRenamed("reason", "of_labels"), ["series_id", "category", "dataset_name"], "full")
+    missing = F.when(F.col("has_series").isNull(), F.lit("no_series")).when(F.col("has_labels").isNull(), F.lit("no_labels"))
+    return both.select("series_id", "category", "dataset_name", F.coalesce("reason", missing, "of_labels").alias("reason"))
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     """Category and dataset from the last folders of a file's path, which is the series' identifier so far."""
     parts = F.split("series_id", "/")

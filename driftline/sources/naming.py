@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _at(spark: SparkSession, path: str):
@@ -25,15 +28,16 @@ def has_files(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def part_files(spark: SparkSession, folder: str) -> list[str]:
-    """The part files below a folder, by their paths."""
+def part_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """The part files below a folder: their paths and sizes in bytes."""
     where, files = _at(spark, folder)
     found, each = [], files.listFiles(where, True)
     while each.hasNext():
-        path = each.next().getPath()
+        status = each.next()
+        path = status.getPath()
         if path.getName().startswith("part-"):
-            found.append(path.toString())
-    return found
+            found.append((path.toString(), status.getLen()))
+    return sorted(found)
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
@@ -45,24 +49,84 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"couldn't move {source} to {target}")
 
 
-def write_named(rows: DataFrame, keys: list[str], order: list[str], base: str, name: Callable[[dict[str, str]], str], kind: str = "csv", header: bool = True) -> int:
-    """Writes the rows of each combination of ``keys`` to one file, ``base`` and what ``name`` makes of the keys' values.
+@dataclass(frozen=True)
+class Named:
+    """A file that was written: its name below the folder, the part file it comes from, its rows and bytes."""
+
+    name: str
+    source: str
+    n_rows: int
+    n_bytes: int
+
+
+def listed(spark: SparkSession, aside: str, base: str, name: Callable[[dict[str, str]], str], kind: str, header: bool) -> list[Named]:
+    """The part files below ``aside`` with the names that they are to have, and their rows, counted by reading them once.
 
-    The keys aren't columns of the files, nor is ``order`` one of text files. Each file is written by one task, as its format demands; the driver moves files, one call for
-    each, and never reads them. Returns the number of files.
+    A name that is met twice is an error.
+    """
+    unquote = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    sizes = part_files(spark, aside)
+    reader = spark.read.option("recursiveFileLookup", True)
+    rows = {}
+    if any(n for _, n in sizes):
+        found = reader.text(aside) if kind == "text" else reader.csv(aside, header=header, schema="c0 string", multiLine=True)
+        rows = {r.path: r.n for r in found.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    plain = spark._jvm.org.apache.hadoop.fs.Path
+    counts = {plain(spark._jvm.java.net.URI(path)).toString(): n for path, n in rows.items()}
+    out, seen = [], {}
+    for path, size in sizes:
+        values = dict(p.split("=", 1) for p in path[path.index("/_aside") + 1 :].split("/")[1:-1])
+        target = name({k: unquote(v) for k, v in values.items()})
+        if target in seen:
+            raise ValueError(f"two files would be called {base}/{target}: {seen[target]} and {path}")
+        seen[target] = path
+        out.append(Named(target, path, counts.get(path, 0), size))
+    return out
+
+
+def write_named(rows: DataFrame, keys: list[str], order: list[str], base: str, name: Callable[[dict[str, str]], str], kind: str = "csv", header: bool = True, label: str = "files") -> list[Named]:
+    """Writes the rows of each combination of ``keys`` to one file, ``base`` and what ``name`` makes of the keys' values, and a manifest.
+
+    The keys aren't columns of the files, nor is ``order`` one of text files. Files are published in two steps. First all are written to a folder aside, listed, and
+    their rows counted: if a name is met twice, that is an error and nothing at ``base`` has changed. Then each is moved to its name, over an older file of that name,
+    and last the manifest is written, ``base``/_manifest/``label``, which ``read_manifest`` reads. Each file is written by one task, as its format demands; the driver moves files, one call for
+    each, and never reads them.
     """
     spark = rows.sparkSession
-    aside = f"{base.rstrip('/')}/_aside"
+    base = base.rstrip("/")
+    aside = f"{base}/_aside-{uuid.uuid4().hex}"
     placed = rows.repartition(*keys).sortWithinPartitions(*keys, *order) if keys else rows.coalesce(1)
     if kind == "text":  # one column of lines
         placed = placed.drop(*order)
-    writer = placed.write.mode("overwrite").partitionBy(*keys) if keys else placed.write.mode("overwrite")
+    # whatever the session says: a file of a given name can't be several
+    writer = placed.write.mode("overwrite").option("maxRecordsPerFile", 0)
+    writer = writer.partitionBy(*keys) if keys else writer
     writer.text(aside) if kind == "text" else writer.csv(aside, header=header)
-    unquote = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    found = part_files(spark, aside)
-    for path in found:
-        values = dict(p.split("=", 1) for p in path[path.index("/_aside/") + 8 :].split("/")[:-1])
-        move(spark, path, f"{base.rstrip('/')}/{name({k: unquote(v) for k, v in values.items()})}")
-    where, files = _at(spark, aside)
-    files.delete(where, True)
-    return len(found)
+    try:
+        found = listed(spark, aside, base, name, kind, header)
+        for file in found:
+            move(spark, file.source, f"{base}/{file.name}")
+    finally:
+        where, files = _at(spark, aside)
+        files.delete(where, True)
+    manifest = spark.createDataFrame([(f.name, f.n_rows, f.n_bytes) for f in found], MANIFEST)
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{base}/_manifest/{label}")
+    return found
+
+
+MANIFEST = "name string, n_rows long, n_bytes long"
+
+
+def read_manifest(spark: SparkSession, base: str, label: str = "files") -> DataFrame:
+    """(name, n_rows, n_bytes) of the files that the last ``write_named`` of that label published at ``base``."""
+    return spark.read.schema(MANIFEST).parquet(f"{base.rstrip('/')}/_manifest/{label}")
+
+
+def missing_files(spark: SparkSession, base: str, label: str = "files") -> list[str]:
+    """Names of the manifest whose files aren't there, or have another size: an unfinished or damaged publication."""
+    out = []
+    for file in read_manifest(spark, base, label).orderBy("name").toLocalIterator():
+        where, files = _at(spark, f"{base.rstrip('/')}/{file.name}")
+        if not files.exists(where) or files.getFileStatus(where).getLen() != file.n_bytes:
+            out.append(file.name)
+    return out
