@@ -16,6 +16,8 @@ import numpy as np
 STARTS = (-2.0, -0.8, -0.2, 0.2, 0.8, 2.0)
 KEPT_STARTS = 2
 ROUNDS = 80
+#: Points of the grid along phi where p, q <= 1 (along theta there are twice as many, since maxima stand close to its ends), and hollows of it in which a search begins, at most.
+GRID, KEPT_HOLLOWS = 15, 8
 STEP = 1e-5
 #: The search ends where a step would change the log-likelihood by less.
 CLOSE = 1e-9
@@ -92,12 +94,93 @@ def innovations(x: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.n
     return errors.transpose(2, 1, 0), variances.T
 
 
+def first_order(free: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """phi and theta of models with p, q <= 1 from their unbounded parameters, and by how much they move with these.
+
+    theta is a sine: many windows have their maximum at -1 or 1 itself, where the likelihood is level, and a sine is there at a finite angle.
+    """
+    phi = np.tanh(free[:, 0]) if p else np.zeros(len(free))
+    angle = free[:, p] if free.shape[1] > p else np.zeros(len(free))
+    return phi, -np.sin(angle), 1 - phi * phi, -np.cos(angle)
+
+
+def first_variances(phi: np.ndarray, theta: np.ndarray, n: int) -> np.ndarray:
+    """Variances of the prediction errors of models with p, q <= 1 (time, lanes), by their closed recursion."""
+    out = np.empty((n, len(phi)))
+    out[0] = (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)
+    square = theta * theta
+    for t in range(1, n):
+        out[t] = 1 + square - square / out[t - 1]
+    return out
+
+
+def first_errors(times: np.ndarray, phi: np.ndarray, theta: np.ndarray, variances: np.ndarray) -> np.ndarray:
+    """Prediction errors (time, ..., lanes) of ``times`` of the same shape."""
+    out = times.copy()
+    out[1:] -= phi * times[:-1]
+    gains = theta / variances
+    for t in range(1, len(times)):
+        out[t] -= gains[t - 1] * out[t - 1]
+    return out
+
+
+def _first_profile(x: np.ndarray, free: np.ndarray, p: int, mean: bool, slopes: bool = False) -> tuple[np.ndarray, ...]:
+    """-2 log-likelihood, variance and errors for models with p, q <= 1; with ``slopes`` also the derivatives by the unbounded parameters.
+
+    The derivatives follow the recursion's own, so one pass gives them all. The mean, which is at its best, doesn't add to them.
+    """
+    n, k = x.shape[1], free.shape[1]
+    phi, theta, of_phi, of_theta = first_order(free, p)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        f = first_variances(phi, theta, n)
+        times = np.ascontiguousarray(x.T)[:, None]
+        if mean:
+            times = np.concatenate([times, np.ones_like(times)], axis=1)
+        errors = first_errors(times, phi, theta, f)
+        v, level = errors[:, 0], 0.0
+        if mean:
+            one = errors[:, 1]
+            level = (v * one / f).sum(0) / (one * one / f).sum(0)
+            v = v - level * one
+        total = (v * v / f).sum(0)
+        value = n * np.log(total / n) + np.log(f).sum(0)
+        value = np.where(np.isnan(value), np.inf, value)
+        if not slopes:
+            return value, total / n, v.T
+        # the errors of what is left without the mean, and their derivatives
+        z = times[:, 0] - level * times[:, 1] if mean else times[:, 0]
+        gain, square = theta / f, theta * theta
+        out = np.empty((len(x), k))
+        for j in range(k):
+            own = j < p
+            df, dv = np.empty_like(f), np.zeros_like(v)
+            top = 1 + 2 * phi * theta + square
+            df[0] = (2 * theta * (1 - phi * phi) + 2 * phi * top) / (1 - phi * phi) ** 2 if own else 2 * (phi + theta) / (1 - phi * phi)
+            decay = square / (f * f)
+            added = 0.0 if own else 2 * theta * (1 - 1 / f)
+            for t in range(1, n):
+                df[t] = decay[t - 1] * df[t - 1] + (0.0 if own else added[t - 1])
+            dgain = -gain / f * df + (0.0 if own else 1 / f)
+            pushed = -dgain[:-1] * v[:-1] - (z[:-1] if own else 0.0)
+            for t in range(1, n):
+                dv[t] = pushed[t - 1] - gain[t - 1] * dv[t - 1]
+            moved = n * (2 * v * dv / f - v * v * df / (f * f)).sum(0) / total + (df / f).sum(0)
+            out[:, j] = moved * (of_phi if own else of_theta)
+        return value, total / n, v.T, out
+
+
 def _values_at(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> np.ndarray:
     """-2 log-likelihood of all windows at the same parameters: one lane, whose columns are the windows."""
-    phi, theta = coefficients(free[None, :p]), -coefficients(free[None, p:])
     n = x.shape[1]
-    errors, f = innovations(np.vstack([x, np.ones((1, n))] if mean else [x])[None], phi, theta)
-    v = errors[0]
+    rows = np.vstack([x, np.ones((1, n))] if mean else [x])
+    if p <= 1 and len(free) - p <= 1:
+        phi, theta, _, _ = first_order(free[None], p)
+        f = first_variances(phi, theta, n)
+        v, f = first_errors(np.ascontiguousarray(rows.T), phi, theta, f).T, f.T
+    else:
+        phi, theta = coefficients(free[None, :p]), -coefficients(free[None, p:])
+        errors, f = innovations(rows[None], phi, theta)
+        v = errors[0]
     if mean:
         one = v[-1]
         v = v[:-1] - ((v[:-1] * (one / f[0])).sum(1) / (one * one / f[0]).sum())[:, None] * one
@@ -108,6 +191,8 @@ def _values_at(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> np.ndarra
 
 def _profile(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """-2 log-likelihood (up to a constant), variance, and errors for each lane."""
+    if p <= 1 and free.shape[1] - p <= 1:
+        return _first_profile(x, free, p, mean)
     phi, theta = coefficients(free[:, :p]), -coefficients(free[:, p:])
     n = x.shape[1]
     stacked = np.stack([x, np.ones_like(x)], axis=1) if mean else x[:, None, :]
@@ -125,6 +210,9 @@ def _profile(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> tuple[np.nd
 
 def _gradient(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> tuple[np.ndarray, np.ndarray]:
     lanes, k = free.shape
+    if p <= 1 and k - p <= 1:
+        value, _, _, slopes = _first_profile(x, free, p, mean, slopes=True)
+        return value, slopes
     moves = np.concatenate([np.zeros((1, k)), STEP * np.eye(k), -STEP * np.eye(k)])
     tried = (free[:, None, :] + moves[None]).reshape(-1, k)
     value = _profile(np.repeat(x, len(moves), axis=0), tried, p, mean)[0].reshape(lanes, -1)
@@ -199,16 +287,50 @@ def _polish(x: np.ndarray, free: np.ndarray, p: int, mean: bool) -> np.ndarray:
     return free
 
 
+def first_axes(p: int, k: int) -> list[np.ndarray]:
+    """The grid's values of each unbounded parameter of models with p, q <= 1: those of theta reach from -1 to 1, both included."""
+    of_phi, of_theta = np.arctanh(np.linspace(-0.98, 0.98, GRID)), np.linspace(-np.pi / 2, np.pi / 2, 2 * GRID + 1)
+    return [of_phi] * p + [of_theta] * (k - p)
+
+
+def hollows(tried: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Where a grid's values (windows, then an axis for each parameter) are lower than all around: (windows, flat places) of the lowest, the second lowest, and so on, ``n`` at most."""
+    shape = tried.shape[1:]
+    around = np.pad(tried, [(0, 0), *[(1, 1)] * len(shape)], constant_values=np.inf)
+    low = np.ones_like(tried, bool)
+    for move in product((-1, 0, 1), repeat=len(shape)):
+        if any(move):
+            low &= tried <= around[(slice(None), *(slice(1 + m, 1 + m + size) for m, size in zip(move, shape, strict=True)))]
+    flat = np.where(low, tried, np.inf).reshape(len(tried), -1)
+    order = np.argsort(flat, axis=1)[:, :n]
+    found = []
+    for j in range(order.shape[1]):
+        rows = np.flatnonzero(np.isfinite(np.take_along_axis(flat, order[:, j : j + 1], axis=1)[:, 0]))
+        found.append((rows, order[rows, j]))
+    return found
+
+
 def search(x: np.ndarray, p: int, k: int, mean: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The best parameters found from the most likely of many starts, and whether the search for them converged."""
-    grid = np.array(list(product(STARTS, repeat=k))) if k <= 2 else np.random.default_rng(k).uniform(-2, 2, (64, k))
-    tried = np.stack([_values_at(x, g, p, mean) for g in grid], axis=1)
-    best, free, sure = np.full(len(x), np.inf), np.zeros((len(x), k)), np.zeros(len(x), bool)
-    for start in np.argsort(tried, axis=1)[:, :KEPT_STARTS].T:
-        found, value, ok = _minimise(x, grid[start], p, mean)
-        better = value < best - 1e-12
-        best = np.where(better, value, best)
-        free[better], sure[better] = found[better], ok[better]
+    """The best parameters found for each window, and whether the search for them converged.
+
+    With p, q <= 1 the likelihood is worked out on a grid of all parameters, which all windows share, and a search begins in each of its hollows, ``KEPT_HOLLOWS`` at most: windows of few
+    rows often have several maxima. Other models begin at the most likely of fewer starts.
+    """
+    if p <= 1 and k - p <= 1:
+        axes = first_axes(p, k)
+        grid = np.array(list(product(*axes)))
+        tried = np.stack([_values_at(x, g, p, mean) for g in grid], axis=1)
+        found = hollows(tried.reshape(len(x), *map(len, axes)), KEPT_HOLLOWS)
+        rows, places = np.concatenate([r for r, _ in found]), np.concatenate([at for _, at in found])
+    else:
+        grid = np.array(list(product(STARTS, repeat=k))) if k <= 2 else np.random.default_rng(k).uniform(-2, 2, (64, k))
+        tried = np.stack([_values_at(x, g, p, mean) for g in grid], axis=1)
+        places = np.argsort(tried, axis=1)[:, :KEPT_STARTS]
+        rows, places = np.repeat(np.arange(len(x)), places.shape[1]), places.ravel()
+    ends, values, ok = _minimise(x[rows], grid[places], p, mean)
+    free, sure = np.zeros((len(x), k)), np.zeros(len(x), bool)
+    order = np.lexsort((-np.arange(len(rows)), -values))  # the best of a window comes last
+    free[rows[order]], sure[rows[order]] = ends[order], ok[order]
     return _polish(x, free, p, mean), sure
 
 

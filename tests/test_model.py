@@ -42,8 +42,9 @@ def test_recovers_parameters():
     scaled = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
     free, _, ok = arima._minimise(scaled, np.tile([0.4, -0.4], (200, 1)), 1, True)
     assert ok.mean() > 0.98
-    assert np.median(arima.coefficients(free[:, :1])) == pytest.approx(0.6, abs=0.06)
-    assert np.median(-arima.coefficients(free[:, 1:])) == pytest.approx(0.3, abs=0.06)
+    phi, theta, _, _ = arima.first_order(free, 1)
+    assert np.median(phi) == pytest.approx(0.6, abs=0.06)
+    assert np.median(theta) == pytest.approx(0.3, abs=0.06)
     assert arima.fit(x, (1, 0, 1))[0].mean() == pytest.approx(1.0, abs=0.05)
 
 
@@ -76,3 +77,41 @@ def test_windows_that_cannot_be_fitted():
 def test_order_is_checked(order):
     with pytest.raises(ValueError, match="a model order"):
         arima.checked_order(order)
+
+
+@pytest.mark.parametrize(("p", "q", "mean"), [(1, 1, False), (1, 1, True), (0, 1, True), (1, 0, False)])
+def test_first_order_models_follow_the_general_recursion(p, q, mean):
+    rng = np.random.default_rng(p + 2 * q)
+    x, free = rng.standard_normal((30, 40)), rng.uniform(-1.4, 1.4, (30, p + q))
+    value, var, errors, slopes = arima._first_profile(x, free, p, mean, slopes=True)
+    phi, theta, _, _ = arima.first_order(free, p)
+    stacked = np.stack([x, np.ones_like(x)], axis=1)
+    v, f = arima.innovations(stacked, phi[:, None] if p else np.zeros((30, 0)), theta[:, None] if q else np.zeros((30, 0)))
+    own = v[:, 0] - ((v[:, 0] * v[:, 1] / f).sum(1) / (v[:, 1] ** 2 / f).sum(1))[:, None] * v[:, 1] if mean else v[:, 0]
+    np.testing.assert_allclose(errors, own, atol=1e-10)
+    np.testing.assert_allclose(var, (own * own / f).mean(1), rtol=1e-9)
+    np.testing.assert_allclose(value, 40 * np.log(var) + np.log(f).sum(1), rtol=1e-9)
+    np.testing.assert_allclose([arima._values_at(x, free[0], p, mean)[k] for k in (0, 7)], [arima._profile(x[[k]], free[[0]], p, mean)[0][0] for k in (0, 7)], rtol=1e-9)
+    for j in range(p + q):
+        up, down = (arima._profile(x, free + s * 1e-6 * np.eye(p + q)[j], p, mean)[0] for s in (1, -1))
+        np.testing.assert_allclose(slopes[:, j], (up - down) / 2e-6, atol=2e-3, rtol=1e-4)
+
+
+def test_a_moving_average_at_its_bound_is_found_exactly():
+    x = np.diff(np.random.default_rng(1).standard_normal((200, 40)))
+    free, sure = arima.search(x / np.sqrt((x * x).mean(1))[:, None], 0, 1, False)
+    theta = arima.first_order(free, 0)[1]
+    assert sure.all() and (np.abs(theta + 1) < 1e-9).mean() > 0.5
+
+
+@pytest.mark.parametrize("order", [(1, 1, 1), (1, 0, 1)])
+def test_few_windows_have_a_better_maximum_than_the_one_found(order, monkeypatch):
+    rng = np.random.default_rng(0)
+    s = np.cumsum(rng.standard_normal(3000) * 0.2) + rng.exponential(50, 3000)
+    x = np.diff(np.lib.stride_tricks.sliding_window_view(s, 50)[::12], n=order[1], axis=1)
+    x = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    value = arima._profile(x, arima.search(x, 1, 2, order[1] == 0)[0], 1, order[1] == 0)[0]
+    monkeypatch.setattr(arima, "GRID", 41)
+    monkeypatch.setattr(arima, "KEPT_HOLLOWS", 16)
+    best = arima._profile(x, arima.search(x, 1, 2, order[1] == 0)[0], 1, order[1] == 0)[0]
+    assert (value > best + 1e-6).mean() < 0.02 and (value - best).max() < 0.3
