@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut, salted_lookup
+from driftline.llm.common import cut, near_lookup
+
+#: Edges that a task of a checkpointed round holds, about.
+EDGES = 100_000
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -17,7 +20,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     In a large-star round each node connects its larger neighbours to the smallest node that it sees, in a
     small-star round its smaller ones; the number of rounds grows with the logarithm of the longest path. Each
-    round is checkpointed in the shared folder. Minima are pre-aggregated and a hub's edges are salted, so
+    round is checkpointed in the shared folder, in as many parts as its edges need, so that small graphs make few files. Minima are
+    pre-aggregated; up to a checked number they are broadcast, beyond it a hub's edges are salted, so
     no task gets a hub's whole neighbourhood. Roots aren't listed. Null ends and self-loops are ignored.
     """
     now = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -27,8 +31,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = seen
+        n = seen[0]
+        parts = n // EDGES + 1
+        now = now.coalesce(parts)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(salted_lookup(both, _least_neighbour(both), ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = near_lookup(both, _least_neighbour(both), ["u"], 2 * n, "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.distinct().coalesce(parts))
         least = _least_neighbour(large)
-        small = salted_lookup(large, least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        small = near_lookup(large, least, ["u"], n, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
