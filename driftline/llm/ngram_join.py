@@ -239,9 +239,11 @@ def ngram_join(docs: DataFrame, dense_from: int = DENSE) -> DataFrame:
         q, size, who = q[order], size[order], who[order]
         start, times = _groups(q)
         total = np.repeat(np.add.reduceat(size, start), times)
-        shared = np.repeat(times > 1, times)
-        back = [(k, shared & (who == k)) for k in range(len(parts))]
-        back = [(t["seg"][k].as_py(), pack(q[x], total[x])) for k, x in back if x.any()]
+        shared = np.flatnonzero(np.repeat(times > 1, times))
+        shared = shared[np.argsort(who[shared], kind="stable")]
+        ends = np.searchsorted(who[shared], np.arange(len(parts) + 1))
+        back = [(k, shared[a:z]) for k, a, z in zip(range(len(parts)), ends[:-1], ends[1:], strict=True) if z > a]
+        back = [(t["seg"][k].as_py(), pack(q[x], total[x])) for k, x in back]
         return _tell(seg=([k for k, _ in back], pa.int32()), blob=([x for _, x in back], pa.binary()))
 
     def entries(t: pa.Table, answers: pa.Table) -> pa.Table:
