@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import stride_for, window_size_for
@@ -35,13 +35,37 @@ def window_settings(series: DataFrame, method: str = "autocorr", window_size: in
     )
 
 
+#: Rows of a block of a differenced series, at least; long periods have blocks of as many periods.
+BLOCK, PERIODS = 4096, 8
+
+
 def seasonal_diff(series: DataFrame, settings: DataFrame) -> DataFrame:
-    """Each value less the one a period before, by position; a period's first rows become missing, a series without one stays."""
-    known = settings.select("series_id", "estimated_period")
-    rows = series.join(known, "series_id")
-    before = rows.where("estimated_period IS NOT NULL").select("series_id", (F.col("pos") + F.col("estimated_period")).alias("pos"), F.col("value").alias("earlier"))
-    value = F.when(F.col("estimated_period").isNull(), F.col("value")).otherwise(F.col("value") - F.col("earlier"))
-    return rows.join(before, ["series_id", "pos"], "left").select("series_id", "pos", "time", value.alias("value"))
+    """Each value less the one a period before, by position; a period's first rows become missing, a series without one stays.
+
+    Series are packed into blocks of positions, each with the period's rows in front of it: one shuffle, in which an eighth of the rows at most goes to two blocks. The
+    positions of a series are 0, 1, 2, ... without gaps (missing values are rows too); a gap is an error.
+    """
+    p = F.col("p")
+    known = settings.select("series_id", F.coalesce("estimated_period", F.lit(0)).cast("long").alias("p"))
+    rows = series.select("series_id", "pos", "time", "value").join(known, "series_id")
+    size = F.greatest(F.lit(BLOCK), PERIODS * p)
+    home = F.floor(F.col("pos") / size)
+    # a row is in the next block too, if that reaches back to it; a last block of such rows only gives none
+    after = F.floor((F.col("pos") + p) / size)
+    spread = rows.withColumn("block", F.explode(F.sequence(home, after)))
+    packed = spread.groupBy("series_id", "block", "p").agg(F.sort_array(F.collect_list(F.struct("pos", "time", "value"))).alias("x"))
+    last, first = F.element_at("x", -1)["pos"], F.element_at("x", 1)["pos"]
+    gap = F.raise_error(F.concat(F.lit("positions with a gap or twice: series "), F.col("series_id"))).cast("int")
+    ahead = (F.col("block") * size - first).cast("int")
+    packed = packed.withColumn("ahead", F.when(last - first + 1 != F.size("x"), gap).otherwise(F.greatest(ahead, F.lit(0))))
+    own = F.slice("x", F.col("ahead") + 1, F.greatest(F.size("x") - F.col("ahead"), F.lit(0)))
+
+    def less(row: Column, k: Column) -> Column:
+        at = (k + F.col("ahead") - p).cast("int")
+        earlier = F.when(at >= 0, F.get("x", at)["value"])
+        return F.struct(row["pos"].alias("pos"), row["time"].alias("time"), F.when(p == 0, row["value"]).otherwise(row["value"] - earlier).alias("value"))
+
+    return packed.select("series_id", F.inline(F.transform(own, less)))
 
 
 def branches(series: DataFrame, settings: DataFrame, which: tuple[str, ...] = ("final",)) -> DataFrame:

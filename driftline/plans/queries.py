@@ -142,7 +142,7 @@ def _score(order: tuple[int, int, int], digits: int) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         series = fx.event_series(spark, sf_dir)
         found = scoring.scores(scoring.score_series(series, fx.fixed_settings(series), order))
-        return shown(found.drop("branch"), sigma2=digits)
+        return shown(found.drop("branch", "converged"), sigma2=digits)
 
     query.__doc__ = f"Scores of windows of 50 every 12 rows by a model of order {order}."
     return query
@@ -162,7 +162,7 @@ def both_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = fx.seasonal_series(spark, sf_dir)
     settings = preprocess.window_settings(series)
     both = preprocess.branches(series, settings, ("both",))
-    return shown(scoring.scores(scoring.score_series(both, settings, (0, 0, 0))), sigma2=4)
+    return shown(scoring.scores(scoring.score_series(both, settings, (0, 0, 0))).drop("converged"), sigma2=4)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,7 +183,7 @@ def window_train_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, labels, scored = _scored(spark, sf_dir)
-    return shown(scoring.window_results(scored, labels.where("series_id != 'view'")).drop("branch"), sigma2=4)
+    return shown(scoring.window_results(scored, labels.where("series_id != 'view'")).drop("branch", "converged"), sigma2=4)
 
 
 def anomaly_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
