@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftline.functions.scalar import is_finite
+from driftline.operators.ranks import medians
+from driftline.session import checkpointed
 from driftline.sources.series import compact
 
 MIN_PERIOD = 2
@@ -117,7 +119,9 @@ def fft_periods(series: DataFrame, min_period: int = MIN_PERIOD, max_period: int
     """(series_id, estimated_period) from the strongest bin of the spectrum; null where none stands out. Ties go to the lowest bin."""
     known = guards(series, min_period, max_period).select("series_id", "max_period")
     bins = periodogram(series, min_period, max_period).join(known, "series_id").where((F.col("period") >= min_period) & (F.col("period") <= F.col("max_period")))
-    best = bins.groupBy("series_id", "max_period").agg(F.max(F.struct("power", (-F.col("k")).alias("minus"), "period")).alias("best"), F.median("power").alias("middle"))
+    bins = checkpointed(bins)
+    best = bins.groupBy("series_id", "max_period").agg(F.max(F.struct("power", (-F.col("k")).alias("minus"), "period")).alias("best"))
+    best = best.join(medians(bins, "series_id", "power").withColumnRenamed("median", "middle"), "series_id")
     stands = (F.col("best.power") > 0) & ((F.col("middle") <= 0) | (F.col("best.power") / F.col("middle") >= min_power_ratio))
     period = F.bround(F.col("best.period")).cast("int")
     found = best.where(stands & (period >= min_period) & (period <= F.col("max_period"))).select("series_id", period.alias("estimated_period"))
