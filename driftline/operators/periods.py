@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from driftline.functions.scalar import is_finite
 from driftline.operators.ranks import medians
+from driftline.operators.spectrum import long_powers
 from driftline.session import checkpointed
 from driftline.sources.series import compact
 
@@ -22,6 +23,8 @@ MIN_POWER_RATIO = 3.0
 BLOCK = 32_768
 #: Positions that a series is packed by for its spectrum.
 PACKED = 8_192
+#: Values of a series whose spectrum one task works out.
+WHOLE = 1 << 22
 #: Digits to which correlations and powers count; what differs less is a tie.
 DIGITS = 12
 
@@ -103,16 +106,23 @@ def _powers(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
     return pa.table({"series_id": pa.array([key[0].as_py()]).take(pa.array(np.zeros(len(k), np.int8))), "k": k, "period": len(x) / k, "power": power[1 : len(k) + 1]})
 
 
-def periodogram(series: DataFrame, min_period: int = MIN_PERIOD, max_period: int | None = None) -> DataFrame:
+def periodogram(series: DataFrame, min_period: int = MIN_PERIOD, max_period: int | None = None, longest: int = WHOLE) -> DataFrame:
     """(series_id, k, period, power) of each usable series: its spectrum without the mean.
 
-    A spectrum needs its whole series in one task, which gets it in packed blocks of positions, eight bytes a point.
+    A series of up to ``longest`` values is transformed by one task, which gets it in packed blocks of positions, eight bytes a point; longer
+    ones by many (see ``spectrum``), with equal results up to rounding.
     """
-    known = guards(series, min_period, max_period).where("usable").select("series_id", "mean")
-    rows = series.where("value IS NOT NULL").join(known, "series_id").select("series_id", "pos", (F.col("value") - F.col("mean")).alias("x"))
+    known = checkpointed(guards(series, min_period, max_period).where("usable").select("series_id", "mean", "n"))
+    short = known.where(F.col("n") <= longest)
+    rows = series.where("value IS NOT NULL").join(short, "series_id").select("series_id", "pos", (F.col("value") - F.col("mean")).alias("x"))
     packed = rows.groupBy("series_id", F.floor(F.col("pos") / PACKED).alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("p"))
     packed = packed.select("series_id", "block", F.transform("p", lambda p: p["x"]).alias("x"))
-    return packed.groupBy("series_id").applyInArrow(_powers, "series_id string, k long, period double, power double")
+    found = packed.groupBy("series_id").applyInArrow(_powers, "series_id string, k long, period double, power double")
+    long = known.where(F.col("n") > longest)
+    if long.isEmpty():
+        return found
+    placed = compact(series.join(long.select("series_id"), "series_id", "left_semi")).join(long, "series_id")
+    return found.unionByName(long_powers(placed.select("series_id", "cpos", "n", (F.col("value") - F.col("mean")).alias("x"))))
 
 
 def fft_periods(series: DataFrame, min_period: int = MIN_PERIOD, max_period: int | None = None, min_power_ratio: float = MIN_POWER_RATIO) -> DataFrame:
