@@ -7,29 +7,33 @@ from pyspark.sql import functions as F
 
 from driftline.functions.scalar import dataset_folder, safe_name
 from driftline.operators.evaluate import overall_summary, point_labels
-from driftline.sources.corpus import decode_values, file_metadata, read_category_map, read_raw_files, with_category
+from driftline.sources.corpus import decode_values, file_metadata, raw_file_names, read_category_map, read_raw_values, with_category
 from driftline.sources.naming import write_named
 
 
-def prepared(files: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Catalog, series and labels of raw files (file_name, content); ``series_id`` is the folder of the dataset."""
+def prepared(files: DataFrame, categories: DataFrame, values: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Catalog, series and labels of raw files (file_name, content); ``series_id`` is the folder of the dataset.
+
+    With ``values`` (file_name, pos, time, value), as from ``read_raw_values``, no content is needed.
+    """
     named = with_category(file_metadata(files), categories)
     catalog = named.withColumns({"series_id": dataset_folder(F.col("dataset_id"), F.col("dataset_name")), "folder": safe_name(F.col("category"))})
-    series = decode_values(files).withColumnRenamed("series_id", "file_name").join(catalog.select("file_name", "series_id"), "file_name").drop("file_name")
+    rows = decode_values(files).withColumnRenamed("series_id", "file_name") if values is None else values
+    series = rows.join(catalog.select("file_name", "series_id"), "file_name").drop("file_name")
     return catalog, series.select("series_id", "pos", "time", "value"), point_labels(series, catalog)
 
 
 def prepare_corpus(spark: SparkSession, folder: str, category_csv: str, out: str, limit: int | None = None, layout: str = "parquet") -> DataFrame:
-    """Reads raw files, labels them and writes series and labels, partitioned by category and dataset; returns the catalog.
+    """Reads raw files of any size, labels them and writes series and labels, partitioned by category and dataset; returns the catalog.
 
     ``layout`` is ``parquet``, or ``csv`` for by_category/<category>/<dataset>/timeseries.csv and labels.csv.
     """
     if layout not in ("parquet", "csv"):
         raise ValueError("layout must be 'parquet' or 'csv'")
-    files = read_raw_files(spark, folder)
+    files = raw_file_names(spark, folder)
     if limit is not None:
         files = files.join(files.select("file_name").orderBy("file_name").limit(limit), "file_name", "left_semi")
-    catalog, series, labels = prepared(files, read_category_map(spark, category_csv))
+    catalog, series, labels = prepared(files, read_category_map(spark, category_csv), read_raw_values(spark, folder))
     parts = catalog.select("series_id", F.col("folder").alias("category"), F.col("series_id").alias("dataset_name"))
     for rows, name, columns in ((series, "timeseries", ["time", "value"]), (labels, "labels", ["time", "is_anomaly", "anomaly_type"])):
         placed = rows.join(parts, "series_id")

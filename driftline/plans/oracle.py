@@ -299,3 +299,4 @@ SQL["run_table"] = """WITH r AS (
 )
 SELECT category, count(b) AS n_both, count(*) - count(b) AS n_first_only, CAST(0 AS BIGINT) AS n_second_only, count(*) FILTER (a = 1 AND b = 1) AS both_right, count(*) FILTER (a = 1 AND b = 0) AS first_right,
        count(*) FILTER (a = 0 AND b = 1) AS second_right, count(*) FILTER (a = 0 AND b = 0) AS neither_right, round(avg(b - a), 8) AS accuracy_change FROM r GROUP BY category"""
+SQL["raw_corpus_ranges"] = f"WITH {EV} SELECT series_id AS file_name, pos, CAST(time AS VARCHAR) AS time, value FROM ev"

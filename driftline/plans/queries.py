@@ -363,6 +363,16 @@ def raw_corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(corpus.decode_values(files).withColumnRenamed("series_id", "file_name").join(known, "file_name").drop("file_name"))
 
 
+def raw_corpus_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files, those of two series as one line each, read in ranges of bytes."""
+    rows = checkpointed(fx.event_series(spark, sf_dir).select(F.concat(F.lit("001_UCR_Anomaly_"), "series_id", F.lit("_1_2_3.txt")).alias("file"), F.col("pos").alias("at"), F.col("value").cast("string").alias("value")))
+    out, flat = _folder(spark, "raw"), F.col("file").rlike("view|click")
+    write_named(rows.where(~flat), ["file"], ["at"], out, lambda v: v["file"], kind="text")
+    write_named(rows.where(flat), ["file"], ["at"], out, lambda v: v["file"], kind="text", line_end="  ")
+    found = corpus.read_raw_values(spark, out)
+    return shown(found.withColumn("file_name", corpus.file_field(F.col("file_name"), 2)))
+
+
 def _prepared(layout: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw, out = _raw_corpus(spark, sf_dir), _folder(spark, "prepared")
@@ -479,6 +489,7 @@ QUERIES: dict[str, Query] = {
     "sink_manifest": sink_manifest,
     "run_table": run_table,
     "raw_corpus_files": raw_corpus_files,
+    "raw_corpus_ranges": raw_corpus_ranges,
     "prepared_corpus_csv": _prepared("csv"),
     "prepared_corpus_parquet": _prepared("parquet"),
     "category_file": category_file,

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftline.functions.scalar import axis_time, decoded_file_name, file_field
-from driftline.sources.naming import exists, has_files
+from driftline.sources.naming import exists, has_files, head_of
 from driftline.sources.series import label_file_status, read_labels, read_series, series_file_status
 
 
 def read_raw_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file_name, content) of every raw file under ``folder``; none is an error."""
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*UCR_Anomaly*.txt").text(folder, wholetext=True)
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", RAW).text(folder, wholetext=True)
     files = found.select(decoded_file_name(F.col("_metadata.file_name")).alias("file_name"), F.col("value").alias("content"))
     if files.select("file_name").isEmpty():
         raise FileNotFoundError(f"{folder} holds no raw corpus file")
@@ -28,6 +28,50 @@ def decode_values(files: DataFrame, key: str = "file_name", content: str = "cont
     return rows.select("series_id", pos.alias("pos"), axis_time(pos).alias("time"), F.col("word").cast("double").alias("value"))
 
 
+#: First bytes of a raw file that tell what divides its numbers.
+HEAD = 4096
+RAW = "*UCR_Anomaly*.txt"
+
+
+def raw_file_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, path, n_bytes) of every raw file under ``folder``, without reading any; none is an error."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", RAW).load(folder).select("path", F.col("length").alias("n_bytes"))
+    files = found.select(decoded_file_name(F.substring_index("path", "/", -1)).alias("file_name"), "path", "n_bytes")
+    if files.isEmpty():
+        raise FileNotFoundError(f"{folder} holds no raw corpus file")
+    return files
+
+
+def divider(head: bytes) -> str:
+    """The white space that divides most numbers at a file's beginning."""
+    return max("\n \t", key=lambda c: head.count(c.encode()))
+
+
+def read_raw_values(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, pos, time, value) of every raw file under ``folder``, as ``decode_values`` gives them, for files of any size.
+
+    Files are read in ranges of bytes, a line of gigabytes too: what divides a file's numbers, which the driver sees in its first bytes (one call for each file), is what
+    Spark ends its lines at, so a number that a range's edge cuts is read whole with the first part. The numbers of each range are counted, the counts summed up over a file's ranges,
+    and numbers are placed by them; no task holds more than a range.
+    """
+    paths: dict[str, list[str]] = {}
+    for file in raw_file_names(spark, folder).select("path").toLocalIterator():
+        paths.setdefault(divider(head_of(spark, file.path, HEAD)), []).append(file.path)
+    found = None
+    for mark, own in sorted(paths.items()):
+        text = spark.read.option("lineSep", mark).text(own)
+        rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+        found = rows if found is None else found.unionByName(rows)
+    words = found.select("path", "block", "at", F.posexplode(F.split("value", r"\s+")).alias("k", "word")).where("word <> ''")
+    counts = words.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    here = F.row_number().over(W.partitionBy("path", "block").orderBy("at", "k")) - 1
+    placed = words.withColumn("here", here).join(counts.select("path", "block", before.alias("before")), ["path", "block"])
+    pos = (F.col("here") + F.col("before")).cast("long")
+    name = decoded_file_name(F.substring_index("path", "/", -1))
+    return placed.select(name.alias("file_name"), pos.alias("pos"), axis_time(pos).alias("time"), F.col("word").cast("double").alias("value"))
+
+
 def file_metadata(files: DataFrame) -> DataFrame:
     """(file_name, dataset_id, dataset_name, train_end, anomaly_start, anomaly_end) from files' names."""
     name = F.col("file_name")

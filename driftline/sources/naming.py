@@ -28,6 +28,16 @@ def has_files(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def head_of(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file."""
+    where, files = _at(spark, path)
+    stream = files.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+    finally:
+        stream.close()
+
+
 def part_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     """The part files below a folder: their paths and sizes in bytes."""
     where, files = _at(spark, folder)
@@ -59,7 +69,7 @@ class Named:
     n_bytes: int
 
 
-def listed(spark: SparkSession, aside: str, base: str, name: Callable[[dict[str, str]], str], kind: str, header: bool) -> list[Named]:
+def listed(spark: SparkSession, aside: str, base: str, name: Callable[[dict[str, str]], str], kind: str, header: bool, line_end: str = "\n") -> list[Named]:
     """The part files below ``aside`` with the names that they are to have, and their rows, counted by reading them once.
 
     A name that is met twice is an error.
@@ -69,7 +79,7 @@ def listed(spark: SparkSession, aside: str, base: str, name: Callable[[dict[str,
     reader = spark.read.option("recursiveFileLookup", True)
     rows = {}
     if any(n for _, n in sizes):
-        found = reader.text(aside) if kind == "text" else reader.csv(aside, header=header, schema="c0 string", multiLine=True)
+        found = reader.text(aside, lineSep=line_end) if kind == "text" else reader.csv(aside, header=header, schema="c0 string", multiLine=True)
         rows = {r.path: r.n for r in found.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n")).collect()}
     plain = spark._jvm.org.apache.hadoop.fs.Path
     counts = {plain(spark._jvm.java.net.URI(path)).toString(): n for path, n in rows.items()}
@@ -84,7 +94,7 @@ def listed(spark: SparkSession, aside: str, base: str, name: Callable[[dict[str,
     return out
 
 
-def write_named(rows: DataFrame, keys: list[str], order: list[str], base: str, name: Callable[[dict[str, str]], str], kind: str = "csv", header: bool = True, label: str = "files") -> list[Named]:
+def write_named(rows: DataFrame, keys: list[str], order: list[str], base: str, name: Callable[[dict[str, str]], str], kind: str = "csv", header: bool = True, label: str = "files", line_end: str = "\n") -> list[Named]:
     """Writes the rows of each combination of ``keys`` to one file, ``base`` and what ``name`` makes of the keys' values, and a manifest.
 
     The keys aren't columns of the files, nor is ``order`` one of text files. Files are published in two steps. First all are written to a folder aside, listed, and
@@ -101,9 +111,9 @@ def write_named(rows: DataFrame, keys: list[str], order: list[str], base: str, n
     # whatever the session says: a file of a given name can't be several
     writer = placed.write.mode("overwrite").option("maxRecordsPerFile", 0)
     writer = writer.partitionBy(*keys) if keys else writer
-    writer.text(aside) if kind == "text" else writer.csv(aside, header=header)
+    writer.text(aside, lineSep=line_end) if kind == "text" else writer.csv(aside, header=header)
     try:
-        found = listed(spark, aside, base, name, kind, header)
+        found = listed(spark, aside, base, name, kind, header, line_end)
         for file in found:
             move(spark, file.source, f"{base}/{file.name}")
     finally:

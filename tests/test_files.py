@@ -120,3 +120,25 @@ def test_output_paths():
     assert plans.output_paths("r")["overall"] == "results/r/overall_evaluation.csv"
     assert plans.output_paths("r", "o", "x.CSV")["overall"] == "x.CSV"
     assert plans.output_paths("r", "o", "x")["overall"] == "x/r/overall_evaluation.csv"
+
+
+@pytest.mark.parametrize("size", ["100", "1000", "1000000"])
+def test_raw_files_in_ranges(spark, tmp_path, size):
+    numbers = [f"{k * 7919 % 100003 / 7:.5e}" if k % 3 else str(k) for k in range(2000)]
+    marks = {"lines": "\n", "spaces": "  ", "one space": " ", "tabs": "\t", "both": " \n"}
+    for k, (name, mark) in enumerate(marks.items()):
+        (tmp_path / f"00{k}_UCR_Anomaly_{name}_1_2_3.txt").write_text((" " if k % 2 else "") + mark.join(numbers) + ("\n" if k < 3 else ""))
+    (tmp_path / "009_UCR_Anomaly_empty_1_2_3.txt").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = corpus.read_raw_values(spark, str(tmp_path))
+        assert size != "1000" or found.count() and spark.read.option("lineSep", " ").text(str(tmp_path)).rdd.getNumPartitions() > 50
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 2000 * len(marks)
+    for name in marks:
+        own = sorted((r.pos, r.value) for r in rows if f"_{name}_" in r.file_name)
+        assert own == [(k, float(v)) for k, v in enumerate(numbers)]
