@@ -22,6 +22,8 @@ Rows of the matrix are distinct texts (classes), columns 5-word shingles. Its bl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,9 @@ COLUMN_BITS = 40
 HEADS = 16
 #: Row pairs that a bucket multiplies at once.
 PAIRS = 1 << 20
+#: Words of 64 bits of the bitmap that a row of a full column has of its shingles.
+BITMAP = 8
+BITS = [f"bits{k}" for k in range(BITMAP)]
 
 
 def _tell(**columns: tuple) -> pa.Table:
@@ -83,8 +88,9 @@ def _needed(n: np.ndarray) -> np.ndarray:
 
 
 def prefix_entries(s: Segment, answers: list[bytes], dense_from: int = DENSE) -> tuple[np.ndarray, ...]:
-    """(shingle, id, n, place, dense, has_dense) of the entries that are multiplied."""
+    """(shingle, id, n, place, dense, has_dense, bitmaps) of the entries that are multiplied; only rows of full columns have a bitmap."""
     entries, row = _rows_of(s)
+    every, of_row = entries, row
     q, total = _column_sums(entries)
     total = total.copy()
     for blob in answers:
@@ -105,7 +111,11 @@ def prefix_entries(s: Segment, answers: list[bytes], dense_from: int = DENSE) ->
     entries, row, df, place = entries[inside], row[inside], df[inside], place[inside]
     dense = df > dense_from
     has_dense = np.bincount(row, weights=dense, minlength=len(s.ids)) > 0
-    return entries, s.ids[row], n[row], place, dense, has_dense[row]
+    marked = np.flatnonzero(has_dense[of_row])
+    bits = np.zeros((len(s.ids), BITMAP), np.uint64)
+    at = every[marked] % np.uint64(64 * BITMAP)
+    np.bitwise_or.at(bits, (of_row[marked], (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+    return entries, s.ids[row], n[row], place, dense, has_dense[row], bits[row]
 
 
 def multiply(h: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, dense: np.ndarray, seg: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -249,13 +259,13 @@ def ngram_join(docs: DataFrame, dense_from: int = DENSE) -> DataFrame:
     def entries(t: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[tuple[int, bytes]] = []
         if t.num_rows:
-            h, ids, size, place, dense, has_dense = prefix_entries(Segment(t["blob"].to_pylist()), answers["blob"].to_pylist(), dense_from)
+            h, ids, size, place, dense, has_dense, bits = prefix_entries(Segment(t["blob"].to_pylist()), answers["blob"].to_pylist(), dense_from)
             for is_dense in (False, True):
                 x = np.flatnonzero(dense == is_dense)
                 x = x[np.argsort(h[x], kind="stable")]
                 for b, cut_ in _slices(h[x], 64, n):
                     y = x[cut_]
-                    out.append((keys[b], is_dense, pack(h[y], ids[y], size[y], place[y], has_dense[y])))
+                    out.append((keys[b], is_dense, pack(h[y], ids[y], size[y], place[y], has_dense[y], *(bits[y].T if is_dense else ()))))
         seg = [t["seg"][0].as_py()] * len(out) if out else []
         return _tell(bucket=([x[0] for x in out], pa.int32()), seg=(seg, pa.int32()), dense=([x[1] for x in out], pa.bool_()), blob=([x[2] for x in out], pa.binary()))
 
@@ -274,9 +284,9 @@ def ngram_join(docs: DataFrame, dense_from: int = DENSE) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seg, blob in zip(batch["seg"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-                h, ids, size, place, _ = unpack(blob)
-                whole = [pa.array(x.view(np.int64)) for x in (h, ids, size, place)]
-                yield pa.RecordBatch.from_arrays([*whole, pa.array([seg] * len(h), pa.int32())], names=["h", "id", "n", "place", "seg"])
+                h, ids, size, place, _, *bits = unpack(blob)
+                whole = [pa.array(x.view(np.int64)) for x in (h, ids, size, place, *bits)]
+                yield pa.RecordBatch.from_arrays([*whole, pa.array([seg] * len(h), pa.int32())], names=["h", "id", "n", "place", *BITS, "seg"])
 
     told = segs.groupBy("seg").applyInArrow(column_sums, "bucket int, seg int, blob binary").groupBy("bucket").applyInArrow(total_sums, "seg int, blob binary")
     multiplied = cut(segs.groupBy("seg").cogroup(told.groupBy("seg")).applyInArrow(entries, "bucket int, seg int, dense boolean, blob binary"))
@@ -287,13 +297,20 @@ def ngram_join(docs: DataFrame, dense_from: int = DENSE) -> DataFrame:
     # what the columns after the multiplied ones could still add to a pair's count
     rest = F.ceil(F.greatest("n_a", "n_b") * NUM / DEN) - 1
     sparse = counted.where(F.col("dense") | (F.col("reach") & ((NUM + DEN) * (F.col("c") + rest) >= NUM * (F.col("n_a") + F.col("n_b"))))).select("a", "b", "seg_a", "seg_b")
-    dense = cut(multiplied.where("dense").select("seg", "blob").mapInArrow(listed, "h long, id long, n long, place long, seg int"))
+    dense = cut(multiplied.where("dense").select("seg", "blob").mapInArrow(listed, f"h long, id long, n long, place long, {', '.join(f'{b} long' for b in BITS)}, seg int"))
 
     def fits(n_a: str, n_b: str):
         return NUM * F.greatest(n_a, n_b) <= DEN * F.least(n_a, n_b)
 
-    heads = dense.groupBy("h").agg(F.min(F.struct("id", "seg", "n")).alias("head"))
-    star = salted_lookup(dense, heads, ["h"], "id").where((F.col("id") != F.col("head.id")) & fits("n", "head.n"))
+    def could(x: str, y: str):
+        """Whether two rows can share enough: each bit that only one has is a shingle at least that the other lacks."""
+        only = [reduce(add, (F.bit_count(F.col(f"{p}{b}").bitwiseAND(F.bitwise_not(F.col(f"{q}{b}")))) for b in BITS)) for p, q in ((x, y), (y, x))]
+        most = F.least(F.col(f"{x}n") - only[0], F.col(f"{y}n") - only[1])
+        return (NUM + DEN) * most >= NUM * (F.col(f"{x}n") + F.col(f"{y}n"))
+
+    row = F.struct("id", "seg", "n", *BITS)
+    heads = dense.groupBy("h").agg(F.min(row).alias("head"))
+    star = salted_lookup(dense, heads, ["h"], "id").where((F.col("id") != F.col("head.id")) & fits("n", "head.n") & could("", "head."))
     star = star.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.seg").alias("seg_a"), F.col("seg").alias("seg_b"))
     links = cut(_exact(segs, sparse.unionByName(star).distinct()))
     labels = connected_components(links)
@@ -311,11 +328,10 @@ def ngram_join(docs: DataFrame, dense_from: int = DENSE) -> DataFrame:
     main = mixed_columns(labels)
     if not main.isEmpty():
         # rows outside a column's main component meet a few rows of it first, which joins most of them to it
-        row = F.struct("id", "seg", "n")
         drawn = labelled(labels).groupBy("comp", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("k")).agg(F.min(row).alias("head"))
         heads = drawn.groupBy(F.col("comp").alias("main")).agg(F.collect_list("head").alias("heads"))
-        outside = salted_lookup(labelled(labels), main, ["h"], "id").where("comp != main").select("id", "seg", "n", "main").distinct()
-        met = salted_lookup(cut(outside), heads, ["main"], "id").select("id", "seg", "n", F.explode("heads").alias("y")).where(fits("n", "y.n"))
+        outside = salted_lookup(labelled(labels), main, ["h"], "id").where("comp != main").select("id", "seg", "n", *BITS, "main").distinct()
+        met = salted_lookup(cut(outside), heads, ["main"], "id").select("id", "seg", "n", *BITS, F.explode("heads").alias("y")).where(fits("n", "y.n") & could("", "y."))
         swap = F.col("id") > F.col("y.id")
         met = met.select(
             F.least("id", "y.id").alias("a"), F.greatest("id", "y.id").alias("b"),
@@ -332,7 +348,7 @@ def ngram_join(docs: DataFrame, dense_from: int = DENSE) -> DataFrame:
         # a pair of two strays is met from both sides; it counts once, from the smaller identifier
         across = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
         left = 7 * F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= 3 * (F.col("x.n") + F.col("y.n"))
-        pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.salt") == F.col("y.salt")) & across & fits("x.n", "y.n") & left)
+        pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.salt") == F.col("y.salt")) & across & fits("x.n", "y.n") & left & could("x.", "y."))
         first = F.col("x.id") < F.col("y.id")
         pairs = pairs.select(
             F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
