@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from driftline.llm.common import cut, even_keys, salted_lookup, table
 from driftline.llm.components import connected_components
 from driftline.llm.segments import Segment, dealt, describe, pack_texts, segments_for, unpack_texts
-from driftline.llm.words import all_shingles, find, pack, shingles, spans, unpack, word_hashes
+from driftline.llm.words import all_shingles, count_shingles, find, pack, shingles, spans, unpack, word_hashes
 
 N = 5
 #: Two rows link when NUM * union <= DEN * intersection, that is at a similarity of 0.75.
@@ -153,6 +153,8 @@ class Shown:
         words, _ = word_hashes([self.text])
         self.width = min(N, len(words))
         self.hashes, self.places = np.unique(all_shingles(words, N), return_index=True)
+        #: Whether different shingles of the text have one hash.
+        self.meets = count_shingles(self.text, words, N) != len(self.hashes)
 
     def grams(self) -> set[tuple[bytes, ...]]:
         words = self.text.split()
@@ -160,6 +162,8 @@ class Shown:
 
     def links(self, other: Shown) -> bool:
         """Whether two texts share enough shingles. Those of equal hashes are compared word by word, in runs of both texts."""
+        if self.meets or other.meets:
+            return self.shares(other)
         at = find(other.hashes, self.hashes)
         mine, theirs = self.places[at >= 0], other.places[at[at >= 0]]
         if (NUM + DEN) * len(mine) < NUM * (len(self.hashes) + len(other.hashes)):
@@ -173,6 +177,10 @@ class Shown:
         )
         if self.width == other.width and all(self.text[a:b] == other.text[c:d] for a, b, c, d in runs):
             return True
+        return self.shares(other)
+
+    def shares(self, other: Shown) -> bool:
+        """Whether two texts share enough shingles, all compared as words."""
         x, y = self.grams(), other.grams()
         return (NUM + DEN) * len(x & y) >= NUM * (len(x) + len(y))
 

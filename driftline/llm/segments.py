@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import cut_by, even_keys, partitions
-from driftline.llm.words import fold, shingles, text_key, word_hashes
+from driftline.llm.words import Key, count_shingles, drawn_key, fold, text_key, word_hashes
 
 #: Rows of a batch of documents that a map task handles at once, by the bytes of their texts.
 BATCH_BYTES = 1 << 23
@@ -46,25 +46,33 @@ def in_batches(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]
         yield ids, texts
 
 
-def pack_texts(ids: list[int], keys: list[tuple[int, int]], texts: list[bytes]) -> bytes:
-    """Identifiers, keys and texts as one compressed blob."""
+def pack_texts(ids: list[int], keys: list[tuple[int, int]], texts: list[bytes], drawn: Key = (0, 0)) -> bytes:
+    """Identifiers, keys and texts as one compressed blob, with the key that the job has drawn for its hashes."""
     n = len(ids)
     head = np.empty((4, n), np.int64)
     head[0], head[3] = ids, [len(t) for t in texts]
     head[1:3] = np.array(keys, np.int64).reshape(n, 2).T
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<q", n) + head.tobytes() + b"".join(texts))
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<QQq", *drawn, n) + head.tobytes() + b"".join(texts))
+
+
+_HEAD = struct.calcsize("<QQq")
 
 
 def unpack_texts(blob: bytes) -> tuple[list[int], list[tuple[int, int]], list[bytes]]:
     """The identifiers, keys and texts that ``pack_texts`` was given."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = struct.unpack_from("<q", raw)[0]
-    head = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
-    ends = np.cumsum(head[3]) + 8 + 32 * n
-    starts = [8 + 32 * n, *ends[:-1].tolist()] if n else []
+    n = struct.unpack_from("<QQq", raw)[2]
+    head = np.frombuffer(raw, np.int64, 4 * n, _HEAD).reshape(4, n)
+    ends = np.cumsum(head[3]) + _HEAD + 32 * n
+    starts = [_HEAD + 32 * n, *ends[:-1].tolist()] if n else []
     return head[0].tolist(), list(zip(head[1].tolist(), head[2].tolist(), strict=True)), [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
 
 
+def drawn_of(blob: bytes) -> Key:
+    """The drawn key that ``pack_texts`` was given."""
+    return struct.unpack("<QQ", zstandard.ZstdDecompressor().stream_reader(blob).read(16))
+
+
 class Segment:
     """The texts of one segment, one for each class, in the order of their identifiers."""
 
@@ -78,7 +86,8 @@ class Segment:
         self.keys = [x[2] for x in kept]
         self.ids = np.array([x[0] for x in kept], np.int64)
         self.texts = [x[1] for x in kept]
-        self.words, self.first = word_hashes(self.texts)
+        self.drawn = drawn_of(blobs[0]) if blobs else (0, 0)
+        self.words, self.first = word_hashes(self.texts, key=self.drawn)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.first))
@@ -98,7 +107,7 @@ def describe(docs: DataFrame, fold_case: bool, n_shingle: int = 5) -> DataFrame:
                     texts = [fold(t) for t in texts]
                     words, first = word_hashes(texts)
                     counts = np.diff(first).tolist()
-                    sets = [len(shingles(words[a:b], n_shingle)) for a, b in zip(first[:-1], first[1:], strict=True)]
+                    sets = [count_shingles(t, words[a:b], n_shingle) for t, a, b in zip(texts, first[:-1], first[1:], strict=True)]
                     keys = [text_key(t) for t in texts]
                     shas = [""] * len(ids)
                 else:
@@ -124,7 +133,8 @@ def segments_for(docs: DataFrame) -> int:
 
 
 def dealt(docs: DataFrame, fold_case: bool, n: int) -> DataFrame:
-    """(seg, blob): the classes of ``docs`` that have a word, dealt by class into ``n`` segments and checkpointed."""
+    """(seg, blob): the classes of ``docs`` that have a word, dealt by class into ``n`` segments and checkpointed, with a key drawn for their hashes."""
+    drawn = drawn_key()
     keys = even_keys(docs.sparkSession, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +151,7 @@ def dealt(docs: DataFrame, fold_case: bool, n: int) -> DataFrame:
                 for key, k in best.items():
                     to.setdefault(key[1] % n, []).append((key, k))
                 segs = sorted(to)
-                blobs = [pack_texts([ids[k] for _, k in to[s]], [key for key, _ in to[s]], [shown[k] for _, k in to[s]]) for s in segs]
+                blobs = [pack_texts([ids[k] for _, k in to[s]], [key for key, _ in to[s]], [shown[k] for _, k in to[s]], drawn) for s in segs]
                 yield pa.RecordBatch.from_arrays([pa.array([keys[s] for s in segs], pa.int32()), pa.array(blobs, pa.binary())], names=["seg", "blob"])
 
     packed = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "seg int, blob binary")

@@ -83,7 +83,7 @@ def _found(s: Segment, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
     near = total[WINDOW - BLOCK + 1 : WINDOW - BLOCK + 1 + size] > total[:size]
     at = np.flatnonzero(near & inside_text(s.first, WINDOW, size))
     own = ngram_hashes(s.words, WINDOW)[at]
-    return at, own, ngram_hashes(word_hashes(s.texts, 1)[0], WINDOW)[at]
+    return at, own, ngram_hashes(word_hashes(s.texts, 1, s.drawn)[0], WINDOW)[at]
 
 
 def _runs(h: np.ndarray, g: np.ndarray) -> np.ndarray:

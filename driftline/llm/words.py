@@ -4,13 +4,15 @@ Words are the maximal runs of bytes other than the six ASCII white-space bytes,
 ``[^\\x20\\x09-\\x0D]+`` finds in the decoded text, since no byte of a longer UTF-8 sequence is ASCII.
 
 Hashes are chains of bijective mixing steps: no sums of powers, so texts of regular structure don't meet. Words of up to
-eight bytes have one step, words of more than ``LONG`` bytes and whole texts are hashed by BLAKE2b. What is decided by
-hashes is said where they are used.
+eight bytes have one step, words of more than ``LONG`` bytes and whole texts are hashed by BLAKE2b. A key, which a job draws
+for itself, goes into every step of a word, so nobody can prepare texts whose hashes meet. What is decided by hashes is said where they are used.
 """
 
 from __future__ import annotations
 
+import struct
 from hashlib import blake2b
+from secrets import token_bytes
 
 import numpy as np
 import zstandard
@@ -47,9 +49,9 @@ def fold(text: bytes) -> bytes:
     return text.translate(_FOLD)
 
 
-def digest(data: bytes) -> tuple[int, int]:
+def digest(data: bytes, key: tuple[int, int] | None = None) -> tuple[int, int]:
     """BLAKE2b of 128 bits as two unsigned integers."""
-    found = blake2b(data, digest_size=16).digest()
+    found = blake2b(data, digest_size=16, key=b"" if key is None else struct.pack("<QQ", *key)).digest()
     return int.from_bytes(found[:8], "little"), int.from_bytes(found[8:], "little")
 
 
@@ -65,31 +67,41 @@ def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _hashed(raw: bytes, starts: np.ndarray, ends: np.ndarray, way: int) -> np.ndarray:
+#: Two numbers of 64 bits.
+Key = tuple[int, int]
+
+
+def drawn_key() -> Key:
+    """A key that can't be foreseen."""
+    return int.from_bytes(token_bytes(8)), int.from_bytes(token_bytes(8))
+
+
+def _hashed(raw: bytes, starts: np.ndarray, ends: np.ndarray, way: int, key: Key) -> np.ndarray:
     """A hash of each word: its lanes of eight bytes, one mixing step after the other; ``way`` chooses between independent ones."""
+    first, later = mix64(np.array(key, np.uint64) + _WAYS[way])
     lanes = np.ndarray(len(raw) + 1, "<u8", raw + b"\0" * 8, strides=(1,))
     size = ends - starts
     short = size < 8
     h = lanes[starts] & _LANE[np.minimum(size, 8)]
     h[short] |= size[short].astype(np.uint64) << np.uint64(56)
     h[~short] ^= _ODD
-    h = mix64(h + _WAYS[way])
+    h = mix64(h + first)
     rest = np.flatnonzero((size > 8) & (size <= LONG))
     k = 8
     while len(rest):
         lane = lanes[starts[rest] + k] & _LANE[np.minimum(size[rest] - k, 8)]
-        h[rest] = mix64(h[rest] * _LEFT + lane)
+        h[rest] = mix64(h[rest] * _LEFT + (lane ^ later))
         k += 8
         ended = size[rest] <= k
         done = rest[ended]
         h[done] = mix64(h[done] ^ size[done].astype(np.uint64))
         rest = rest[~ended]
     for i in np.flatnonzero(size > LONG).tolist():
-        h[i] = digest(raw[starts[i] : ends[i]])[way]
+        h[i] = digest(raw[starts[i] : ends[i]], key)[way]
     return h
 
 
-def word_hashes(texts: list[bytes], way: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], way: int = 0, key: Key = (0, 0)) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of ``texts``, in order, and each text's first word (one more at the end)."""
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
@@ -102,7 +114,7 @@ def word_hashes(texts: list[bytes], way: int = 0) -> tuple[np.ndarray, np.ndarra
             rest = np.flatnonzero(SPACE[buf[end : end + 4096]])
             end += int(rest[0]) + 1 if len(rest) else min(4096, len(buf) - end)
         s, e = spans(buf[at:end])
-        hashes.append(_hashed(joined[at:end], s, e, way))
+        hashes.append(_hashed(joined[at:end], s, e, way, key))
         a, z = np.searchsorted(offsets, [at, end])
         first[a:z] = before + np.searchsorted(s, offsets[a:z] - at)
         at, before = end, before + len(s)
@@ -153,6 +165,17 @@ def all_shingles(words: np.ndarray, n: int) -> np.ndarray:
     return ngram_hashes(words, min(n, len(words))) + np.uint64(max(0, n - len(words)))
 
 
+def count_shingles(text: bytes, words: np.ndarray, n: int) -> int:
+    """The number of distinct ``n``-word shingles of a text whose words have these hashes: where hashes are equal, the words are compared."""
+    hashes = all_shingles(words, n)
+    distinct, of, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    if len(distinct) == len(hashes):
+        return len(hashes)
+    shown, width = text.split(), min(n, len(words))
+    again = np.flatnonzero(times[of] > 1).tolist()
+    return int((times == 1).sum()) + len({tuple(shown[k : k + width]) for k in again})
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Compresses integer columns of one length, the first sorted (it is stored as differences)."""
     parts = [np.array([len(columns), len(columns[0])], np.int64).tobytes()]

@@ -269,3 +269,26 @@ def test_components_of_a_long_chain(spark):
     least = brute.components({x for pair in links for x in pair}, links)
     assert found == {i: m for i, m in least.items() if i != m}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_made_to_meet_under_a_fixed_hash(spark):
+    first = 'rs18bf38 il5pj3jo xtda514t 3lq2ekeq 9eno6hsj kygg696u il5pj3jo xtda514t 3lq2ekeq o4"`mr75'
+    found = ngram_join.ngram_join(spark.createDataFrame([(1, first), (2, first + " more words")], DOCS)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 6, 1), (2, 8, 1)]
+
+
+def test_shingles_of_one_hash_are_counted_by_their_words():
+    text = b"a b c d e f g a b c d e f g h"
+    hashes, _ = words.word_hashes([text])
+    assert words.count_shingles(text, hashes, 5) == len(brute.shingles(text.decode())) == 8
+    assert words.count_shingles(text, np.zeros(15, np.uint64), 5) == 8
+    assert words.count_shingles(b"a b", np.zeros(2, np.uint64), 5) == 1
+    shown = ngram_join.Shown(text)
+    shown.meets = True
+    assert shown.links(ngram_join.Shown(text)) and not shown.links(ngram_join.Shown(b"a b c d e x y z"))
+
+
+def test_keys_change_all_hashes():
+    texts = [b"a bc def longerthaneight " + b"z" * 100]
+    one, again, other = (words.word_hashes(texts, key=k)[0] for k in ((1, 2), (1, 2), (3, 2)))
+    assert (one == again).all() and not (one == other).any() and words.drawn_key() != words.drawn_key()
