@@ -121,27 +121,35 @@ def held_out():
 
 
 def chosen_rows(known: DataFrame, size: int) -> DataFrame:
-    """Of each language the first ``size`` / number of languages identifiers in the order of their hashes, ``size`` at most in all."""
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Of each language the first ``size`` / number of languages identifiers in the order of their hashes, ``size`` at most in all.
+
+    Only identifiers that are sure to be among them, by the share that each language needs, and some more are put in order; where a language falls short, again with a larger share.
+    """
+    keyed = cut(known.select("doc_id", "lang", sample_key().alias("k")).distinct())
+    counts = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("quota", F.greatest(F.lit(1), F.floor(F.lit(size) / F.count(F.lit(1)).over(W.partitionBy()))))
     counts = cut(counts.withColumn("at", F.row_number().over(W.orderBy("lang"))).where(F.col("at") <= size).drop("at"))
-    keyed = known.select("doc_id", "lang", sample_key().alias("k"))
-    # what is sure to be needed, and some more, before anything is put in order
-    share = F.conv(F.substring("k", 1, 8), 16, 10).cast("double") / 2**32
-    likely = keyed.join(F.broadcast(counts), "lang").where(share * F.col("n") <= 2 * F.col("quota") + 200).select("lang", "doc_id", "k", "quota").distinct()
-    return likely.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("k", "doc_id"))).where("at <= quota").select("lang", "doc_id")
+    wanted = counts.agg(F.sum(F.least("n", "quota"))).first()[0] or 0
+    share, factor = F.conv(F.substring("k", 1, 8), 16, 10).cast("double") / 2**32, 2
+    while True:
+        likely = keyed.join(F.broadcast(counts), "lang").where(share * F.col("n") <= factor * F.col("quota") + 200)
+        found = cut(likely.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("k", "doc_id"))).where("at <= quota").select("lang", "doc_id"))
+        if found.count() >= wanted:
+            return found
+        factor *= 16
 
 
 def train(docs: DataFrame, size: int = SAMPLE) -> Identifier:
     """Learns from text and lang of at most ``size`` documents that aren't held out and have both, as many of each language.
 
-    The trigram shares of this sample, 16 kB a document, are broadcast, and each machine is fitted by a task of its own.
+    The trigram shares of this sample, 16 kB a document, are broadcast, and each machine is fitted by a task of its own. Of rows that share identifier and language
+    the one whose text has the smallest digest counts.
     """
     spark = docs.sparkSession
     known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = known.join(F.broadcast(chosen_rows(known, size)), ["lang", "doc_id"])  # at most ``size`` rows
-    rows = rows.dropDuplicates(["lang", "doc_id"]).select("doc_id", "lang", "text")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
