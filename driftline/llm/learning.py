@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def sample_key(column: str = "doc_id") -> Column:
@@ -20,6 +21,13 @@ def bounded_sample(rows: DataFrame, size: int, column: str = "doc_id") -> DataFr
     return rows.where(sample_key(column) <= F.lit(last)) if last is not None else rows.limit(0)
 
 
+def within_bytes(rows: DataFrame, size: str, most: int, column: str = "doc_id") -> DataFrame:
+    """The rows of a bounded sample, in the order of ``sample_key``, as long as their ``size`` adds up to ``most`` at most."""
+    order = W.orderBy(sample_key(column), column).rowsBetween(W.unboundedPreceding, 0)
+    fit = rows.select(column, F.sum(size).over(order).alias("_sum")).where(F.col("_sum") <= most).select(column)
+    return rows.join(F.broadcast(fit), column, "left_semi")
+
+
 def fold_of(doc_id: int, n: int) -> int:
     """A row's fold, by its identifier."""
     return zlib.crc32(b"fold:%d" % doc_id) % n

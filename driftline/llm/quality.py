@@ -160,13 +160,15 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, pool_size: int = POOL, given: int = GIVEN) -> Views:
     """Co-trains on at most ``size`` labelled and ``pool_size`` unlabelled documents; without labels every score is 0.5.
 
-    ``given`` bounds the pseudo-labels of each class that a view gives the other in a round.
+    ``given`` bounds the pseudo-labels of each class that a view gives the other in a round. Of rows that share an identifier the one with the smallest features counts.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     pool = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left_anti"), pool_size)
     chosen = bounded_sample(known, size).unionByName(pool.withColumn("quality", F.lit(None).cast("int")))
-    rows = _rows(docs).join(F.broadcast(chosen), "doc_id")  # at most size + pool_size rows
-    got = rows.mapInArrow(_described, "doc_id long, quality int, t array<double>, m array<double>").toArrow().sort_by("doc_id")
+    rows = _rows(docs).join(F.broadcast(chosen), "doc_id")
+    found = rows.mapInArrow(_described, "doc_id long, quality int, t array<double>, m array<double>")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("t", "m", "quality")).alias("x"))  # at most size + pool_size rows
+    got = one.select("doc_id", "x.quality", "x.t", "x.m").toArrow().sort_by("doc_id")
     n_text, n_meta = len(text_features(None)), len(meta_features(None, None, None))
     x_text = np.array(got["t"].to_pylist(), float).reshape(-1, n_text)
     x_meta = np.array(got["m"].to_pylist(), float).reshape(-1, n_meta)

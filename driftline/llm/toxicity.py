@@ -28,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table
-from driftline.llm.learning import bounded_sample, fit_logistic, fold_of, sigmoid
+from driftline.llm.common import cut, table
+from driftline.llm.learning import bounded_sample, fit_logistic, fold_of, sigmoid, within_bytes
 from driftline.llm.words import STEP, among, find
 
 #: Labelled documents that the models are fitted on, at most.
 SAMPLE = 12_000
 #: Terms that a link knows, at most.
-TERMS = 256
+TERMS = 512
+#: Bytes of the sample's packed words, 16 for each different word of a document (documents have some 3 kB): the second bound of the sample.
+SAMPLE_BYTES = 128 << 20
 #: How many times as likely a term must be in a category's texts.
 ODDS = 20
 FOLDS = 5
@@ -227,13 +229,18 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], size: int) -> Sample:
-    """The first ``size`` labelled documents with a text, in the order of a hash of their identifiers."""
+    """The first ``size`` labelled documents with a text, in the order of a hash of their identifiers, as long as their packed words are ``SAMPLE_BYTES`` at most.
+
+    Of rows that share an identifier the one whose text has the smallest digest counts.
+    """
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.max(F.col(c).cast("int")).alias(c) for c in categories))
     known = known.where(F.coalesce(*categories).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.array(*(F.col(c).cast("double") for c in categories)).alias("labels"))
     chosen = bounded_sample(known, size)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "labels", "text")  # at most ``size`` rows
-    got = rows.mapInArrow(packed, "doc_id long, labels array<double>, size long, words binary").toArrow().sort_by("doc_id").combine_chunks()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "labels").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))  # at most ``size`` rows
+    whole = cut(rows.mapInArrow(packed, "doc_id long, labels array<double>, size long, words binary"))
+    kept = within_bytes(whole.withColumn("bytes", F.octet_length("words").cast("long")), "bytes", SAMPLE_BYTES).drop("bytes")
+    got = kept.toArrow().sort_by("doc_id").combine_chunks()
     n = got.num_rows
     words = got["words"].combine_chunks() if n else pa.array([], pa.binary())
     ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1] if n else np.zeros(1, np.int32)

@@ -290,3 +290,45 @@ def test_logistic_and_svm_separate():
 def test_sample_is_bounded(spark, size):
     rows = spark.range(40).withColumnRenamed("id", "doc_id")
     assert learning.bounded_sample(rows, size).count() == min(size, 40)
+
+
+REPEATED = [(7, f"word{k} of a text", "en", "s", 3) for k in range(3000)] + [(k, f"other{k} text", "en", "s", 3) for k in range(100, 160)]
+
+
+def repeated(spark):
+    docs = spark.createDataFrame(REPEATED, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, k % 2, k % 2) for k, i in enumerate([7, *range(100, 160)])], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_samples_have_one_row_of_each_identifier(spark, monkeypatch):
+    docs, labels = repeated(spark)
+    known = labels.select("doc_id", (1 - labels["quality"]).alias("junk"), "toxic")
+    one, again = (toxicity.sampled(rows, known, ("junk", "toxic"), 50) for rows in (docs, docs.repartition(5)))
+    assert len(one.fold) == len(again.fold) <= 50 and one.size.tolist() == again.size.tolist()
+    sizes = []
+    real = quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda x, *rest: sizes.append(len(x)) or real(x, *rest))
+    quality.train(docs, labels, size=40, pool_size=10)
+    assert sizes[0] <= 40
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(2000 if k % 2 else 5))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 3 == 0 and 1 or 0) for k in range(40)], "doc_id long, junk int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 200_000)
+    found = toxicity.sampled(docs, labels, ("junk", "toxic"), 40)
+    assert 0 < len(found.fold) < 40
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1 << 30)
+    assert len(toxicity.sampled(docs, labels, ("junk", "toxic"), 40).fold) == 40
+
+
+def test_languages_of_repeated_identifiers_are_learned(spark):
+    docs = spark.createDataFrame([(1, f"der die das und {k}", "de") for k in range(4000)] + [(k, f"the of and to {k}", "en") for k in range(2, 600)] + [(9000, "le la les et", "fr"), (9001, "le la les et", "fr"), (9002, "le la les et", "fr")], "doc_id long, text string, lang string")
+    known = docs.where(~language_id.held_out())
+    assert known.where("lang = 'de'").count() == 4000
+    found = language_id.train(docs, 60)
+    assert sorted(x for _, names in found.families for x in names) == ["de", "en", "fr"]
+    chosen = language_id.chosen_rows(known, 60).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in chosen} == {"de": 1, "en": 20, "fr": known.where("lang = 'fr'").count()}
