@@ -2,16 +2,17 @@
 
 Writing: each page becomes an HTTP response in chunked framing. A message longer than ``SEGMENT`` bytes is split into a
 response record and continuation records, which name their origin and their number; the last one gives the total
-length. A page whose payload an earlier one has becomes a revisit record. Spark's text writer lays records down one
-after the other: its line separator is the two CRLFs that end a WARC record. Files are compressed as a whole.
+length. A page whose payload an earlier one has becomes a revisit record. Each record is a gzip member of its own, and Spark's text
+writer lays them down one after the other: its line separator is the zero byte that ends every member of less than 16 MB.
 
-Reading: the archives are read as binary files of bounded size and cut into records by their Content-Length. Segments are
+Reading: archives of any writer are read as binary files and cut into records by their Content-Length. Segments are
 grouped by the identifier of their origin, ordered by their number, joined, verified against the total length
-and freed of the chunked framing; the payload must have the digest that its record states.
+and freed of the chunked framing; the payload must have the digest that its record states. Records other than responses, revisits and their continuations are passed over.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -72,7 +73,7 @@ def page_records(page_id: int | None, row: int, url: str | None, payload: bytes,
     """The records of one page: a revisit, or a response and its continuations."""
     name = record_id(page_id, row)
     shown = re.sub(r"[\r\n]", "", url or "")
-    common = [("WARC-Target-URI", shown), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Row", row), ("Content-Type", "application/http;msgtype=response")]
+    common = [("WARC-Target-URI", shown), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         yield record("revisit", b"", [("WARC-Record-ID", name), ("WARC-Refers-To", record_id(refers_to, refers_row)), ("WARC-Profile", profile), *common])
@@ -104,6 +105,24 @@ def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size + 4
 
 
+def member(record_: bytes) -> bytes:
+    """A record and the two CRLFs that end it as a gzip member, without its last byte: the highest one of its size, which is zero."""
+    found = gzip.compress(record_ + END.encode(), compresslevel=6, mtime=0)
+    if found[-1]:
+        raise ValueError("a record of 16 MB or more can't be written: take shorter segments")
+    return found[:-1]
+
+
+def states_digest(stated: str | None, body: bytes, payload: bytes) -> bool:
+    """Whether a stated digest is that of the payload, or of the body as it was sent; of algorithms other than SHA-1 and SHA-256 nothing is known."""
+    name, _, value = (stated or "").partition(":")
+    make = {"sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256}.get(name.strip().lower())
+    if make is None:
+        return True
+    digests = [make(x).digest() for x in {body, payload}]
+    return any(value.strip().lower() in (d.hex(), base64.b32encode(d).decode().lower().rstrip("="), base64.b32encode(d).decode().lower()) for d in digests)
+
+
 def reassembled(segments: list[tuple[int, int | None, bytes]]) -> bytes:
     """Joins the (number, total length, block) of one record's segments, whatever their order."""
     parts = sorted(segments, key=lambda x: x[0])
@@ -115,10 +134,15 @@ def reassembled(segments: list[tuple[int, int | None, bytes]]) -> bytes:
     return message
 
 
+def body_and_payload(message: bytes) -> tuple[bytes, bytes]:
+    """The body of an HTTP response as it was sent, and freed of its framing."""
+    head, _, body = message.partition(END.encode())
+    return body, dechunked(body) if re.search(rb"(?im)^transfer-encoding:[ \t]*chunked", head) else body
+
+
 def payload_of(message: bytes) -> bytes:
     """The payload of an HTTP response."""
-    head, _, body = message.partition(END.encode())
-    return dechunked(body) if re.search(rb"(?im)^transfer-encoding:[ \t]*chunked", head) else body
+    return body_and_payload(message)[1]
 
 
 def _packed(data: bytes) -> bytes:
@@ -167,7 +191,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, records_per_
             for k in range(batch.num_rows):
                 x = {name: batch[name][k].as_py() for name in ("page_id", "row", "url", "digest", "refers_to", "refers_row")}
                 payload = _unpacked(batch["packed"][k].as_py())
-                records.extend(page_records(payload=payload, **x, segment=segment))
+                records.extend(map(member, page_records(payload=payload, **x, segment=segment)))
                 size += len(payload)
                 if size >= BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["value"])
@@ -176,19 +200,30 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, records_per_
 
     rows = classified(pages).select("page_id", "row", "url", "packed", "digest", "refers_to", "refers_row")
     written = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    written.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path, compression="gzip")
+    written.write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+#: Kinds of records that a reader takes in; other ones are known by "other", so that their continuations can be told.
+TAKEN = ("response", "revisit", "continuation")
+RECORD = "record_id string, target_uri string, page_id long, row long, record_type string, payload binary, payload_digest string, refers_to_id string, refers_to long"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a folder of WARC files, segments reassembled: page_id, row, record_type, payload, payload_digest, refers_to.
+    """The responses and revisits of a folder of WARC files, segments reassembled, a row each.
 
-    ``payload`` is null for revisits. A record that is cut short, lacks a segment, or whose payload hasn't the
-    stated length or digest is an error. A folder without records gives an empty result.
+    The columns are record_id, target_uri, page_id and row (of files written by ``write_warc``; null else), record_type, payload (null for revisits), payload_digest
+    (the payload's SHA-256 in hexadecimal; of a revisit as it is stated), refers_to_id, and refers_to, its page. Files may be compressed, whole or a record each, or not. Segments may lie in several
+    files; they are grouped by WARC-Segment-Origin-ID, and by WARC-Record-ID where a record has none. A record that is cut short, lacks a segment, occurs
+    twice, or whose payload hasn't the stated length or digest is an error. A response that isn't HTTP is its own payload. A file is read by one task.
+    A folder without records gives an empty result.
     """
+    names = ["origin", "kind", "segment", "total", "uri", "refers", "digest", "http", "block"]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary())
 
-    def number(name: str) -> int | None:
-        found = re.match(r"<urn:page:(-?\d+):", name)
-        return int(found[1]) if found else None
+    def own(name: str | None) -> tuple[int | None, int | None]:
+        """Page and row of an identifier that ``record_id`` made."""
+        found = re.fullmatch(r"<urn:page:(-?\d+|null):(\d+)>", name or "")
+        return (None if found[1] == "null" else int(found[1]), int(found[2])) if found else (None, None)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,39 +231,57 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 archive = data.as_py()
                 for h, block in records_in(gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive):
-                    origin = h.get("warc-segment-origin-id", h["warc-record-id"])
-                    total = h.get("warc-segment-total-length")
-                    rows.append((number(origin), int(h.get("x-row", 0)), h["warc-type"], int(h.get("warc-segment-number", 1)), None if total is None else int(total), number(h.get("warc-refers-to", "")), h["warc-payload-digest"].removeprefix("sha256:"), _packed(block)))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                names = ["page_id", "row", "kind", "segment", "total", "refers_to", "digest", "block"]
+                    kind = h["warc-type"].lower()
+                    number, total = int(h.get("warc-segment-number", 1)), h.get("warc-segment-total-length")
+                    if kind not in TAKEN:
+                        if "warc-segment-number" not in h:
+                            continue
+                        kind, block = "other", b""
+                    http = h.get("content-type", "application/http").lower().startswith("application/http")
+                    rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), kind, number, None if total is None else int(total), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), http, _packed(block)))
                 for at in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), kinds, strict=True)], names=names)
 
+    def row_of(x: dict) -> tuple | None:
+        """A row of the result; None for a record that is passed over."""
+        segments = x["segments"]
+        first = {s["kind"] for s in segments} - {"continuation"}
+        if "other" in first:
+            return None
+        page, row = own(x["origin"])
+        if "revisit" in first:
+            return (x["origin"], x["uri"], page, row, "revisit", None, (x["digest"] or "").removeprefix("sha256:") or None, x["refers"], own(x["refers"])[0])
+        message = reassembled([(s["segment"], s["total"], _unpacked(s["block"])) for s in segments])
+        body, payload = body_and_payload(message) if x["http"] else (message, message)
+        if not states_digest(x["digest"], body, payload):
+            raise ValueError(f"the payload of {x['origin']} hasn't the digest that its record states")
+        return (x["origin"], x["uri"], page, row, "response", payload, hashlib.sha256(payload).hexdigest(), None, None)
+
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"page_id": pa.int64(), "row": pa.int64(), "record_type": pa.string(), "payload": pa.binary(), "payload_digest": pa.string(), "refers_to": pa.int64()}
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64())
+        told = [x.split()[0] for x in RECORD.split(", ")]
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=told)
 
         for batch in batches:
             rows, size = [], 0
             for k in range(batch.num_rows):
-                segments, digest = batch["segments"][k].as_py(), batch["digest"][k].as_py()
-                revisit = segments[0]["kind"] == "revisit"
-                payload = None if revisit else payload_of(reassembled([(x["segment"], x["total"], _unpacked(x["block"])) for x in segments]))
-                if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError("a payload hasn't the digest that its record states")
-                rows.append((batch["page_id"][k].as_py(), batch["row"][k].as_py(), "revisit" if revisit else "response", payload, digest, batch["refers_to"][k].as_py()))
-                size += len(payload or b"")
+                found = row_of({name: batch[name][k].as_py() for name in batch.schema.names})
+                if found is not None:
+                    rows.append(found)
+                    size += len(found[5] or b"")
                 if size >= BATCH_BYTES:
                     yield packed(rows)
                     rows, size = [], 0
             yield packed(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = files.mapInArrow(cut_up, "page_id long, row long, kind string, segment int, total long, refers_to long, digest string, block binary")
-    grouped = records.groupBy("page_id", "row").agg(F.sort_array(F.collect_list(F.struct("segment", "kind", "total", "block"))).alias("segments"), F.max("digest").alias("digest"), F.max("refers_to").alias("refers_to"))
-    return grouped.mapInArrow(joined, "page_id long, row long, record_type string, payload binary, payload_digest string, refers_to long")
+    records = files.mapInArrow(cut_up, "origin string, kind string, segment int, total long, uri string, refers string, digest string, http boolean, block binary")
+    head = F.col("kind") != "continuation"
+    told = [F.max(F.when(head, F.col(c))).alias(c) for c in ("uri", "refers", "digest", "http")]
+    grouped = records.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "kind", "total", "block"))).alias("segments"), *told)
+    return grouped.mapInArrow(joined, RECORD)
 
 
 def warc_roundtrip(pages: DataFrame, path: str) -> DataFrame:

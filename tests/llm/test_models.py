@@ -305,7 +305,7 @@ def test_samples_have_one_row_of_each_identifier(spark, monkeypatch):
     docs, labels = repeated(spark)
     known = labels.select("doc_id", (1 - labels["quality"]).alias("junk"), "toxic")
     one, again = (toxicity.sampled(rows, known, ("junk", "toxic"), 50) for rows in (docs, docs.repartition(5)))
-    assert len(one.fold) == len(again.fold) <= 50 and one.size.tolist() == again.size.tolist()
+    assert len(one.fold) == len(again.fold) <= 50 and one.sizes.tolist() == again.sizes.tolist()
     sizes = []
     real = quality.co_train
     monkeypatch.setattr(quality, "co_train", lambda x, *rest: sizes.append(len(x)) or real(x, *rest))
