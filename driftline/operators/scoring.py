@@ -31,12 +31,12 @@ def _rows(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def fit_blocks(blocks: DataFrame, order: tuple[int, int, int]) -> DataFrame:
+def fit_blocks(blocks: DataFrame, order: tuple[int, int, int], burn: bool = False) -> DataFrame:
     """Fits the model to the windows of blocks (see ``position_blocks``): a row for each block.
 
     It has the windows' numbers, times, innovation variances (null where a window can't be fitted) and whether each converged; and for the block's points
     their positions, and the sum and number of the residuals that its windows have there. A point is in many windows, but nothing is a row for each of both. A block's windows are slices of its values,
-    so a long series is many tasks; a task fits the windows of one length together.
+    so a long series is many tasks; a task fits the windows of one length together. The first d residuals of a window of order (p, d, q) are its values themselves, or left out with ``burn``.
     """
     order = checked_order(order)
     ship_package(blocks.sparkSession)
@@ -50,6 +50,7 @@ def fit_blocks(blocks: DataFrame, order: tuple[int, int, int]) -> DataFrame:
         for p in parts:
             n = len(p["offsets"])
             left = residuals[at : at + n]
+            left[:, : order[1] * burn] = np.nan
             good = np.isfinite(left)
             where = (p["offsets"][:, None] + np.arange(w))[good]
             p["sigma2"], p["converged"] = sigma2[at : at + n], sure[at : at + n]
@@ -81,9 +82,9 @@ def fit_blocks(blocks: DataFrame, order: tuple[int, int, int]) -> DataFrame:
     return rows.mapInArrow(run, FITTED.replace("positions", "told array<struct<window_no:bigint,window_start:timestamp_ntz,window_end:timestamp_ntz>>, positions", 1))
 
 
-def score_series(series: DataFrame, settings: DataFrame, order: tuple[int, int, int], on_short: str = "error") -> DataFrame:
+def score_series(series: DataFrame, settings: DataFrame, order: tuple[int, int, int], on_short: str = "error", burn: bool = False) -> DataFrame:
     """Cuts the series into blocks of windows and fits each window."""
-    return fit_blocks(position_blocks(series, settings, on_short), order)
+    return fit_blocks(position_blocks(series, settings, on_short), order, burn)
 
 
 def scores(fitted: DataFrame) -> DataFrame:

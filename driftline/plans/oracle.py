@@ -201,6 +201,7 @@ SELECT series_id, window_no, window_end_pos, pos FROM mem""",
     "score_110": _CUBIC,
     "residual_mean_000": _residual("value - mean"),
     "residual_mean_010": _residual("value - coalesce(v1, 0)"),
+    "residual_mean_020_burn": _residual("value - 2 * v1 + v2"),
     "both_branches": f"""WITH {SEASONAL}, {ACF.format('sea')}, {SETTINGS.format(200, 50)}, {DIFF}, both_ AS (
   SELECT series_id || '|raw' AS series_id, pos, time, value FROM sea
   UNION ALL SELECT dif.series_id || '|transformed', pos, time, value FROM dif JOIN sett ON sett.series_id = dif.series_id WHERE seasonal_adjustment

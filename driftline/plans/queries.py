@@ -148,13 +148,13 @@ def _score(order: tuple[int, int, int], digits: int) -> Query:
     return query
 
 
-def _residual(order: tuple[int, int, int]) -> Query:
+def _residual(order: tuple[int, int, int], burn: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         series = fx.gappy_series(spark, sf_dir)
-        found = scoring.residual_series(scoring.score_series(series, fx.fixed_settings(series), order), series)
+        found = scoring.residual_series(scoring.score_series(series, fx.fixed_settings(series), order, burn=burn), series)
         return shown(found.drop("branch"), residual=6)
 
-    query.__doc__ = f"Mean residuals over windows of a model of order {order}."
+    query.__doc__ = f"Mean residuals over windows of a model of order {order}{', without the first of each' * burn}."
     return query
 
 
@@ -464,6 +464,7 @@ QUERIES: dict[str, Query] = {
     "score_101": _score((1, 0, 1), 2),
     "residual_mean_000": _residual((0, 0, 0)),
     "residual_mean_010": _residual((0, 1, 0)),
+    "residual_mean_020_burn": _residual((0, 2, 0), burn=True),
     "both_branches": both_branches,
     "window_label_overlap": window_label_overlap,
     "window_train_flag": window_train_flag,
