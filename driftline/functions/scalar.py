@@ -72,6 +72,12 @@ def file_field(file_name: Column, k: int) -> Column:
     return F.when(file_name.rlike(FILE_PATTERN), F.regexp_extract(file_name, FILE_PATTERN, k)).otherwise(wrong.cast("string"))
 
 
+def order_fault(order: Column) -> Column:
+    """Why an array of numbers isn't a model order, null where it is one: ``length``, or ``value`` if any isn't a whole number from 0 on."""
+    whole = F.forall(order, lambda x: F.coalesce((x >= 0) & (x == F.floor(x)), F.lit(False)))
+    return F.when(F.coalesce(F.size(order), F.lit(0)) != 3, F.lit("length")).when(~whole, F.lit("value"))
+
+
 def unit_noise(seed: Column, pos: Column) -> Column:
     """A standard normal number that depends on seed and position only (Box and Muller, on halves of an MD5)."""
     digest = F.md5(F.concat(seed.cast("string"), F.lit(":"), pos.cast("string")))

@@ -301,3 +301,7 @@ SQL["run_table"] = """WITH r AS (
 SELECT category, count(b) AS n_both, count(*) - count(b) AS n_first_only, CAST(0 AS BIGINT) AS n_second_only, count(*) FILTER (a = 1 AND b = 1) AS both_right, count(*) FILTER (a = 1 AND b = 0) AS first_right,
        count(*) FILTER (a = 0 AND b = 1) AS second_right, count(*) FILTER (a = 0 AND b = 0) AS neither_right, round(avg(b - a), 8) AS accuracy_change FROM r GROUP BY category"""
 SQL["raw_corpus_ranges"] = f"WITH {EV} SELECT series_id AS file_name, pos, CAST(time AS VARCHAR) AS time, value FROM ev"
+SQL["order_faults"] = """SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_partkey % 11 = 0 OR p_partkey % 13 = 0 THEN 'length'
+  WHEN p_partkey % 7 = 0 AND p_size > 0 OR p_partkey % 5 = 0 AND p_size % 4 <> 0 THEN 'value' END AS fault FROM part"""
+SQL["category_map_columns"] = """SELECT DISTINCT replace(p_brand, '#', '-') AS brand, CASE WHEN p_brand < 'Brand#2' THEN 'anomaly_type_2' ELSE 'anomaly_type_2, name' END AS missing
+FROM part WHERE p_partkey % 5 = 0 AND (p_brand < 'Brand#2' OR p_brand >= 'Brand#4')"""

@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions.scalar import dataset_folder, numeric, run_name, safe_name
+from driftline.functions.scalar import dataset_folder, numeric, order_fault, run_name, safe_name
 from driftline.operators import augment, evaluate, periods, preprocess, scoring, windows, zoom
 from driftline.plans import fixtures as fx
 from driftline.plans.corpus import compare_runs, prepare_corpus, prepared, read_runs, write_metrics, write_run, write_summary, write_window_results
 from driftline.plans.scoring import Parameters, corpus_metrics, scored_corpus, single_series
 from driftline.sources import corpus
 from driftline.session import checkpointed, shared_folder
+from driftline.sources.headers import file_headers, missing_columns
 from driftline.sources.naming import read_manifest, write_named
 from driftline.sources.series import compact, read_labels, read_periods, read_series
 
@@ -396,6 +397,26 @@ def category_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.read_category_map(spark, out)
 
 
+def order_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of two to four numbers from the parts, some negative or fractions, and what is wrong with each."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    numbers = F.array(size % 3, F.when(k % 7 == 0, -size).otherwise(size % 2), F.when(k % 5 == 0, size / 4).otherwise(F.lit(1.0)), F.lit(0.0))
+    order = F.slice(numbers, 1, F.when(k % 11 == 0, 2).when(k % 13 == 0, 4).otherwise(3))
+    return fx.table(spark, sf_dir, "part").select(k.alias("p_partkey"), order_fault(order).alias("fault"))
+
+
+def category_map_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category maps, one for each brand, with other headers: those that lack a column, and which."""
+    out = _folder(spark, "maps")
+    rows = checkpointed(fx.part_categories(spark, sf_dir).select(F.col("anomaly_type_2").alias("brand"), "name").where("brand LIKE 'Brand%'"))
+    for part, columns in (("brand < 'Brand#2'", ["name", "other"]), ("brand >= 'Brand#2' AND brand < 'Brand#4'", ["anomaly_type_2", "name"]), ("brand >= 'Brand#4'", ["kind", "other"])):
+        own = rows.where(part)
+        if not own.isEmpty():
+            write_named(own.select("brand", *(F.col("name").alias(c) for c in columns)), ["brand"], ["brand"], out, lambda v: f"brand={v['brand'].replace('#', '-')}/types.csv")
+    found = missing_columns(file_headers(spark, out), corpus.MAP_COLUMNS)
+    return found.select(F.regexp_extract("file_path", r"brand=([^/]+)/", 1).alias("brand"), F.array_join("missing", ", ").alias("missing"))
+
+
 def period_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of curated periods written as a CSV file and read again."""
     out = _folder(spark, "periods")
@@ -495,6 +516,8 @@ QUERIES: dict[str, Query] = {
     "prepared_corpus_parquet": _prepared("parquet"),
     "category_file": category_file,
     "period_file": period_file,
+    "order_faults": order_faults,
+    "category_map_columns": category_map_columns,
     "window_result_files": window_result_files,
     "metric_files": metric_files,
     "summary_file": summary_file,

@@ -80,9 +80,13 @@ def file_metadata(files: DataFrame) -> DataFrame:
     return files.select("file_name", *(fields[k].alias(k) for k in ("dataset_id", "dataset_name", "train_end", "anomaly_start", "anomaly_end")))
 
 
+#: Columns that a category map needs.
+MAP_COLUMNS = ["name", "anomaly_type_2"]
+
+
 def checked_columns(columns: list[str]) -> None:
     """An error that lists the columns which a category map lacks."""
-    missing = {"name", "anomaly_type_2"} - set(columns)
+    missing = set(MAP_COLUMNS) - set(columns)
     if missing:
         raise ValueError(f"the category map lacks {', '.join(sorted(missing))}")
 

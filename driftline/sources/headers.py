@@ -15,7 +15,13 @@ BROADCAST_FILES = 100_000
 _NEVER = "\u0000"
 
 
-def file_headers(spark: SparkSession, path: str) -> DataFrame:
+def missing_columns(headers: DataFrame, needed: list[str]) -> DataFrame:
+    """(file_path, missing): the files (file_path, names) that lack any of the columns ``needed``, and which, in alphabetical order."""
+    lacks = F.array_sort(F.array_except(F.array(*map(F.lit, needed)), "names"))
+    return headers.select("file_path", lacks.alias("missing")).where(F.size("missing") > 0)
+
+
+def file_headers(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(file_path, names): the names in the first line of each file that isn't blank. Files without one are left out.
 
     One row for each file; a task keeps only the first line of each of its files, so nothing else is shuffled.
@@ -25,9 +31,9 @@ def file_headers(spark: SparkSession, path: str) -> DataFrame:
     opening = lines.where("block = 0 AND trim(line) <> ''").withColumn("at", F.monotonically_increasing_id())
     first = opening.groupBy("file_path").agg(F.min_by("line", "at").alias("line"))
     first = checkpointed(first.select("file_path", F.ltrim(F.col("line"), F.lit("﻿")).alias("line")))
-    widest = first.agg(F.max(F.size(F.split("line", ",")))).first()[0] or 1
+    widest = first.agg(F.max(F.size(F.split("line", sep)))).first()[0] or 1
     schema = ", ".join(f"c{k} string" for k in range(widest))
-    cells = F.from_csv("line", schema, {"nullValue": _NEVER})
+    cells = F.from_csv("line", schema, {"nullValue": _NEVER, "sep": sep})
     names = F.filter(F.array(*(cells[f"c{k}"] for k in range(widest))), lambda name: name.isNotNull())
     return first.select("file_path", F.transform(names, F.trim).alias("names"))
 
