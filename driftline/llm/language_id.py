@@ -183,7 +183,7 @@ def train(docs: DataFrame, size: int = SAMPLE) -> Identifier:
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """Returns a row for each row of ``docs``: doc_id, held_out, lang_pred, score.
 
-    Only the whole text is read for a prediction. A null text or one without a letter is ``und`` with score 0, and so is
+    Only the text is read for a prediction, whole, of any length. A null text or one without a letter is ``und`` with score 0, and so is
     every text if nothing could be learned. Null identifiers count as not held out. Repeated rows give equal rows, an empty table
     an empty result; other columns are ignored.
     """

@@ -183,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, pool_size: int
 def score(docs: DataFrame, views: Views) -> DataFrame:
     """Returns a row for each row of ``docs``: doc_id, p_text, p_meta, quality_score, kept.
 
-    ``quality_score`` combines both calibrated views; ``kept`` is quality_score >= 0.5. Null texts and null metadata have features of
-    their own. Null and repeated identifiers are kept as they are; an empty table gives an empty result; further columns are
+    ``quality_score`` combines both calibrated views; ``kept`` is quality_score >= 0.5. Texts are read whole, of any length. Null texts and null metadata have features of
+    their own, an empty text those of no words. Null and repeated identifiers are kept as they are; an empty table gives an empty result; further columns are
     ignored.
     """
 

@@ -182,7 +182,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, records_per_
 
     A null html is an empty payload. Of equal payloads of 100 bytes or more, all pages but those of the smallest page_id
     are revisits. Rows that repeat a page_id, or have none, have record identifiers of their own. A payload may be of any length that fits a
-    task: it is written in segments.
+    task: it is written in segments. An empty table gives no records; other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
