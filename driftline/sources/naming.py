@@ -105,7 +105,8 @@ def write_named(rows: DataFrame, keys: list[str], order: list[str], base: str, n
     spark = rows.sparkSession
     base = base.rstrip("/")
     aside = f"{base}/_aside-{uuid.uuid4().hex}"
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys, *order) if keys else rows.coalesce(1)
+    # dealt by an expression of its own: by the bare keys, a join on them below would stand in for this exchange, and once adaptive planning broadcasts that join, its rows stay where they are
+    placed = rows.repartition(F.struct(F.lit(label), *keys)).sortWithinPartitions(*keys, *order) if keys else rows.coalesce(1)
     if kind == "text":  # one column of lines
         placed = placed.drop(*order)
     # whatever the session says: a file of a given name can't be several

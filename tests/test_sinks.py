@@ -74,3 +74,19 @@ def test_runs_replace_each_other_by_name(spark, tmp_path):
     assert {(r.run_name, r["count"]) for r in runs.groupBy("run_name").count().collect()} == {("one", 3), ("007", 3)}
     found = {r.category: tuple(r)[1:] for r in plans.compare_runs(runs, "one", "007").collect()}
     assert found == {"a": (2, 0, 0, 1, 0, 1, 0, 0.5), "b": (0, 0, 1, 0, 0, 0, 0, None), None: (0, 1, 0, 0, 0, 0, 0, None)}
+
+
+def test_a_key_is_one_file_where_a_join_on_it_becomes_a_broadcast(spark, tmp_path):
+    large = spark.range(0, 200_000, 1, 4).select((F.col("id") % 3).cast("string").alias("id_of"), "id", F.md5(F.col("id").cast("string")).alias("text"))
+    sizes = large.groupBy("id_of").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        found = naming.write_named(large.join(sizes, "id_of").select(F.col("id_of").alias("key"), "id", "text", "n"), ["key"], ["id"], str(tmp_path), lambda v: f"{v['key']}/x.csv")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert sorted((f.name, f.n_rows) for f in found) == [("0/x.csv", 66_667), ("1/x.csv", 66_667), ("2/x.csv", 66_666)]
+    for name in files_of(tmp_path):
+        own = [int(line.split(",")[0]) for line in (tmp_path / name).read_text().splitlines()[1:]]
+        assert own == sorted(own)
