@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.scalar import axis_time
-from driftline.session import checkpointed
+from driftline.session import stored
 from driftline.sources.naming import write_named
 from driftline.sources.series import with_positions
 
@@ -37,12 +37,17 @@ def gappy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_labels(series: DataFrame) -> DataFrame:
     """A tenth of each series from its middle on is labelled, and its first quarter is for training."""
+    return labelled(series).select("series_id", "pos", "time", "is_anomaly", "anomaly_type", "is_train")
+
+
+def labelled(series: DataFrame) -> DataFrame:
+    """The rows of the series with the columns of their labels."""
     sizes = series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
     half, tenth = F.expr("n div 2"), F.expr("n div 10")
     inside = F.col("pos").between(half, half + tenth - 1)
     rows = series.join(sizes, "series_id")
     return rows.select(
-        "series_id", "pos", "time", inside.cast("int").alias("is_anomaly"), F.when(inside, F.lit("burst")).otherwise(F.lit("normal")).alias("anomaly_type"), (F.col("pos") < F.expr("n div 4")).cast("int").alias("is_train")
+        "series_id", "pos", "time", "value", inside.cast("int").alias("is_anomaly"), F.when(inside, F.lit("burst")).otherwise(F.lit("normal")).alias("anomaly_type"), (F.col("pos") < F.expr("n div 4")).cast("int").alias("is_train")
     )
 
 
@@ -85,11 +90,9 @@ FAULTS = ("none", "value_columns", "time", "no_labels", "no_is_anomaly", "no_lab
 
 def faulty_corpus(spark: SparkSession, sf_dir: str, out: str) -> None:
     """A prepared corpus of CSV files: each event series once for each fault, in a category of the fault's name."""
-    series = event_series(spark, sf_dir)
-    labels = event_labels(series)
-    rows = series.join(labels.select("series_id", "pos", "is_anomaly"), ["series_id", "pos"])
-    fault = F.explode(F.array(*map(F.lit, FAULTS)))
-    rows = checkpointed(rows.select(fault.alias("category"), F.col("series_id").alias("dataset_name"), "pos", "time", "value", "is_anomaly"))
+    series = stored(event_series(spark, sf_dir))
+    once = stored(labelled(series).select(F.col("series_id").alias("dataset_name"), "pos", "time", "value", "is_anomaly"))
+    rows = once.select(F.explode(F.array(*map(F.lit, FAULTS))).alias("category"), "*")
     keys, base, kind = ["category", "dataset_name"], f"{out}/by_category", F.col("category")
 
     def written(some: DataFrame, name: str) -> None:

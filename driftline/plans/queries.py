@@ -309,8 +309,7 @@ def corpus_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prepared corpus of CSV files, most of which have a fault of some kind, scored with what is wrong left out: the status of each, with the metric of those scored."""
     out = _folder(spark, "faulty")
     fx.faulty_corpus(spark, sf_dir, out)
-    found = corpus.prepared_status(spark, out)
-    series, labels = corpus.read_prepared(spark, out, on_error="skip")
+    series, labels, found = corpus.read_prepared_status(spark, out)
     metrics, status = scored_corpus(series, labels, found, Parameters(order=(0, 1, 0), mode="raw", on_error="skip", **SHORT), found)
     of_metric = metrics.select("category", "dataset_name", "n_windows", "ucr_prediction_index", "ucr_prediction_score", "ucr_correct")
     return shown(status.join(of_metric, ["category", "dataset_name"], "left").drop("series_id"), ucr_prediction_score=4)

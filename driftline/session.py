@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,3 +39,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet, and read again: for tables that several steps read, each only some of the columns."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # whatever the columns are called
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftline.functions.scalar import axis_time, decoded_file_name, file_field
+from driftline.session import checkpointed, stored
 from driftline.sources.naming import exists, has_files, head_of
-from driftline.sources.series import label_file_status, read_labels, read_series, series_file_status
+from driftline.sources.series import checked_mode, label_file_status, parsed_labels, parsed_series, read_labels, read_parsed_labels, read_series, series_file_status
 
 
 def read_raw_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,10 +128,11 @@ def read_prepared(spark: SparkSession, folder: str, on_error: str = "error") ->
     the latter ``series_id`` is <category>/<dataset>, since two categories may have datasets of one name. Each file is read by its own header; one that
     can't be read is an error, or left out with ``on_error="skip"`` (see ``prepared_status``).
     """
+    if checked_mode(on_error) == "skip":
+        return read_prepared_status(spark, folder)[:2]
     if exists(spark, f"{folder}/by_category"):
-        if not (has_files(spark, _SERIES.format(folder)) and has_files(spark, _LABELS.format(folder))):
-            raise FileNotFoundError(f"{folder} holds no prepared dataset with labels")
-        series, labels = _placed(read_series(spark, _SERIES.format(folder), on_error=on_error)), _placed(read_labels(spark, _LABELS.format(folder), on_error))
+        _check_files(spark, folder)
+        series, labels = _placed(read_series(spark, _SERIES.format(folder))), _placed(read_labels(spark, _LABELS.format(folder)))
     else:
         series, labels = spark.read.parquet(f"{folder}/timeseries"), spark.read.parquet(f"{folder}/labels")
     kept = labelled_only(series, labels)
@@ -139,6 +141,27 @@ def read_prepared(spark: SparkSession, folder: str, on_error: str = "error") ->
     return kept, labels
 
 
+def _check_files(spark: SparkSession, folder: str) -> None:
+    if not (has_files(spark, _SERIES.format(folder)) and has_files(spark, _LABELS.format(folder))):
+        raise FileNotFoundError(f"{folder} holds no prepared dataset with labels")
+
+
+def read_prepared_status(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``read_prepared`` with ``on_error="skip"`` and ``prepared_status`` give: series, labels, and the status of each dataset.
+
+    Each CSV file is parsed once, for its rows and for its status, and what is kept of it is numbered and stored once, whatever reads it later.
+    """
+    if not exists(spark, f"{folder}/by_category"):
+        return *read_prepared(spark, folder), prepared_status(spark, folder)
+    _check_files(spark, folder)
+    series, labels = parsed_series(spark, _SERIES.format(folder)), parsed_labels(spark, _LABELS.format(folder))
+    marks = stored(read_parsed_labels(labels, _placed(labels.good())))
+    names = checkpointed(labelled_only(_placed(series.good()), marks))
+    if names.isEmpty():
+        raise FileNotFoundError(f"{folder} holds no prepared dataset with labels")
+    return stored(series.read(names)), marks, _merged_status(_placed(series.status.drop("_file")), _placed(labels.status.drop("_file")))
+
+
 _SERIES, _LABELS = "{}/by_category/*/*/timeseries.csv", "{}/by_category/*/*/labels.csv"
 
 
@@ -148,12 +171,17 @@ def prepared_status(spark: SparkSession, folder: str) -> DataFrame:
     The reasons of ``series_file_status`` and, for the labels, ``label_file_status``; ``no_series`` and ``no_labels`` where a file is missing.
     """
     if exists(spark, f"{folder}/by_category"):
-        series, labels = series_file_status(spark, _SERIES.format(folder)), label_file_status(spark, _LABELS.format(folder))
-        label_reason = F.when(F.col("reason") == "no_is_anomaly", F.col("reason")).otherwise(F.concat(F.lit("labels_"), "reason"))
-        series, labels = _placed(series), _placed(labels.withColumn("reason", label_reason))
+        series, labels = _placed(series_file_status(spark, _SERIES.format(folder))), _placed(label_file_status(spark, _LABELS.format(folder)))
     else:
         names = ["series_id", "category", "dataset_name"]
         series, labels = (spark.read.parquet(f"{folder}/{n}").select(*names).distinct().withColumn("reason", F.lit(None).cast("string")) for n in ("timeseries", "labels"))
+    return _merged_status(series, labels)
+
+
+def _merged_status(series: DataFrame, labels: DataFrame) -> DataFrame:
+    """The status of datasets from that of their files (series_id, category, dataset_name, reason)."""
+    label_reason = F.when(F.col("reason") == "no_is_anomaly", F.col("reason")).otherwise(F.concat(F.lit("labels_"), "reason"))
+    labels = labels.withColumn("reason", label_reason)
     both = series.withColumn("has_series", F.lit(True)).join(labels.withColumn("has_labels", F.lit(True)).withColumnRenamed("reason", "of_labels"), ["series_id", "category", "dataset_name"], "full")
     missing = F.when(F.col("has_series").isNull(), F.lit("no_series")).when(F.col("has_labels").isNull(), F.lit("no_labels"))
     return both.select("series_id", "category", "dataset_name", F.coalesce("reason", missing, "of_labels").alias("reason"))

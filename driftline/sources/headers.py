@@ -59,13 +59,14 @@ class Files:
         return F.when(place > 0, F.get("cells", place.cast("int")))
 
 
-def read_files(spark: SparkSession, path: str, width: int | None = None, by_name: bool = True) -> Files:
+def read_files(spark: SparkSession, path: str, width: int | None = None, by_name: bool = True, numbered: bool = False) -> Files:
     """The rows of CSV files below ``path`` as cells.
 
     ``width`` leaves out files of another number of columns. ``by_name`` gives rows the names of their files where headers differ. The driver
-    gets one list of names for each different header, not for each file; where all are the same no row is joined with its header.
+    gets one list of names for each different header, not for each file; where all are the same no row is joined with its header. ``numbered`` gives
+    rows and headers ``_file``, a number that is shorter than the path.
     """
-    headers = checkpointed(file_headers(spark, path))
+    headers = checkpointed(file_headers(spark, path).withColumn("_file", F.monotonically_increasing_id()))
     kept = headers if width is None else headers.where(F.size("names") == width)
     layouts = [list(r.names) for r in kept.select("names").distinct().orderBy(F.desc(F.size("names")), "names").collect()]
     widest = max(map(len, layouts), default=1)
@@ -73,7 +74,7 @@ def read_files(spark: SparkSession, path: str, width: int | None = None, by_name
     found = spark.read.option("recursiveFileLookup", True).csv(path, header=True, schema=schema)
     rows = found.select(F.col("_metadata.file_path").alias("file_path"), F.array(*(f"c{k}" for k in range(widest))).alias("cells"))
     n = kept.count()
-    if (by_name and len(layouts) != 1) or n < headers.count():
+    if numbered or (by_name and len(layouts) != 1) or n < headers.count():
         rows = rows.join(F.broadcast(kept) if n <= BROADCAST_FILES else kept, "file_path")
     return Files(rows, headers, layouts)
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,12 +77,23 @@ def listed(spark: SparkSession, aside: str, base: str, name: Callable[[dict[str,
     unquote = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
     sizes = part_files(spark, aside)
     reader = spark.read.option("recursiveFileLookup", True)
-    rows = {}
-    if any(n for _, n in sizes):
-        found = reader.text(aside, lineSep=line_end) if kind == "text" else reader.csv(aside, header=header, schema="c0 string", multiLine=True)
-        rows = {r.path: r.n for r in found.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n")).collect()}
     plain = spark._jvm.org.apache.hadoop.fs.Path
-    counts = {plain(spark._jvm.java.net.URI(path)).toString(): n for path, n in rows.items()}
+
+    def counted(found: DataFrame, *also: Column) -> list[tuple[str, Row]]:
+        rows = found.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"), *also).collect()
+        return [(plain(spark._jvm.java.net.URI(r.path)).toString(), r) for r in rows]
+
+    counts: dict[str, int] = {}
+    if any(n for _, n in sizes) and kind == "text":
+        counts = {path: r.n for path, r in counted(reader.text(aside, lineSep=line_end))}
+    elif any(n for _, n in sizes):
+        # where quotes are closed within each line, lines are rows, and files are counted in ranges; others are parsed, each by one task
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        broken = F.bool_or((quotes % 2 == 1) | ((quotes > 0) & F.contains("value", F.lit("\\"))))
+        lines = counted(reader.text(aside, lineSep="\n").where("value <> ''"), broken.alias("broken"))
+        counts = {path: r.n - header for path, r in lines}
+        if parsed := [path for path, r in lines if r.broken]:
+            counts |= dict.fromkeys(parsed, 0) | {path: r.n for path, r in counted(reader.csv(parsed, header=header, schema="c0 string", multiLine=True))}
     out, seen = [], {}
     for path, size in sizes:
         values = dict(p.split("=", 1) for p in path[path.index("/_aside") + 1 :].split("/")[1:-1])

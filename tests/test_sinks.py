@@ -90,3 +90,14 @@ def test_a_key_is_one_file_where_a_join_on_it_becomes_a_broadcast(spark, tmp_pat
     for name in files_of(tmp_path):
         own = [int(line.split(",")[0]) for line in (tmp_path / name).read_text().splitlines()[1:]]
         assert own == sorted(own)
+
+
+def test_rows_are_counted_whatever_is_quoted(spark, tmp_path, monkeypatch):
+    texts = {"plain": "a", "comma": "a,b", "quote": 'a "b" c', "odd": 'a "b', "line": "a\nb", "lines": '"a\n\nb"\n', "slash": 'a\\"\n,b', "blank": ""}
+    rows = spark.createDataFrame([(k, n, t) for k, t in texts.items() for n in range(3)], "key string, id int, text string")
+    found = naming.write_named(rows, ["key"], ["id"], str(tmp_path), lambda v: f"{v['key']}.csv")
+    assert {f.name: f.n_rows for f in found} == {f"{k}.csv": 3 for k in texts}
+    parsed, real = [], type(spark.read).csv
+    monkeypatch.setattr(type(spark.read), "csv", lambda self, path, *a, **b: parsed.append(path) or real(self, path, *a, **b))
+    naming.write_named(rows.where("key IN ('plain', 'comma', 'blank')"), ["key"], ["id"], str(tmp_path / "no breaks"), lambda v: f"{v['key']}.csv")
+    assert parsed == []

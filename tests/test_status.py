@@ -63,3 +63,35 @@ def test_status_of_a_parquet_corpus(spark, tmp_path):
     rows.where("series_id = 's'").write.parquet(str(tmp_path / "labels"))
     assert {(r.dataset_name, r.reason) for r in prepared_status(spark, str(tmp_path)).collect()} == {("d", None), ("e", "no_labels")}
     assert read_prepared(spark, str(tmp_path), on_error="skip")[0].count() == 1
+
+
+def test_each_file_of_a_prepared_corpus_is_parsed_once(spark, tmp_path):
+    base = tmp_path / "by_category" / "c+d e"
+    times = [f"2026-01-01 00:00:{k:02d}" for k in (2, 0, 1)]
+    texts = {
+        "good": ("time,value\n" + "".join(f"{t},{k}\n" for k, t in enumerate(times)), "time,_file x,is_anomaly\n" + "".join(f"{t},{k}0,1\n" for k, t in enumerate(times))),
+        "wide": ("time,a,b\n2026-01-01,1,2\n", "time,is_anomaly\n2026-01-01,1\n"),
+        "late": ("time,value\nyesterday,1\n", "time,is_anomaly\n2026-01-01,yes\n"),
+        "bare": ("time,value\n2026-01-01,1\n", "time,kind\n2026-01-01,x\n"),
+        "lone": ("time,value\n2026-01-01,1\n", None),
+    }
+    for name, (rows, marks) in texts.items():
+        (base / name).mkdir(parents=True)
+        (base / name / "timeseries.csv").write_text(rows)
+        if marks is not None:
+            (base / name / "labels.csv").write_text(marks)
+    series, labels = read_prepared(spark, str(tmp_path), on_error="skip")
+    assert [r for r in (series, labels) if "csv" in r._jdf.queryExecution().executedPlan().toString().lower()] == []
+    assert sorted((r.series_id, r.category, r.dataset_name, r.pos, r.value) for r in series.collect()) == [("c+d e/good", "c+d e", "good", k, v) for k, v in enumerate((1.0, 2.0, 0.0))]
+    own = labels.where("dataset_name = 'good'").orderBy("pos").collect()
+    assert [(r.pos, r["_file x"], r.is_anomaly) for r in own] == [(0, "10", 1), (1, "20", 1), (2, "00", 1)] and labels.count() == 4
+    assert dict(labels.dtypes)["is_anomaly"] == "int"
+    told = corpus_of(spark, tmp_path)
+    assert told == {"good": None, "wide": "value_columns", "late": "time", "bare": "no_is_anomaly", "lone": "no_labels"}
+    assert told == {r.dataset_name: r.reason for r in prepared_status(spark, str(tmp_path)).collect()}
+
+
+def corpus_of(spark, folder):
+    from driftline.sources.corpus import read_prepared_status
+
+    return {r.dataset_name: r.reason for r in read_prepared_status(spark, str(folder))[2].collect()}
