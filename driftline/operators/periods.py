@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ MIN_PERIOD = 2
 LONGEST = 1000
 MIN_AUTOCORR = 0.3
 MIN_POWER_RATIO = 3.0
-#: Positions that a task correlates at once.
+#: Positions that a task correlates at once, and those of a run of smaller blocks.
 BLOCK = 32_768
 #: Positions that a series is packed by for its spectrum.
 PACKED = 8_192
@@ -48,35 +47,45 @@ def guards(series: DataFrame, min_period: int = MIN_PERIOD, max_period: int | No
     return found.withColumn("max_period", longest).withColumn("usable", F.coalesce(usable, F.lit(False)))
 
 
-def _lag_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sums of x[t] * x[t + lag] over the block's own positions t; the block comes with the positions that follow it."""
-    own = int(pdf["own"].sum())
-    x = pdf.sort_values("cpos")["x"].to_numpy()
-    lags = int(pdf["max_period"].iloc[0])
-    size = 1 << int(np.ceil(np.log2(len(x) + own + 1)))
-    head = np.fft.rfft(x[:own], size)
-    # what stands after the lags of the rows that are here are the negative ones
-    sums = np.fft.irfft(np.conj(head) * np.fft.rfft(x, size), size)[: min(len(x), lags + 1)]
-    out = np.zeros(lags + 1)
-    out[: len(sums)] = sums
-    return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "lag": np.arange(lags + 1), "s": out})
-
-
 def acf(series: DataFrame, min_period: int = MIN_PERIOD, max_period: int | None = None, block: int = BLOCK) -> DataFrame:
     """(series_id, lag, acf): the biased autocorrelation from lag 0 to the longest period, of usable series.
 
-    Series are cut into blocks of positions, each with as many positions of the next ones as there are lags, so a long series
-    is many tasks; a block's sums come from one FFT and are added up over blocks.
+    Series are packed into blocks of positions, eight bytes a point, which are dealt in runs of ``BLOCK`` positions (one block at least), each with as many positions of the
+    next run as there are lags: a long series is many tasks, whatever the blocks' size. A run's blocks are transformed together, and their sums added up before
+    they leave the task.
     """
+    run = max(1, BLOCK // block)
+
+    def lag_sums(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+        """Sums of x[t] * x[t + lag] over the run's own positions t; the run comes with the positions that follow it."""
+        lags, home = parts["max_period"][0].as_py(), parts["home"].to_numpy()
+        lists = parts["x"].combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        x = np.concatenate([flat[ends[k] : ends[k + 1]] for k in np.argsort(home)])
+        # only a series' last block is shorter than the others, and nothing follows it
+        blocks = int(np.count_nonzero(home // run == key[1].as_py()))
+        padded = np.zeros(blocks * block + lags)
+        padded[: len(x)] = x
+        reached = np.lib.stride_tricks.sliding_window_view(padded, block + lags)[::block]
+        size = 1 << int(np.ceil(np.log2(2 * block + lags)))
+        # what stands after the lags are the negative ones
+        spectrum = (np.conj(np.fft.rfft(reached[:, :block], size)) * np.fft.rfft(reached, size)).sum(axis=0)
+        name = pa.array([key[0].as_py()]).take(pa.array(np.zeros(lags + 1, np.int8)))
+        return pa.table({"series_id": name, "lag": pa.array(np.arange(lags + 1), pa.int32()), "s": np.fft.irfft(spectrum, size)[: lags + 1]})
+
     known = guards(series, min_period, max_period).where("usable").select("series_id", "mean", "max_period")
     rows = compact(series.select("series_id", "pos", "value")).join(known, "series_id")
-    home = F.floor(F.col("cpos") / block)
-    first = F.greatest(F.lit(0), F.floor((F.col("cpos") - F.col("max_period")) / block))
-    spread = rows.select("series_id", "cpos", "max_period", (F.col("value") - F.col("mean")).alias("x"), home.alias("home"), F.explode(F.sequence(first, home)).alias("block"))
-    spread = spread.withColumn("own", (F.col("block") == F.col("home")).cast("int"))
-    sums = spread.groupBy("series_id", "block").applyInPandas(_lag_sums, "series_id string, lag int, s double").groupBy("series_id", "lag").agg(F.sum("s").alias("s"))
-    zero = sums.where("lag = 0").select("series_id", F.col("s").alias("s0"))
-    return sums.join(zero, "series_id").select("series_id", "lag", (F.col("s") / F.col("s0")).alias("acf"))
+    rows = rows.select("series_id", "max_period", F.floor(F.col("cpos") / block).alias("home"), "cpos", (F.col("value") - F.col("mean")).alias("x"))
+    packed = rows.groupBy("series_id", "max_period", "home").agg(F.sort_array(F.collect_list(F.struct("cpos", "x"))).alias("p"))
+    first = F.greatest(F.lit(0), F.floor((F.col("home") - F.ceil(F.col("max_period") / block)) / run))
+    spread = packed.select("series_id", "max_period", "home", F.transform("p", lambda p: p["x"]).alias("x"), F.explode(F.sequence(first, F.floor(F.col("home") / run))).alias("run"))
+    # of a block behind the run's last one, what the lags reach
+    behind = F.col("home") - (F.col("run") + 1) * run
+    needed = F.when(behind < 0, F.lit(block)).otherwise(F.least(F.lit(block), F.col("max_period") - behind * block)).cast("int")
+    spread = spread.withColumn("x", F.slice("x", 1, needed))
+    sums = spread.groupBy("series_id", "run").applyInArrow(lag_sums, "series_id string, lag int, s double").groupBy("series_id", "lag").agg(F.sum("s").alias("s"))
+    zero = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(W.partitionBy("series_id"))
+    return sums.select("series_id", "lag", (F.col("s") / zero).alias("acf"))
 
 
 def autocorr_periods(series: DataFrame, min_period: int = MIN_PERIOD, max_period: int | None = None, min_autocorr: float = MIN_AUTOCORR) -> DataFrame:
